@@ -28,4 +28,31 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM seen GROUP BY conv_id
 """
 
-ORACLES = {"op4_chat_format": _OP4}
+
+_OP6 = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+bw AS (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+items AS (SELECT item_id, w, least(len(w), 10) AS n FROM bw WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS k FROM (SELECT item_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM items)),
+sizes AS (SELECT DISTINCT n FROM items),
+spots AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS k FROM (SELECT doc_id, n, w, unnest(range(len(w) - n + 1)) AS i FROM dw, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, n, item_id FROM spots JOIN windows USING (n, k)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+_OP8 = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+spots AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS i FROM dw WHERE len(w) >= 13)),
+least_ AS (SELECT k, min(doc_id) AS owner FROM spots GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM spots JOIN least_ USING (k) WHERE doc_id > owner),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM dw),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op4_chat_format": _OP4, "op6_decontaminate": _OP6, "op8_substring_dedup": _OP8}
