@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from granary.llm.tokens import JsonTokenizer, loaded
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Ids gathered before they are packed: about 256 windows of 4096.
-BATCH_IDS = 1 << 20
+#: Ids gathered before they are packed: about 128 windows of 4096.
+BATCH_IDS = 1 << 19
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -40,26 +41,19 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """
     if k <= 0:
         return []
-    heap: list[tuple[int, int, list[tuple[int, list[int]]]]] = []
-    for i, size in enumerate(sizes):
-        heap.append((-size, i, [(size, [i])]))
+    # Windows are (-sum, indices), so that ascending order has the largest first.
+    heap = [(-size, i, [(-size, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
+    load = itemgetter(0)
     while len(heap) > 1:
         _, order, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        if len(a) + len(b) <= k:
-            merged = list(heapq.merge(a, b, key=lambda w: -w[0]))
-        else:
-            # The largest windows of one meet the smallest of the other; empty ones come last.
-            keep = k - len(b)
-            merged = a[:keep]
-            overlap = a[keep:]
-            for (x, xs), (y, ys) in zip(reversed(overlap), b):
-                merged.append((x + y, xs + ys))
-            merged += b[len(overlap) :]
-            merged.sort(key=lambda w: -w[0])
+        _, _, b = heap[0]
+        # The smallest windows of one meet the largest of the other; empty ones are the smallest.
+        alone = max(0, k - len(b))
+        merged = a[:alone] + [(x + y, xs + ys) for (x, xs), (y, ys) in zip(reversed(a[alone:]), b)] + b[max(0, len(a) - alone) :]
+        merged.sort(key=load)
         spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
-        heapq.heappush(heap, (-spread, order, merged))
+        heapq.heapreplace(heap, (spread, order, merged))
     windows = [items for _, items in heap[0][2]] if heap else []
     return windows + [[] for _ in range(k - len(windows))]
 
@@ -149,7 +143,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, capacity: i
     by a batch and the longest document, and a lost task gives the same rows again.
     A batch's last sequences have power-of-two lengths; no sequence is padded.
     """
-    bounded_batches(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession, 512)
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches):

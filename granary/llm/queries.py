@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontaminate, packing, secrets, substring_dedup, token_counts, token_store
+from granary.llm import chat, decontaminate, minhash_dedup, packing, secrets, substring_dedup, token_counts, token_store, vector_dedup
 from granary.llm.common import shared_dir, table
 from granary.llm.tokens import tokenizer_path
 
@@ -56,13 +56,21 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.MODEL))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_packing, op4_chat_format, op5_token_store, op6_decontaminate, op8_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_packing, op4_chat_format, op5_token_store, op6_decontaminate, op7_vector_dedup, op8_substring_dedup, op9_minhash_dedup, op10_token_counts)}

@@ -23,7 +23,7 @@ from itertools import chain
 import numpy as np
 
 #: Segments in each of a cache's two generations, in one Python worker.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 600_000
 #: Longer segments are encoded anew in each batch, so that the cache's bytes are bounded too.
 CACHE_CHARS = 64
 
@@ -52,15 +52,15 @@ class _Generations:
 
     def unknown(self, segments: set[str]) -> set[str]:
         """Those that ``young`` lacks after it took over what ``old`` has."""
-        missing = segments - self.young.keys()
+        missing = segments.difference(self.young)
         if missing and self.old:
-            kept = missing & self.old.keys()
+            kept = [s for s in missing if s in self.old]
             self.young.update((s, self.old[s]) for s in kept)
-            missing -= kept
+            missing.difference_update(kept)
         return missing
 
-    def trim(self, used: set[str]) -> None:
-        for s in [s for s in used if len(s) > CACHE_CHARS]:
+    def trim(self, new: set[str]) -> None:
+        for s in [s for s in new if len(s) > CACHE_CHARS]:
             self.young.pop(s, None)
         if len(self.young) > self.bound:
             self.young, self.old = {}, self.young
@@ -120,10 +120,11 @@ class JsonTokenizer:
             raw, places = ids.tobytes(), bounds.tolist()
             cache.update((w, raw[a:b]) for w, a, b in zip(part, places, places[1:]))
 
-    def _learn(self, segments: set[str]) -> None:
+    def _learn(self, segments: set[str]) -> set[str]:
         plain, ended, other = [], [], []
-        for s in self._cache.unknown(segments):
-            if _PLAIN.fullmatch(s):
+        new = self._cache.unknown(segments)
+        for s in new:
+            if s.isalpha() and (s.isascii() or _PLAIN.fullmatch(s)):
                 plain.append(s)
             elif m := _ENDED.fullmatch(s):
                 ended.append((s, m[1], m[2]))
@@ -137,20 +138,20 @@ class JsonTokenizer:
             young = self._cache.young
             young.update((s, young[stem] + marks[mark]) for s, stem, mark in ended)
         self._cache.young.update(zip(other, self._encode([self._literal(s) for s in other]), strict=True))
+        return new | stems
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self._uncut:
             return self._encode(texts)
         cut = [self._segments(t) for t in texts]
-        used = set(chain.from_iterable(rest for _, rest in cut))
-        self._learn(used)
+        new_segments = self._learn(set(chain.from_iterable(rest for _, rest in cut)))
         heads = {h for h, _ in cut if h is not None}
         if new := list(self._heads.unknown(heads)):
             self._heads.young.update(zip(new, self._encode(new), strict=True))
         get, head = self._cache.young.__getitem__, self._heads.young
         out = [(head[h] if h is not None else b"") + b"".join(map(get, rest)) for h, rest in cut]
-        self._cache.trim(used)
+        self._cache.trim(new_segments)
         self._heads.trim(heads)
         return out
 
