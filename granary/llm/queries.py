@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontaminate, minhash_dedup, packing, secrets, substring_dedup, token_counts, token_store, vector_dedup
+from granary.llm import chat, decontaminate, minhash_dedup, packing, quality, secrets, substring_dedup, token_counts, token_store, vector_dedup
 from granary.llm.common import shared_dir, table
 from granary.llm.tokens import tokenizer_path
 
@@ -32,6 +32,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -73,4 +77,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_packing, op4_chat_format, op5_token_store, op6_decontaminate, op7_vector_dedup, op8_substring_dedup, op9_minhash_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality, op4_chat_format, op5_token_store, op6_decontaminate, op7_vector_dedup, op8_substring_dedup, op9_minhash_dedup, op10_token_counts)}
