@@ -148,6 +148,35 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return grouped.select("doc_id", "n_words", covered.alias("n_hit"), F.array_sort(F.transform(F.array_distinct("items"), lambda i: i.cast("string"))).alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that no benchmark window occurs in, with all of their columns.
+
+    Each block of the benchmark is one narrow pass over what the blocks before it
+    left, so no text moves between machines.
+    """
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    bounded_batches(docs.sparkSession, 256)
+    out = docs
+    for block in _blocks(items, block_bytes):
+        out = _without(out, block, text_col)
+    return out
+
+
+def _without(docs: DataFrame, block: DataFrame, text_col: str) -> DataFrame:
+    rows = [(r["item_id"], r["text"].encode()) for r in block.collect()]  # bounded by block_bytes
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        index = Block(sent.value)
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            hit[[found[0] for found in index.search(Words(text_bytes(batch.column(at)), FOLDED))]] = True
+            yield batch.filter(pa.array(~hit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _apply(narrow: DataFrame, block: DataFrame, finish: bool) -> DataFrame:
     spark = narrow.sparkSession
     rows = [(r["item_id"], r["text"].encode()) for r in block.collect()]  # bounded by block_bytes

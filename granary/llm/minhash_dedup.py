@@ -247,3 +247,21 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, size: int = SH
     result, _ = stored(out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept")), "minhash-classes")
     remove(spark, signed_path, reps_path, members_path, sets_path, edges_path, open_path)
     return result
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their class, with all of their columns.
+
+    One row of each class stays: that of the smallest id, and of rows that repeat
+    this id the one of the smallest text. Rows with a null id link with nothing and stay.
+    """
+    classes = near_documents(docs, id_col=id_col, text_col=text_col)
+    chosen = classes.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    ids = chosen.select(F.col("doc_id").alias("_granary_id"), F.col("rows").alias("_granary_rows"))
+    joined = docs.where(F.col(id_col).isNotNull()).withColumn("_granary_id", F.col(id_col).cast("long")).join(ids, "_granary_id")
+    single = joined.where("_granary_rows = 1").select(*docs.columns)
+    alone = docs.where(F.col(id_col).isNull())
+    if chosen.where("rows > 1").isEmpty():
+        return single.unionByName(alone)
+    repeated = joined.where("_granary_rows > 1").groupBy("_granary_id").agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("r"))
+    return single.unionByName(repeated.select("r.*")).unionByName(alone)

@@ -160,12 +160,12 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, capacity: i
                 for i, start, length in pieces:
                     doc, raw = held[i]
                     part = raw[4 * start : 4 * (start + length)]
-                    for column, value in zip(rows, (doc, start, length, zlib.crc32(part), len(raw) // 4, sequence, offset, np.frombuffer(part, "<u4").astype(np.int64) if with_ids else None), strict=True):
+                    for column, value in zip(rows, (doc, start, length, zlib.crc32(part), len(raw) // 4, sequence, offset, np.frombuffer(part, "<i4") if with_ids else None), strict=True):
                         column.append(value)
                     offset += length
                 sequence += 1
             held, count = [], 0
-            arrays = [pa.array(c, pa.int64()) for c in rows[:7]] + ([pa.array(rows[7], pa.list_(pa.int64()))] if with_ids else [])
+            arrays = [pa.array(c, pa.int64()) for c in rows[:7]] + ([pa.array(rows[7], pa.list_(pa.int32()))] if with_ids else [])
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
@@ -179,5 +179,5 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, capacity: i
             yield flush()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    schema = ", ".join(f"{n} long" for n in names[:7]) + ", ids array<long>" * with_ids
+    schema = ", ".join(f"{n} long" for n in names[:7]) + ", ids array<int>" * with_ids
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, schema)
