@@ -49,8 +49,8 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
         _, order, a = heapq.heappop(heap)
         _, _, b = heap[0]
         # The smallest windows of one meet the largest of the other; empty ones are the smallest.
-        alone = max(0, k - len(b))
-        merged = a[:alone] + [(x + y, xs + ys) for (x, xs), (y, ys) in zip(reversed(a[alone:]), b)] + b[max(0, len(a) - alone) :]
+        alone, room = max(0, k - len(b)), max(0, k - len(a))
+        merged = a[:alone] + b[:room] + [(x + y, xs + ys) for (x, xs), (y, ys) in zip(reversed(a[alone:]), b[room:])]
         merged.sort(key=load)
         spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
         heapq.heapreplace(heap, (spread, order, merged))
