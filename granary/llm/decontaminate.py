@@ -15,7 +15,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,8 +134,9 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     narrow = ids_and_texts(docs, id_col, text_col)
     if len(blocks) == 1:
         return _apply(narrow, blocks[0], finish=True)
-    # Rows are told apart by their id and text, so repeated rows are searched once and joined back.
-    passes = [_apply(narrow, b, finish=False) for b in blocks]
+    # The scan deals rows alike in each pass, so a row's place tells it apart.
+    numbered = narrow.withColumn("row", F.monotonically_increasing_id())
+    passes = [_apply(numbered, b, finish=False) for b in blocks]
     runs = passes[0]
     for more in passes[1:]:
         runs = runs.unionByName(more)
@@ -183,7 +183,7 @@ def _apply(narrow: DataFrame, block: DataFrame, finish: bool) -> DataFrame:
     sent = spark.sparkContext.broadcast(rows)
 
     def run(batches):
-        index, row = Block(sent.value), TaskContext.get().partitionId() << 36
+        index = Block(sent.value)
         for batch in batches:
             words = Words(text_bytes(batch.column(1)), FOLDED)
             by_doc: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -204,8 +204,7 @@ def _apply(narrow: DataFrame, block: DataFrame, finish: bool) -> DataFrame:
             else:
                 runs = [[{"a": a, "b": b} for a, b, _ in by_doc.get(i, ())] for i in range(n)]
                 ids = [sorted({i for _, _, i in by_doc.get(d, ())}) for d in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + n), pa.int64()), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "runs", "items"])
-            row += n
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "runs", "items"])
 
     schema = "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean" if finish else "doc_id long, row long, n_words long, runs array<struct<a:long,b:long>>, items array<long>"
     return narrow.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 Document evidence comes from two logistic models (quality and toxicity) over
 shares of character classes, repetition of words and lines, and hits of listed
-fragments (five bytes of folded text) that are themselves learned from the labels. The sites then have their say: the
+fragments (six bytes of folded text) that are themselves learned from the labels. The sites then have their say: the
 scores of a host's documents are summed by a grouped aggregation, a host's mean
 is shrunk towards the global mean, and the mean of each of its paths towards
 that of the host. How far is estimated from the data (moments of a
@@ -28,9 +28,9 @@ from granary.llm.common import FOLDED, SPACED, Words, bounded_batches, remove, s
 
 #: Labelled documents that the models are fitted on; more labels are thinned by a hash of the id.
 SAMPLE = 4096
-#: Bytes of a fragment. A listed fragment is this many times as common in documents of its class, and in this share (and number) of them at least.
-FRAGMENT = 5
-LIFT, SHARE, LEAST, LISTED = 50.0, 0.05, 3, 512
+#: Bytes of a fragment; one that a text has twice or more is a fragment of its own besides. A listed fragment is this many times as common in documents of its class, and in this share (and number) of them at least.
+FRAGMENT = 6
+LIFT, SHARE, LEAST, LISTED = 30.0, 0.02, 3, 1024
 KEPT_QUALITY, KEPT_TOXICITY = 0.5, 0.5
 _EDGE = 1e-6
 
@@ -48,22 +48,27 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def fragments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``(document, fragment)`` at each byte of the folded texts; a fragment is a number of ``FRAGMENT`` bytes, and none crosses texts."""
-    gap = b" " * (FRAGMENT - 1)
-    raw = np.frombuffer((gap.join(texts) + gap).translate(FOLDED), np.uint8).astype(np.uint64)
+    gap = b" " * FRAGMENT
+    raw = np.frombuffer((b" " + gap.join(texts) + gap).translate(FOLDED), np.uint8).astype(np.uint64)
     n = len(raw) - FRAGMENT + 1
     value = np.zeros(n, np.uint64)
     for i in range(FRAGMENT):
         value = (value << np.uint64(8)) | raw[i : i + n]
-    return np.repeat(np.arange(len(texts)), [len(t) + FRAGMENT - 1 for t in texts])[:n], value
+    return np.repeat(np.arange(len(texts)), [len(t) + FRAGMENT for t in texts])[:n], value
+
+
+#: Marks a fragment that a text has twice or more.
+_TWICE = np.uint64(1 << 8 * FRAGMENT)
 
 
 def different(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different pairs, by document and value."""
+    """The different pairs of document and fragment, and then those that occur twice or more, marked."""
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    return doc[new], value[new]
+    twice = np.flatnonzero(new[:-1] & ~new[1:])
+    return np.concatenate((doc[new], doc[twice])), np.concatenate((value[new], value[twice] | _TWICE))
 
 
 class Listed:
@@ -72,7 +77,8 @@ class Listed:
     def __init__(self, values: np.ndarray):
         self.values = np.sort(values)
         self.table = np.zeros(1 << 20, bool)
-        self.table[self._place(self.values)] = True
+        self.plain = np.unique(self.values & ~_TWICE)
+        self.table[self._place(self.plain)] = True
 
     @staticmethod
     def _place(value: np.ndarray) -> np.ndarray:
@@ -81,8 +87,9 @@ class Listed:
     def hits(self, doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         """Different listed fragments of each text, 8 at most."""
         maybe = np.flatnonzero(self.table[self._place(value)]) if len(self.values) else np.zeros(0, int)
-        found = maybe[np.isin(value[maybe], self.values)]
-        return np.minimum(np.bincount(different(doc[found], value[found])[0], minlength=n), 8)
+        maybe = maybe[np.isin(value[maybe], self.plain)]
+        doc, value = different(doc[maybe], value[maybe])
+        return np.minimum(np.bincount(doc[np.isin(value, self.values)], minlength=n), 8)
 
 
 def features(texts: list[bytes], bad: Listed, toxic: Listed) -> np.ndarray:
@@ -265,25 +272,21 @@ def posteriors(scored: DataFrame) -> DataFrame:
     rates = {c: min(max((total[c] or 0.0) / known, _EDGE), 1 - _EDGE) for c in "qt"}
     paths = paths.where("_granary_host <> ''")
     hosts, _ = stored(paths.groupBy("_granary_host").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("t").alias("t")), "quality-hosts")
-    host_mean, path_strength = {}, {}
-    for c in "qt":
-        k = strength(hosts, c, rates[c])
-        host_mean[c] = (F.col(f"host_{c}") + k * rates[c]) / (F.col("host_n") + k)
+    host_strength = {c: strength(hosts, c, rates[c]) for c in "qt"}
+    shrunk = lambda total, n, k, above: (total + k * above) / (n + k)
     both = paths.join(hosts.select("_granary_host", *(F.col(c).alias(f"host_{c}") for c in "nqt")), "_granary_host")
-    both = both.select("_granary_host", "_granary_path", "n", "q", "t", host_mean["q"].alias("host_quality"), host_mean["t"].alias("host_toxic"))
     sites, _ = stored(both, "quality-sites")
-    for c, level in (("q", "host_quality"), ("t", "host_toxic")):
-        path_strength[c] = strength(sites, c, F.col(level))
-    joined = scored.join(sites, ["_granary_host", "_granary_path"], "left")
+    path_strength = {c: strength(sites, c, shrunk(F.col(f"host_{c}"), F.col("host_n"), host_strength[c], F.lit(rates[c]))) for c in "qt"}
+    out = scored.join(sites, ["_granary_host", "_granary_path"], "left")
     logit = lambda p: F.log(p) - F.log(1 - p)
-    out = joined
-    for c, own, level in (("q", "_granary_quality", "host_quality"), ("t", "_granary_toxic", "host_toxic")):
-        k = path_strength[c]
-        # The path without this document, so that its evidence counts once.
-        rest = (F.col(c) - F.col(own) + k * F.col(level)) / (F.col("n") - 1 + k)
-        prior = F.least(F.greatest(F.coalesce(rest, F.lit(rates[c])), F.lit(_EDGE)), F.lit(1 - _EDGE))
-        odds = logit(prior) + logit(F.col(own)) - F.lit(float(np.log(rates[c]) - np.log(1 - rates[c])))
-        out = out.withColumn(f"_granary_posterior_{'quality' if c == 'q' else 'toxic'}", 1 / (1 + F.exp(-odds))).withColumn(f"_granary_prior_{'quality' if c == 'q' else 'toxic'}", prior)
+    for c, name in (("q", "quality"), ("t", "toxic")):
+        own = F.col(f"_granary_{name}")
+        # Host and path without this document, so that its evidence counts once.
+        host = shrunk(F.col(f"host_{c}") - own, F.col("host_n") - 1, host_strength[c], F.lit(rates[c]))
+        path = shrunk(F.col(c) - own, F.col("n") - 1, path_strength[c], host)
+        prior = F.least(F.greatest(F.coalesce(path, F.lit(rates[c])), F.lit(_EDGE)), F.lit(1 - _EDGE))
+        odds = logit(prior) + logit(own) - F.lit(float(np.log(rates[c]) - np.log(1 - rates[c])))
+        out = out.withColumn(f"_granary_posterior_{name}", 1 / (1 + F.exp(-odds))).withColumn(f"_granary_prior_{name}", prior)
     return out
 
 
