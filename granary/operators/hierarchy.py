@@ -63,7 +63,7 @@ def read_ontology(value: Any) -> list[tuple]:
             rows.append((d, *head, c, *own, _list(category.get("include"), f"{here}.include"), _list(category.get("exclude"), f"{here}.exclude"), questions))
     if len(rows) > MAX_CATEGORIES:
         raise ValueError(f"Ontology must contain no more than {MAX_CATEGORIES} categories.")
-    _unique("Dimension", list(dict.fromkeys((r[0], r[1]) for r in rows)) and [i for _, i in dict.fromkeys((r[0], r[1]) for r in rows)])
+    _unique("Dimension", [i for _, i in dict.fromkeys((r[0], r[1]) for r in rows)])
     _unique("Category", [r[5] for r in rows])
     return rows
 

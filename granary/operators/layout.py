@@ -123,7 +123,11 @@ def page_text(items: list[Item], width: float, columns: bool = True, render=line
     lines = lines_of(items)
     at = gutter(lines, width) if columns else None
     if at is not None:
-        lines = [line for crosses, band in bands(lines, at) for line in (sum(s, []) if not crosses and (s := sides(band, at)) else band)]
+        ordered: list[Line] = []
+        for crosses, band in bands(lines, at):
+            parts = None if crosses else sides(band, at)
+            ordered += [*parts[0], *parts[1]] if parts else band
+        lines = ordered
     out = []
     for i, line in enumerate(lines):
         apart = i and line[0].y - lines[i - 1][0].y > max(20.0, 1.8 * lines[i - 1][0].height)
