@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as in Unicode; Java's ``\\s`` is ASCII only.
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _BOILERPLATE = r"(?i)^(?:abstract|introduction|references|bibliography)$"
 # Headings of reference lists.
 _REFERENCE = r"(?iu)^(?:\d+(?:\.\d+)*\.?\s*)?(?:references|bibliography|works cited|literature cited|bibliograf[ií]a|r[ée]f[ée]rences(?: bibliographiques)?|литература|література|список літератури|список литературы|список використаних джерел)(?=$|[\s(:])"
@@ -17,8 +18,13 @@ _SENTENCE = r"(?<=[.!?])" + WS + r"+(?=[\p{Lu}\p{N}\"“(])"
 _MARKER = r"^(?:\(?[\dA-Za-z]{1,3}[.)]|[•▪◦\-–])$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    return F.trim(text, F.lit(_WS_CHARS))
 
 
 def squeeze(text: Column) -> Column:
@@ -101,12 +107,14 @@ def joined_lines(lines: Column) -> Column:
 
 def prose_of_table(text: Column) -> Column:
     """A table that is really prose (list markers, or sentences in at most two cells) as one line, else null."""
-    rows = F.transform(F.split(text, "\n"), lambda r: F.split(r, r" \| "))
-    marked = F.size(F.filter(rows, lambda r: (F.size(r) == 2) & trim(F.get(r, F.lit(0))).rlike(_MARKER)))
-    cells = F.flatten(rows)
-    long_cells = F.size(F.filter(cells, lambda c: word_count(c) >= 5))
-    prose = (marked * 2 >= F.size(rows)) | (F.forall(rows, lambda r: F.size(r) <= 2) & (long_cells * 2 >= F.size(cells)))
-    return F.when(prose, F.array_join(cells, " "))
+
+    def of(rows: Column, cells: Column) -> Column:
+        marked = F.size(F.filter(rows, lambda r: (F.size(r) == 2) & trim(F.get(r, F.lit(0))).rlike(_MARKER)))
+        long_cells = F.size(F.filter(cells, lambda c: word_count(c) >= 5))
+        prose = (marked * 2 >= F.size(rows)) | (F.forall(rows, lambda r: F.size(r) <= 2) & (long_cells * 2 >= F.size(cells)))
+        return F.when(prose, F.array_join(cells, " "))
+
+    return let(F.transform(F.split(text, "\n"), lambda r: F.split(r, r" \| ")), lambda rows: let(F.flatten(rows), lambda cells: of(rows, cells)))
 
 
 def tokens(text: Column) -> Column:

@@ -12,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import clean_text, edge_key, is_caption, is_heading, is_reference_heading, joined_lines, row_cells, trim
+from granary.functions.text import clean_text, edge_key, is_caption, is_heading, is_reference_heading, joined_lines, let, row_cells, trim
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """``document_id, page, line_no, line, last`` of ``pages`` (``document_id, page, text, quality``); quarantined pages have no lines."""
-    lines = F.transform(F.split(trim(F.coalesce(F.col("text"), F.lit(""))), r"\r?\n"), trim)
+    split = F.split(trim(F.coalesce(F.col("text"), F.lit(""))), r"\r?\n")
+    # The number of lines goes with each, so the page is split once and not for every line.
+    lines = let(split, lambda ls: F.transform(ls, lambda x, i: F.struct((F.size(ls) - 1).alias("last"), i.alias("line_no"), trim(x).alias("line"))))
     usable = pages.where(~F.col("quality").eqNullSafe("quarantined")) if "quality" in pages.columns else pages
-    return usable.select("document_id", "page", (F.size(lines) - 1).alias("last"), F.posexplode(lines).alias("line_no", "line"))
+    return usable.select("document_id", "page", F.inline(lines))
 
 
 def repeated_edges(lines: DataFrame) -> DataFrame:
@@ -33,25 +35,21 @@ def repeated_edges(lines: DataFrame) -> DataFrame:
 def classified_lines(pages: DataFrame) -> DataFrame:
     """The lines with ``kind`` (blank, header, footer, caption, heading, row, text), ``cells`` and ``is_row``.
 
-    The edges are joined by document and key, of first and last lines alone.
+    Pages are dealt by document once; all that follows works on that dealing.
     """
-    lines = page_lines(pages)
-    known = repeated_edges(lines).withColumn("known", F.lit(True))
-    keyed = lines.withColumn("key", F.when((F.col("line") != "") & ((F.col("line_no") == 0) | (F.col("line_no") == F.col("last"))), edge_key(F.col("line"))))
-    of = lambda edge: known.where(F.col("edge") == edge).select("document_id", "key", F.col("known").alias(edge))
-    found = keyed.join(of("first"), ["document_id", "key"], "left").join(of("last").withColumnRenamed("last", "as_last"), ["document_id", "key"], "left")
+    lines = page_lines(pages.repartition("document_id"))
     line = F.col("line")
-    cells = row_cells(line)
-    found = found.withColumn("cells", cells).withColumn("is_row", (F.size("cells") >= 3) | ((F.size("cells") >= 2) & F.contains(line, F.lit("\t"))))
+    first, last = (F.col("line_no") == 0) & (line != ""), (F.col("line_no") == F.col("last")) & (line != "")
+    keyed = lines.withColumn("first_key", F.when(first, edge_key(line))).withColumn("last_key", F.when(last, edge_key(line))).withColumn("cells", row_cells(line))
+    keyed = keyed.withColumn("caption", is_caption(line)).withColumn("heading", is_heading(line))
+    short = F.when(F.length("line") <= 120, 1).otherwise(0)
+    shared = lambda key: F.when(F.col(key).isNotNull(), F.sum(short).over(Window.partitionBy("document_id", key)) >= 2)
+    found = keyed.withColumn("header", shared("first_key")).withColumn("footer", shared("last_key"))
+    found = found.withColumn("is_row", (F.size("cells") >= 3) | ((F.size("cells") >= 2) & F.contains(line, F.lit("\t"))))
     kind = (
-        F.when(line == "", "blank")
-        .when((F.col("line_no") == 0) & F.col("first"), "header")
-        .when((F.col("line_no") == F.col("last")) & (F.coalesce(F.col("as_last"), F.lit(False)) | line.rlike(r"^\d+$")), "footer")
-        .when(is_caption(line), "caption")
-        .when(is_heading(line), "heading")
-        .when(F.col("is_row"), "row")
-        .otherwise("text")
-    )
+        F.when(line == "", "blank").when(F.col("header"), "header").when(F.col("footer") | (last & line.rlike(r"^\d+$")), "footer")
+        .when(F.col("caption"), "caption").when(F.col("heading"), "heading").when(F.col("is_row"), "row").otherwise("text")
+    )
     return found.select("document_id", "page", "line_no", "line", "cells", "is_row", kind.alias("kind"))
 
 
@@ -60,33 +58,33 @@ def structure_blocks(pages: DataFrame) -> DataFrame:
 
     Types: header, footer, caption, heading, table, paragraph, reference. The section
     is that of the last heading before, over pages too; under a heading of references
-    paragraphs are references. One exchange on the document; a document's
-    lines are sorted, not gathered.
+    paragraphs are references. One exchange, of the pages by document; a
+    document's lines are sorted there and grouped by block.
     """
     lines = classified_lines(pages)
     in_page = Window.partitionBy("document_id", "page").orderBy("line_no")
-    in_document = Window.partitionBy("document_id").orderBy("page", "line_no")
-    before = F.lag("kind").over(in_page)
-    ended = F.lag(F.col("line").rlike(r"[.!?]$")).over(in_page)
-    flushes = F.col("kind").isin("blank", "text") | (F.col("kind").isin("header", "footer", "caption", "heading") & ~F.col("is_row"))
-    heading = F.when(F.col("kind") == "heading", clean_text(F.col("line")))
-    so_far = in_document.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy("document_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    single = F.col("kind").isin("header", "footer", "caption", "heading")
+    flushes = F.col("kind").isin("blank", "text") | (single & ~F.col("is_row"))
+    continued = F.lag("kind").over(in_page).eqNullSafe("text") & ~F.lag(F.col("line").rlike(r"[.!?]$")).over(in_page)
     marked = (
-        lines.withColumn("section", F.last(heading, ignorenulls=True).over(so_far))
-        .withColumn("paragraph", F.sum(F.when((F.col("kind") == "text") & (before.eqNullSafe("text") & ~ended), 0).otherwise(1)).over(in_page))
+        lines.withColumn("section", F.last(F.when(F.col("kind") == "heading", clean_text(F.col("line"))), ignorenulls=True).over(so_far))
+        .withColumn("paragraph", F.sum(F.when((F.col("kind") == "text") & continued, 0).otherwise(1)).over(in_page))
         .withColumn("table", F.sum(flushes.cast("int")).over(in_page))
     )
-    # The last line before a flush settles a table's place and section.
-    spans = marked.withColumn("until", F.struct("line_no", "section"))
-    single = spans.where("kind in ('header', 'footer', 'caption', 'heading')").select("document_id", "page", F.col("line_no").alias("at"), F.lit(0).alias("after"), F.col("kind").alias("type"), clean_text(F.col("line")).alias("text"), "section")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    paragraphs = spans.where("kind = 'text'").groupBy("document_id", "page", "paragraph").agg(F.max("until").alias("until"), ordered.alias("lines"))
+    # A line belongs to its own block, to a paragraph or to a table; one that is an own block amid a table to both.
+    member = lambda kind, number: F.struct(F.lit(kind).alias("of"), number.cast("int").alias("number"))
+    groups = F.array_compact(F.array(F.when(single, member("own", F.col("line_no"))), F.when(F.col("kind") == "text", member("paragraph", F.col("paragraph"))), F.when(~flushes, member("table", F.col("table")))))
+    each = marked.withColumn("g", F.explode(groups)).select("document_id", "page", "g.of", "g.number", "line_no", "kind", "line", "cells", "section")
+    ordered = lambda value, when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("line_no", value.alias("v"))))), lambda x: x["v"])
+    # The last line before a flush settles a block's place and section.
+    made = each.groupBy("document_id", "page", "of", "number").agg(
+        F.max(F.struct("line_no", "section")).alias("until"), F.min("kind").alias("kind"), ordered(F.col("line"), F.col("of") != "table").alias("lines"), ordered(F.array_join("cells", " | "), (F.col("of") == "table") & (F.col("kind") == "row")).alias("rows")
+    )
     reference = F.coalesce(is_reference_heading(F.col("until.section")), F.lit(False))
-    paragraphs = paragraphs.select("document_id", "page", F.col("until.line_no").alias("at"), F.lit(1).alias("after"), F.when(reference, "reference").otherwise("paragraph").alias("type"), joined_lines(F.col("lines")).alias("text"), F.col("until.section").alias("section"))
-    rows = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "row", F.struct("line_no", F.array_join("cells", " | ").alias("row"))))), lambda x: x["row"])
-    tables = spans.where(~flushes).groupBy("document_id", "page", "table").agg(F.max("until").alias("until"), rows.alias("rows")).where(F.size("rows") > 0)
-    tables = tables.select("document_id", "page", F.col("until.line_no").alias("at"), F.lit(1).alias("after"), F.lit("table").alias("type"), F.array_join("rows", "\n").alias("text"), F.col("until.section").alias("section"))
-    every = single.unionByName(paragraphs).unionByName(tables).where("text <> ''")
+    text = F.when(F.col("of") == "own", clean_text(F.get("lines", F.lit(0)))).when(F.col("of") == "paragraph", joined_lines(F.col("lines"))).otherwise(F.array_join("rows", "\n"))
+    kind = F.when(F.col("of") == "own", F.col("kind")).when(F.col("of") == "paragraph", F.when(reference, "reference").otherwise("paragraph")).otherwise("table")
+    every = made.select("document_id", "page", F.col("until.line_no").alias("at"), (F.col("of") != "own").cast("int").alias("after"), kind.alias("type"), text.alias("text"), F.col("until.section").alias("section")).where("text <> ''")
     return every.select("document_id", "page", F.row_number().over(Window.partitionBy("document_id", "page").orderBy("at", "after")).alias("block_no"), "type", "text", "section")
 
 

@@ -85,7 +85,7 @@ def parsed_responses(responses: DataFrame) -> DataFrame:
     value = F.from_json("content", RESPONSE)
     empty = lambda c: trim(F.coalesce(c, F.lit(""))) == ""
     known = responses.withColumn("value", value).withColumn("matches", F.col("value.matches"))
-    valid_json = F.is_variant_null(F.try_parse_json("content")).isNotNull()
+    valid_json = F.try_parse_json("content").isNotNull()
     first_error = F.get(
         F.filter(
             F.transform(
@@ -101,7 +101,7 @@ def parsed_responses(responses: DataFrame) -> DataFrame:
         ),
         F.lit(0),
     )
-    error = F.when(~F.coalesce(valid_json, F.lit(False)), "The hierarchy model returned invalid JSON.").when(F.col("matches").isNull(), "The hierarchy model omitted matches.").otherwise(first_error)
+    error = F.when(~valid_json, "The hierarchy model returned invalid JSON.").when(F.col("matches").isNull(), "The hierarchy model omitted matches.").otherwise(first_error)
     return known.withColumn("error", error).drop("value")
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.config import QUERY_PREFIX
 from granary.functions.text import sentences, tokens
@@ -45,7 +46,7 @@ class HashingEmbedder:
         spark = texts.sparkSession
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(self.batch))
         hashed = texts.withColumn("_hashes", F.transform(tokens(F.coalesce("text", F.lit(""))), lambda t: F.xxhash64(t)))
-        schema = hashed.drop("_hashes").schema.add("dense", "array<float>")
+        schema = hashed.drop("_hashes").schema.add("dense", T.ArrayType(T.FloatType()))
 
         def run(batches):
             for batch in batches:

@@ -7,22 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import WS, clean_text, squeeze, words
+from granary.functions.text import WS, clean_text, let, squeeze, words
 
 MINIMUM_WORDS = 50
 
 
 def _reason(cleaned: Column) -> Column:
-    tokens = F.split(cleaned, f"{WS}+")
-    joined = F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}{36,}")))
-    count = F.size(tokens)
-    return (
-        F.when(cleaned == "", "no extractable text")
-        .when(cleaned.rlike(r"(?i)^(?:#(?:NAME|REF|VALUE|DIV/0|N/A)[!?]?\s*)+$"), "spreadsheet error in place of page text")
-        .when(F.regexp_count(cleaned, F.lit("�")) > F.greatest(F.lit(2.0), F.length(cleaned) * 0.01), "too many replacement characters")
-        .when(((count <= 3) & (joined > 0)) | (joined >= F.greatest(F.lit(3.0), count * 0.1)), "probable joined words")
-        .when((F.length(cleaned) >= 100) & (count < 8), "too few word boundaries")
-    )
+    def of(text: Column, tokens: Column) -> Column:
+        joined = F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}{36,}")))
+        count = F.size(tokens)
+        return (
+            F.when(text == "", "no extractable text")
+            .when(text.rlike(r"(?i)^(?:#(?:NAME|REF|VALUE|DIV/0|N/A)[!?]?\s*)+$"), "spreadsheet error in place of page text")
+            .when(F.regexp_count(text, F.lit("\ufffd")) > F.greatest(F.lit(2.0), F.length(text) * 0.01), "too many replacement characters")
+            .when(((count <= 3) & (joined > 0)) | (joined >= F.greatest(F.lit(3.0), count * 0.1)), "probable joined words")
+            .when((F.length(text) >= 100) & (count < 8), "too few word boundaries")
+        )
+
+    return let(cleaned, lambda text: let(F.split(text, f"{WS}+"), lambda tokens: of(text, tokens)))
 
 
 def quality_reason(text: Column) -> Column:

@@ -31,12 +31,11 @@ def numbered(rows: DataFrame, groups: list[str], order: list[str], name: str = "
     local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range", *groups).orderBy(*order)))
     counts = local.groupBy("_range", *groups).agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select("_range", *groups, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    same = [local[c].eqNullSafe(shift[c]) for c in ("_range", *groups)]
-    condition = same[0]
-    for one in same[1:]:
-        condition = condition & one
-    return local.join(shift, condition).select(*(local[c] for c in rows.columns), (local["_at"] + shift["_before"]).alias(name))
+    shift = counts.select(F.col("_range").alias("_s_range"), *(F.col(c).alias(f"_s_{c}") for c in groups), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_s_range")
+    for c in groups:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    return local.join(shift, same).select(*rows.columns, (F.col("_at") + F.col("_before")).alias(name))
 
 
 def by_turns(rows: DataFrame, source: str, order: list[str]) -> DataFrame:

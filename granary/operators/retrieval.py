@@ -142,6 +142,7 @@ def fuse(legs: list[DataFrame], k: int, rrf_k: int = 60, rank_base: int = 1, dig
     every = legs[0].select("query_id", "chunk_id", "rank")
     for leg in legs[1:]:
         every = every.unionByName(leg.select("query_id", "chunk_id", "rank"))
+    every = every.repartition("query_id", "chunk_id")
     share = 1 / (F.col("rank") - 1 + rank_base + F.lit(float(rrf_k)))
     return best(every.groupBy("query_id", "chunk_id").agg(F.round(F.sum(share), digits).alias("score")), k)
 
