@@ -118,20 +118,26 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, hashes, counts``: sorted unsigned 64-bit hashes and unsigned 32-bit counts of the shingles."""
+    """``doc_id, hashes, counts``: the shingles' sorted hashes in 48 bits (two texts' shingles meet by chance once in 10^9 pairs), and unsigned 32-bit counts, empty where all are 1."""
 
     def run(batches):
         for batch in batches:
             doc, value, count = shingles(text_bytes(batch.column(1)), size)
             bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([value[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
+                [batch.column(0), pa.array([value[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() if (count[a:b] > 1).any() else b"" for a, b in zip(bounds, bounds[1:])], pa.binary())],
                 names=["doc_id", "hashes", "counts"],
             )
 
     return docs.mapInArrow(run, "doc_id long, hashes binary, counts binary")
 
 
+def _set(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(hashes) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(hashes, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1), np.frombuffer(counts, "<u4") if counts else np.ones(len(wide), "<u4")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` whose shingles have a similarity of ``threshold`` or more."""
     of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"{c}_hashes"), F.col("counts").alias(f"{c}_counts"))
@@ -139,7 +145,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             a, b, xa, xn, ya, yn = (batch.column(i).to_pylist() for i in range(6))
-            keep = [probability_jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, "<u4"), np.frombuffer(r, np.uint64), np.frombuffer(s, "<u4")) >= threshold for p, q, r, s in zip(xa, xn, ya, yn, strict=True)]
+            keep = [probability_jaccard(*_set(p, q), *_set(r, s)) >= threshold for p, q, r, s in zip(xa, xn, ya, yn, strict=True)]
             kept = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["src", "dst"])
 
@@ -167,7 +173,7 @@ def _across(buckets: DataFrame, sets: DataFrame, threshold: float, block: int) -
         rep, part = table.column("rep").to_numpy(), table.column("component").to_numpy()
         first = np.array(table.column("first").to_pylist(), bool)
         same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-        sets_ = [(np.frombuffer(h, np.uint64), np.frombuffer(c, "<u4")) for h, c in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+        sets_ = [_set(h, c) for h, c in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
         share = _least_shares(sets_)
         a = np.arange(len(rep)) if same else np.flatnonzero(first)
         b = a if same else np.flatnonzero(~first)
