@@ -4,7 +4,9 @@ Base spans are those of three patterns. Beside them, tokens of 16 or more
 characters are scored by the log-likelihood ratio of two first-order character
 Markov models, one of random strings and one of ordinary identifiers, both
 counted by a grouped aggregation over labelled samples. A token over the
-threshold is a span of kind ``markov``.
+threshold is a span of kind ``markov``. Of any other token its stretches of 16
+or more characters that are over the threshold are found (a secret joined to a
+name or path), and the pieces between ``=`` and ``/`` that they lie in are spans.
 
 Spark has no expression for the place of a match. So matches are marked instead:
 each is put between two control characters, the text is split there, and the
@@ -32,8 +34,11 @@ _SEP, _PART, _STAND_IN = "\x01", "\x02", "\x03"
 
 #: A token is a secret where the mean log-likelihood ratio of its character pairs is over this many nats.
 THRESHOLD = 1.0
+#: The shortest stretch of a token that is scored by itself, as the shortest token is.
+SHORTEST = 16
 #: Samples of each random form and of each identifier form that the models are counted from.
 SAMPLES = 1500
+_MARKS = "+/_=-"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 _VERBS = "get set is has add remove create delete update find read write open close load save parse format render build make init start stop send receive handle process validate compute merge split join filter sort map reduce encode decode check apply register resolve convert insert select count print fetch store".split()
@@ -72,6 +77,10 @@ def markov_ratios(random: DataFrame, ordinary: DataFrame) -> list[list[float]]:
     Both models are counted by a grouped aggregation over the samples' pairs and
     smoothed by one for each character of the alphabet; pairs with other
     characters count for nothing. At most 67 x 67 counts reach the driver.
+
+    Rules, repeated characters and joints are ordinary however rare they are in
+    the samples: a pair of equal characters, of two marks or with ``=`` or ``/``
+    speaks for no random string (a ratio of 0 at most).
     """
     pairs = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.col("text").substr(i, F.lit(2)))).alias("pair"))
     usable = lambda df: df.where(F.length("text") > 1)
@@ -81,7 +90,9 @@ def markov_ratios(random: DataFrame, ordinary: DataFrame) -> list[list[float]]:
     for row in counted.where(F.translate("pair", _ALPHABET, "") == "").collect():
         x, y = map(_ALPHABET.index, row["pair"])
         counts[row["kind"]][x][y] += row["count"]
-    return [[math.log(counts[1][x][y] / sum(counts[1][x])) - math.log(counts[0][x][y] / sum(counts[0][x])) for y in range(n)] for x in range(n)]
+    ratio = lambda x, y: math.log(counts[1][x][y] / sum(counts[1][x])) - math.log(counts[0][x][y] / sum(counts[0][x]))
+    plain = lambda a, b: a == b or (a in _MARKS and b in _MARKS) or a in "=/" or b in "=/"
+    return [[min(ratio(x, y), 0.0) if plain(_ALPHABET[x], _ALPHABET[y]) else ratio(x, y) for y in range(n)] for x in range(n)]
 
 
 _MODEL: list[list[float]] = []
@@ -94,29 +105,111 @@ def default_ratios(spark: SparkSession) -> list[list[float]]:
     return _MODEL
 
 
-def mean_ratio(token: Column, ratios: list[list[float]]) -> Column:
-    """Mean log-likelihood ratio of the character pairs of ``token``; 0 for fewer than two characters.
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is found once however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pair_ratios(token: Column, ratios: list[list[float]]) -> Column:
+    """``array<double>``: the log-likelihood ratio of each two characters of ``token`` that follow each other.
 
     The pair's place in the table is read by number, so a pair costs the same
     whatever the size of the alphabet.
     """
     n = len(_ALPHABET)
     flat = F.split(F.lit(",".join(f"{x:.5g}" for row in ratios for x in row)), ",").cast("array<double>")  # folded to a constant
-    code = lambda i: F.instr(F.lit(_ALPHABET), token.substr(i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
     # An alphabet's place is looked up by instr; 0 (no such character) never occurs in a candidate.
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(flat, (code(i) - 1) * n + code(i + 1) - 1))
-    return F.when(F.length(token) > 1, total / (F.length(token) - 1)).otherwise(0.0)
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(_ALPHABET), c))
+    return _bound(codes, lambda cs: F.transform(F.slice(cs, 1, F.greatest(F.length(token) - 1, F.lit(0))), lambda c, i: F.get(flat, (c - 1) * n + F.get(cs, i + 1) - 1)))
+
+
+def _mean(pairs: Column) -> Column:
+    return F.when(F.size(pairs) > 0, F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / F.size(pairs)).otherwise(0.0)
+
+
+def mean_ratio(token: Column, ratios: list[list[float]]) -> Column:
+    """Mean log-likelihood ratio of the character pairs of ``token``; 0 for fewer than two characters."""
+    return _bound(pair_ratios(token, ratios), _mean)
+
+
+_STRETCHES = "array<struct<start:int,end:int>>"
+
+
+def _stretches(pairs: Column, threshold: float) -> Column:
+    """The stretches of ``SHORTEST`` or more characters whose mean is over ``threshold``, each to its best end.
+
+    One pass over the sums of what each pair is over the threshold: a stretch is
+    one from the lowest sum at least ``SHORTEST`` characters back. It grows while
+    the sum rises over that at its end, and the next one starts at or after it. A
+    head too short for a stretch is left off where the sum is still lower after it.
+    """
+    least = SHORTEST - 1
+    zero = F.struct(
+        F.lit(0).alias("k"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("back"), F.lit(float("inf")).alias("low"), F.lit(-1).alias("at"),
+        F.lit(-1).alias("start"), F.lit(0.0).alias("base"), F.lit(-1).alias("end"), F.array().cast(_STRETCHES).alias("out"),
+    )
+    done = lambda acc: F.when(acc["start"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), (acc["end"] + 1).alias("end"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        k = acc["k"] + 1
+        now = acc["sum"] + x - threshold
+        # The sum before the pair at place k - least, which starts the shortest stretch that ends here.
+        back = F.when(k > least, acc["back"] + F.get(pairs, k - least - 1) - threshold).otherwise(acc["back"])
+        lower = (k >= least) & (k - least >= acc["end"]) & (back < acc["low"])
+        low, at = F.when(lower, back).otherwise(acc["low"]), F.when(lower, k - least).otherwise(acc["at"])
+        seen = F.struct(k.alias("k"), now.alias("sum"), back.alias("back"), low.alias("low"), at.alias("at"))
+
+        def hit(s: Column) -> Column:
+            found, grows = s["sum"] > s["low"], s["at"] == acc["end"]
+            first = s["k"] - least
+            headless = (acc["start"] >= 0) & (first > acc["start"]) & (first < acc["start"] + least) & (first < acc["end"]) & (s["back"] < acc["base"])
+            return F.struct(
+                s["k"].alias("k"), s["sum"].alias("sum"), s["back"].alias("back"),
+                F.when(found, s["sum"]).otherwise(s["low"]).alias("low"), F.when(found, s["k"]).otherwise(s["at"]).alias("at"),
+                F.when(found & ~grows, s["at"]).when(headless, first).otherwise(acc["start"]).alias("start"),
+                F.when(found & ~grows, s["low"]).when(headless, s["back"]).otherwise(acc["base"]).alias("base"), F.when(found, s["k"]).otherwise(acc["end"]).alias("end"),
+                F.when(found & ~grows, done(acc)).otherwise(acc["out"]).alias("out"),
+            )
+
+        return _bound(seen, hit)
+
+    return F.aggregate(pairs, zero, step, done)
+
+
+def _pieces(token: Column, stretches: Column) -> Column:
+    """What each stretch lies in, out to the next ``=`` or ``/`` on both sides; those that then meet become one."""
+
+    def step(out: Column, s: Column) -> Column:
+        inner = token.substr(s["start"] + 1, s["end"] - s["start"])
+        head = token.substr(F.lit(1), s["start"] + F.length(inner) - F.length(F.regexp_replace(inner, "^[=/]+", "")))
+        tail = token.substr(s["end"] + 1 - F.length(inner) + F.length(F.regexp_replace(inner, "[=/]+$", "")), F.length(token))
+        wide = F.struct(F.length(F.regexp_replace(head, "[^=/]+$", "")).alias("start"), (F.length(token) - F.length(F.regexp_replace(tail, "^[^=/]+", ""))).alias("end"))
+        last = F.get(out, F.size(out) - 1)
+
+        def put(w: Column) -> Column:
+            meets = (F.size(out) > 0) & (last["end"] >= w["start"])
+            both = F.struct(F.least(last["start"], w["start"]).alias("start"), F.greatest(last["end"], w["end"]).alias("end"))
+            return F.when(meets, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(w)))
+
+        return _bound(wide, put)
+
+    return F.aggregate(stretches, F.array().cast(_STRETCHES), step)
+
+
+def random_pieces(token: Column, ratios: list[list[float]], threshold: float = THRESHOLD) -> Column:
+    """``array<struct<start,end>>``: all of a token that is over the threshold, otherwise the pieces with a stretch that is."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(token).alias("end")))
+    return _bound(pair_ratios(token, ratios), lambda pairs: F.when(_mean(pairs) > threshold, whole).otherwise(_pieces(token, _stretches(pairs, threshold))))
 
 
 def _parts(text: Column, pattern: str, kept: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_SEP}{kept}{_SEP}"), _SEP)
 
 
-def _spans(parts: Column, kind: str, rank: int, keep) -> Column:
-    """``array<struct<start,rank,end,kind>>`` of the odd parts that ``keep`` accepts.
+def _spans(parts: Column, kind: str, rank: int, within) -> Column:
+    """``array<struct<start,rank,end,kind>>`` of what ``within`` finds in the odd parts.
 
-    The running start is a fold over the parts, which alternate between what lies
+    ``within`` gives places in its match. The running start is a fold over the parts, which alternate between what lies
     outside and a match; a match may carry a second field, which doesn't count.
     """
     match = lambda p: F.element_at(F.split(p, _PART), 1)
@@ -124,8 +217,8 @@ def _spans(parts: Column, kind: str, rank: int, keep) -> Column:
 
     def step(acc: Column, p: Column) -> Column:
         end = acc["at"] + F.length(match(p))
-        one = F.array(F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"] & keep(p), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        new = F.transform(within(p), lambda s: F.struct((acc["at"] + s["start"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + s["end"]).alias("end"), F.lit(kind).alias("kind")))
+        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(parts, zero, step)["out"]
 
@@ -137,13 +230,13 @@ def secret_spans(text: Column, ratios: list[list[float]], threshold: float = THR
     """
     clean = F.translate(F.coalesce(text, F.lit("")), _SEP + _PART, _STAND_IN * 2)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    always = lambda p: F.lit(True)
-    group = lambda p: F.length(F.element_at(F.split(p, _PART), 2)) >= 8
+    always = lambda p: F.array(F.struct(F.lit(0).alias("start"), F.length(F.element_at(F.split(p, _PART), 1)).alias("end")))
+    group = lambda p: F.filter(always(p), lambda s: F.length(F.element_at(F.split(p, _PART), 2)) >= 8)
     found = [
         F.when(clean.rlike(_ANY_ASSIGN), _spans(_parts(clean, ASSIGN, f"$0{_PART}$2"), "assign", 0, group)).otherwise(none),
         F.when(F.contains(clean, F.lit("AKIA")), _spans(_parts(clean, ACCESS, "$0"), "access", 1, always)).otherwise(none),
         F.when(clean.rlike(HEX), _spans(_parts(clean, HEX, "$0"), "hex", 2, always)).otherwise(none),
-        F.when(clean.rlike(CANDIDATE), _spans(_parts(clean, CANDIDATE, "$0"), "markov", 3, lambda p: mean_ratio(p, ratios) > threshold)).otherwise(none),
+        F.when(clean.rlike(CANDIDATE), _spans(_parts(clean, CANDIDATE, "$0"), "markov", 3, lambda p: random_pieces(p, ratios, threshold))).otherwise(none),
     ]
     return F.array_sort(F.concat(*found))
 

@@ -53,6 +53,21 @@ def test_markov_model(spark):
     assert "markov" in found[0] and all("markov" not in found[i] for i in (2, 3, 4))
 
 
+def test_joined_secrets_and_rules(spark):
+    key = "kX9vQ2mZt7Lp4RwB8nYc"
+    joined = [f"aws_access_credentials_production={key}", f"com/api/v1/webhooks/services/callbacks/{key}", f"aws_access_credentials_production_{key}", f"{key}=get_user_name_value_list/{key[::-1]}", f"x {'-' * 200}{key}"]
+    ordinary = [c * n for c in "-_=+/aAexz0Q9" for n in (16, 40)] + ["-=" * 20, "+/" * 20, "_-" * 20, "----------------/====", "github/org/repository/blob/main/src/components/Button", "MAX_BUFFER_SIZE_LIMIT=4096"]
+    df = spark.createDataFrame(list(enumerate(joined + ordinary)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "markov"] for r in secrets.scan_secrets(df).collect()}
+    for i, text in enumerate(joined):
+        for k in (key, key[::-1]) if i == 3 else (key,):
+            assert any(a <= text.index(k) and text.index(k) + len(k) <= b for a, b in found[i]), text
+    assert found[0] == [(joined[0].index(key), len(joined[0]))] and len(found[3]) == 2
+    assert [t for i, t in enumerate(ordinary, len(joined)) if found[i]] == []
+    left = [r["text"] for r in secrets.redacted_documents(df).where(F.col("doc_id") < len(joined)).collect()]
+    assert not any(key in t or key[::-1] in t for t in left)
+
+
 def test_redaction(spark, odd_documents):
     out = secrets.redacted_documents(odd_documents)
     assert out.columns == odd_documents.columns and out.count() == odd_documents.count()
