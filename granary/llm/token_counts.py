@@ -2,8 +2,10 @@
 
 The count of a prefix is a dynamic program over the text: tokens of all segments
 before it (no merge crosses a segment's front, see :mod:`granary.llm.tokens`)
-plus the tokens of the part of its own segment, which is found once for each
-different segment and kept. After that, truncation and budget questions are
+plus the tokens of the part of its own segment. Those are found once for each
+different short segment and kept; in a long one (a text without spaces) they are
+a dynamic program themselves, over the pieces (:class:`granary.llm.tokens.PrefixPieces`),
+in time and memory proportional to its length. After that, truncation and budget questions are
 look-ups: nothing is encoded again.
 """
 
@@ -52,7 +54,7 @@ class PrefixCounter:
         """Tokens of the segment's space alone, and then with each further code point."""
         known = self._inside.get(segment)
         if known is None:
-            known = self._tokenizer.count_segments([segment[:i] for i in range(len(segment) + 1)])
+            known = self._tokenizer.prefix_counts(segment)
             if len(segment) <= 64:
                 if len(self._inside) >= self._bound:
                     self._inside.clear()

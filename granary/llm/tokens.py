@@ -177,6 +177,7 @@ class PieceTokenizer:
         #: What the model reads in front of a line end at the start of a segment.
         self._front = len(m.encode("\nb")) - (len(m.encode("a\nb")) - len(m.encode("a")))
         self._cache = _Generations(bound)
+        self._prefixes: PrefixPieces | None = None
 
     def count_segments(self, segments: list[str]) -> list[int]:
         """Tokens of each segment of :func:`space_segments`."""
@@ -213,10 +214,86 @@ class PieceTokenizer:
         self._cache.trim(used)
         return out
 
+    def prefix_counts(self, segment: str) -> list[int]:
+        """Tokens of each prefix of a segment of :func:`space_segments`, from the empty one (its space alone) to the whole."""
+        if len(segment) <= CACHE_CHARS:
+            return self.count_segments([segment[:i] for i in range(len(segment) + 1)])
+        if self._prefixes is None:
+            self._prefixes = PrefixPieces(self._model)
+        return self._prefixes.counts(segment)
+
     def ids(self, text: str) -> list[int]:
         return self._model.encode(text)
 
 
+class PrefixPieces:
+    """Token counts at all prefixes of one segment by dynamic programming, without encoding them.
+
+    In byte pair encoding the encoding of a text without its last token is that
+    of the shorter text, and a token can follow another exactly if the two
+    together are encoded as those two. So the last token at each place is the one
+    that can follow the last token where it starts, and its count is one more
+    than there: at most as many look-ups for a character as a piece is long.
+    Characters that aren't in the vocabulary are as many tokens as bytes.
+    """
+
+    #: Known pairs of tokens that are kept.
+    PAIRS = 500_000
+
+    def __init__(self, model):
+        odd = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
+        self._model = model
+        self._score = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not odd(i)}
+        self._longest = max(map(len, self._score))
+        self._follows: dict[tuple[str, str], bool] = {}
+
+    def _encode(self, text: str) -> list[str]:
+        """Best score first, the leftmost of equal ones; for short texts."""
+        parts, score = list(text), self._score
+        while True:
+            joined = [(-score[x], i) for i, x in enumerate(map(str.__add__, parts, parts[1:])) if x in score]
+            if not joined:
+                return parts
+            at = min(joined)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def _can_follow(self, before: str, token: str) -> bool:
+        known = self._follows.get((before, token))
+        if known is None:
+            if len(self._follows) >= self.PAIRS:
+                self._follows.clear()
+            known = self._follows[before, token] = self._encode(before + token) == ([before, token] if before else [token])
+        return known
+
+    def counts(self, segment: str) -> list[int]:
+        """As the library counts ``segment[:i]`` for each ``i``; what it finds is checked at some places."""
+        text = "▁" + segment.replace(" ", "▁")
+        known, longest, can = self._score, self._longest, self._can_follow
+        out, last = [0], [""]
+        for end in range(1, len(text) + 1):
+            if text[end - 1] not in known:
+                out.append(out[-1] + len(text[end - 1].encode()))
+                last.append("")
+                continue
+            for size in range(1, min(longest, end) + 1):
+                token = text[end - size : end]
+                if token in known and can(last[end - size], token):
+                    out.append(out[end - size] + 1)
+                    last.append(token)
+                    break
+            else:
+                return self._slowly(segment)
+        n = len(segment)
+        if any(len(self._model.encode(segment[:i])) != out[i + 1] for i in {n * k // 8 for k in range(1, 9)} - {0}):
+            return self._slowly(segment)
+        return out[1:]
+
+    def _slowly(self, segment: str) -> list[int]:
+        """For a model that isn't of this form: each prefix by itself, one held at a time."""
+        lone = len(self._model.encode("a ")) - len(self._model.encode("a"))
+        return [lone] + [len(self._model.encode(segment[:i])) for i in range(1, len(segment) + 1)]
+
+
 _LOADED: dict[tuple[type, str], object] = {}
 
 

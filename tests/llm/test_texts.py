@@ -1,6 +1,8 @@
 """op1, op2, op5 and op10 against the libraries and plain Python."""
 
+import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -189,6 +191,25 @@ def test_prefix_counts(odd_texts, spark):
     assert [(r["doc_id"], r["n_tokens"] <= 3) for r in rows] == [(1, True), (2, True)]
 
 
+def test_prefix_counts_of_long_segments(spark, monkeypatch):
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(token_counts.MODEL))
+    rng = random.Random(3)
+    pieces = ["function", "return", ".length", "ation", "{", "}", "\n", "\t", "é", "é", "\U0001f600", "東", "京", "データ", "<0x09>", "---", "00", "q", "Zx9"]
+    code = "".join(rng.choice(pieces) for _ in range(60_000))[:100_000]
+    texts = [code[:1500], "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(800)), base64.b64encode(rng.randbytes(900)).decode(), " " * 300 + "word" * 60, "a" * 500]
+    encoded = []
+    counted = PieceTokenizer.count_segments
+    monkeypatch.setattr(PieceTokenizer, "count_segments", lambda self, segments: encoded.append(sum(map(len, segments))) or counted(self, segments))
+    counter = token_counts.PrefixCounter(PieceTokenizer(tokenizer_path(token_counts.MODEL)))
+    for text in texts:
+        assert counter.prefixes(text).counts.tolist() == [len(model.encode(text[:i])) for i in range(len(text) + 1)], text[:50]
+    assert sum(encoded) < 100 * sum(map(len, texts))
+    found = counter.prefixes(code)
+    assert len(found.counts) == len(code) + 1 and all(found.at(i) == len(model.encode(code[:i])) for i in [*range(0, len(code), 9973), len(code)])
+    row = token_counts.truncate_to_budget(spark.createDataFrame([(1, code)], "doc_id long, text string"), tokenizer_path(token_counts.MODEL), 4096).first()
+    assert row["text"] == code[: found.longest(4096)] and row["n_tokens"] == len(model.encode(row["text"])) <= 4096 < len(model.encode(code))
+
+
 def test_empty_tables(no_documents):
     assert secrets.scan_secrets(no_documents).count() == 0
     assert packing.pack(no_documents, tokenizer_path(packing.TOKENIZER)).count() == 0
