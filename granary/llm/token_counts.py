@@ -71,10 +71,34 @@ class PrefixCounter:
         return PrefixCounts(np.asarray(counts, np.int32))
 
 
+    def longest(self, text: str, budget: int) -> tuple[int, int]:
+        """Code points and tokens of the longest prefix of at most ``budget`` tokens, as :meth:`PrefixCounts.longest` finds it.
+
+        A segment's prefixes have at least one token more than all before it, so
+        that prefix ends in the last segment with room for one: only its table is made.
+        """
+        segments = space_segments(text)
+        before = np.concatenate(([0], np.cumsum(self._tokenizer.count_segments(segments), dtype=np.int64)))
+        if budget < 1 or not segments:
+            return 0, 0
+        last = min(int(np.searchsorted(before, budget, "left")), len(segments)) - 1
+        within = self._within(segments[last])
+        inside = max(i for i, n in enumerate(within) if before[last] + n <= budget)
+        # The first segment's space is the one that the model puts in front of a text: alone it is no prefix.
+        chars = sum(map(len, segments[:last])) + last + inside
+        return chars, int(before[last] + within[inside]) if chars else 0
+
+
+def _counter(tokenizer_file: str) -> PrefixCounter:
+    return PrefixCounter(loaded(PieceTokenizer, tokenizer_file))
+
+
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text.
+    """``doc_id, n_bytes, n_tokens, over_limit, limit_chars`` of every whole text.
 
-    One row for each input row, repeated rows included; a null text counts as
+    ``limit_chars`` are the code points of its longest prefix of at most ``limit``
+    tokens: the whole text, or where it is over the limit by the prefix table of
+    the segment that reaches it. One row for each input row, repeated rows included; a null text counts as
     empty (0 bytes, 0 tokens), a null id stays null. Only the id and text columns
     are read. One narrow pass: no shuffle, memory bounded by a batch of texts and
     the segment cache.
@@ -82,19 +106,20 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, id_co
     bounded_batches(docs.sparkSession)
 
     def make():
-        tokenizer = loaded(PieceTokenizer, tokenizer_file)
+        tokenizer, counter = loaded(PieceTokenizer, tokenizer_file), _counter(tokenizer_file)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = tokenizer.count(texts)
+            chars = [counter.longest(t, limit)[0] if n > limit else len(t) for t, n in zip(texts, counts, strict=True)]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(chars, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"],
             )
 
         return step
 
-    return arrow_map(ids_and_texts(docs, id_col, text_col), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", make)
+    return arrow_map(ids_and_texts(docs, id_col, text_col), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long", make)
 
 
 def prefix_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +131,7 @@ def prefix_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     bounded_batches(docs.sparkSession, 128)
 
     def make():
-        counter = PrefixCounter(loaded(PieceTokenizer, tokenizer_file))
+        counter = _counter(tokenizer_file)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [counter.prefixes(t or "").counts for t in batch.column(1).to_pylist()]
@@ -122,15 +147,14 @@ def truncate_to_budget(docs: DataFrame, tokenizer_file: str, budget: int, id_col
     bounded_batches(docs.sparkSession, 128)
 
     def make():
-        counter = PrefixCounter(loaded(PieceTokenizer, tokenizer_file))
+        counter = _counter(tokenizer_file)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, counts = [], []
             for text in batch.column(1).to_pylist():
-                found = counter.prefixes(text or "")
-                chars = found.longest(budget)
+                chars, n = counter.longest(text or "", budget)
                 texts.append((text or "")[:chars])
-                counts.append(found.at(chars))
+                counts.append(n)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["doc_id", "text", "n_tokens"])
 
         return step

@@ -179,6 +179,28 @@ def test_token_counts(odd_documents, spark, sf_dir):
         assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in rows)
 
 
+def test_longest_prefix_without_the_whole_table(odd_texts):
+    counter = token_counts.PrefixCounter(PieceTokenizer(tokenizer_path(token_counts.MODEL)))
+    for text in [t or "" for t in odd_texts] + ["  two", " ", "東京" * 90, "x" * 300 + " " + "y" * 300, "a  b", "\n \n"]:
+        found = counter.prefixes(text)
+        for budget in (-1, 0, 1, 2, 3, 7, 50, 100, found.total() - 1, found.total(), 10_000):
+            chars = found.longest(budget)
+            assert counter.longest(text, budget) == (chars, found.at(chars)), (text[:40], budget)
+
+
+def test_query_reads_prefix_tables(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(token_counts.MODEL))
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.op10_token_counts(spark, folder).collect()
+    over = [r for r in rows if r["over_limit"]]
+    assert len(rows) == len(texts) and all(r["limit_chars"] == len(texts[r["doc_id"]]) for r in rows if not r["over_limit"])
+    assert over
+    for r in over:
+        text, at = texts[r["doc_id"]], r["limit_chars"]
+        assert len(model.encode(text[:at])) <= 4096 and all(len(model.encode(text[:i])) > 4096 for i in range(at + 1, min(at + 12, len(text)) + 1))
+
+
 def test_prefix_counts(odd_texts, spark):
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(token_counts.MODEL))
     counter = token_counts.PrefixCounter(PieceTokenizer(tokenizer_path(token_counts.MODEL)))
