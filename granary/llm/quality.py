@@ -193,20 +193,22 @@ def listed_fragments(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on about ``sample`` labelled documents at most.
+    """Fit on ``sample`` labelled documents, or on all where there are fewer.
 
     Of an id with several labels the worse counts; labels with nulls and labels of
-    unknown documents count for nothing. What reaches the driver is ``sample`` rows of
+    unknown documents count for nothing, nor for the sample's size. Of an id with
+    several documents the least text is taken. What reaches the driver is ``sample`` rows of
     features and two lists of ``LISTED`` fragments, whatever the corpus.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 256)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and quality is not null and toxic is not null")
-    thin = max(1, -(-given.count() // sample))
-    chosen = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(thin)) == 0).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # Bounded by ``sample``: the labels' side is broadcast, the texts don't move.
-    taken, path = stored(texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic"), "quality-sample")
+    known = given.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # Bounded by ``sample``: the labels' side is broadcast, of the texts only those of the sample move.
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    taken, path = stored(found.select("text", "quality", "toxic"), "quality-sample")
     bad, toxic_list = map(Listed, listed_fragments(taken))
 
     def run(batches):

@@ -215,6 +215,21 @@ def test_quality_on_held_out_labels(spark):
     assert clean.kept.mean() > 0.99 and judged[judged.good == 0].kept.mean() < 0.02 and judged[judged.toxic == 1].kept.mean() < 0.15
 
 
+def test_quality_sample_size(spark, monkeypatch):
+    sizes = []
+    listed = quality.listed_fragments
+    monkeypatch.setattr(quality, "listed_fragments", lambda taken: sizes.append((taken.count(), taken.where("quality = 0").count())) or listed(taken))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"))
+    own = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    repeated = own.crossJoin(spark.range(60)).drop("id")
+    foreign = spark.range(1000, 9000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    many = docs.unionByName(docs.where("doc_id = 6").crossJoin(spark.range(500)).drop("id"))
+    for table, labels in ((docs, own), (docs, repeated), (docs, own.unionByName(foreign)), (many, own)):
+        quality.fit(table, labels, sample=100)
+        quality.fit(table, labels, sample=1000)
+    assert [n for n, _ in sizes] == [100, 200] * 4 and len(set(sizes)) == 2
+
+
 def test_quality_of_odd_tables(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(3 * i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(50)] + [(3, 0, 1), (None, 1, 1), (9, None, 0), (99999, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.judge(odd_documents, labels).collect()
