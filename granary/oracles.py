@@ -132,12 +132,17 @@ ORACLES = {
     "t01_clean_text": rf"WITH {_DOCS} SELECT doc_id, md5({_clean('text')}) AS clean_md5, len({_words('text')})::BIGINT AS words, {_letters('text')}::BIGINT AS letters FROM docs",
     "t04_section_labels": rf"""WITH {_DOCS}, f AS (SELECT doc_id, string_split(text, chr(10))[1] AS x FROM docs)
 SELECT doc_id, round(CASE WHEN x = '' THEN NULL ELSE {_letters('x')} / length(x) END, 9) AS ratio, CASE WHEN x <> '' AND len({_words('x')}) <= 12 AND {_letters('x')} / length(x) >= 0.6 AND regexp_matches(x, '\p{{L}}{{3,}}') AND NOT contains(x, '_') THEN x END AS label FROM f""",
+    "t04_line_labels": rf"""WITH {_DOCS}, f AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)),
+g AS (SELECT doc_id, i, CASE WHEN x = '' THEN NULL ELSE {_letters('x')} / length(x) END AS ratio, CASE WHEN x <> '' AND len({_words('x')}) <= 12 AND {_letters('x')} / length(x) >= 0.6 AND regexp_matches(x, '\p{{L}}{{3,}}') AND NOT contains(x, '_') THEN x END AS label FROM f)
+SELECT doc_id, count(*)::BIGINT AS lines, round(avg(ratio), 9) AS ratio, count(label)::BIGINT AS labels, md5(coalesce(string_agg(label, chr(10) ORDER BY i), '')) AS labels_md5 FROM g GROUP BY doc_id""",
     "t05_dedup_form": rf"WITH {_DOCS} SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS form_md5 FROM docs",
     "t06_sentences": rf"""WITH {_DOCS} SELECT doc_id, (len(regexp_extract_all(text, '[.!?]\s+[\p{{Lu}}\p{{N}}"“(]')) + 1)::BIGINT AS sentences FROM docs""",
     "t07_prose_tables": rf"""WITH {_DOCS}, r AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' | ')) AS rows_ FROM docs),
 c AS (SELECT *, flatten(rows_) AS cells, len(list_filter(rows_, lambda x: len(x) = 2 AND regexp_matches(trim(x[1]), '^(?:\(?[\dA-Za-z]{{1,3}}[.)]|[•▪◦\-–])$'))) AS marked FROM r)
 SELECT doc_id, CASE WHEN marked * 2 >= len(rows_) OR (len(list_filter(rows_, lambda x: len(x) > 2)) = 0 AND len(list_filter(cells, lambda x: len({_words('x')}) >= 5)) * 2 >= len(cells)) THEN md5(array_to_string(cells, ' ')) END AS prose_md5 FROM c""",
     "t10_edge_keys": rf"WITH {_DOCS}, f AS (SELECT doc_id, string_split(text, chr(10))[1] AS a, string_split(text, chr(10))[-1] AS b FROM docs) SELECT doc_id, md5({_edge('a')}) AS first_md5, md5({_edge('b')}) AS last_md5, len({_cells('a')})::BIGINT AS cells FROM f",
+    "t10_line_keys": rf"""WITH {_DOCS}, f AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS a, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)
+SELECT doc_id, count(*)::BIGINT AS lines, md5(string_agg({_edge('a')}, chr(10) ORDER BY i)) AS keys_md5, sum(len({_cells('a')}))::BIGINT AS cells FROM f GROUP BY doc_id""",
     "t12_headings": rf"""WITH {_DOCS}, l AS (SELECT doc_id, {_trim('x')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM docs))
 SELECT doc_id, count(*)::BIGINT AS lines, count(*) FILTER ({_heading('line')})::BIGINT AS headings, count(*) FILTER ({_caption('line')})::BIGINT AS captions, count(*) FILTER (regexp_matches(line, '{_REFERENCE}'))::BIGINT AS references FROM l WHERE line <> '' GROUP BY doc_id""",
     "t14_joined_lines": rf"WITH {_DOCS} SELECT doc_id, md5({_clean(r"replace(regexp_replace(text, '(\p{Ll})\s?-\n(\p{Ll})', '\1\2', 'g'), chr(10), ' ')")}) AS joined_md5 FROM docs",

@@ -77,6 +77,15 @@ def t04_section_labels(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(text.letter_ratio(first), 9).alias("ratio"), text.section_label(first).alias("label"))
 
 
+def t04_line_labels(spark, sf_dir):
+    """As t04_section_labels, of every line."""
+    lines = F.split("text", "\n")
+    ratios = F.filter(F.transform(lines, text.letter_ratio), lambda r: r.isNotNull())
+    labels = F.filter(F.transform(lines, text.section_label), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda acc, r: acc + r), F.size(ratios))
+    return _docs(spark, sf_dir).select("doc_id", F.size(lines).cast("long").alias("lines"), F.round(mean, 9).alias("ratio"), F.size(labels).cast("long").alias("labels"), _md5(F.array_join(labels, "\n")).alias("labels_md5"))
+
+
 def t05_dedup_form(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", _md5(text.dedup_form(F.col("text"))).alias("form_md5"))
 
@@ -94,6 +103,13 @@ def t10_edge_keys(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", _md5(text.edge_key(first)).alias("first_md5"), _md5(text.edge_key(last)).alias("last_md5"), F.size(text.row_cells(first)).cast("long").alias("cells"))
 
 
+def t10_line_keys(spark, sf_dir):
+    """As t10_edge_keys, of every line."""
+    lines = F.split("text", "\n")
+    cells = F.aggregate(F.transform(lines, lambda x: F.size(text.row_cells(x)).cast("long")), F.lit(0).cast("long"), lambda acc, n: acc + n)
+    return _docs(spark, sf_dir).select("doc_id", F.size(lines).cast("long").alias("lines"), _md5(F.array_join(F.transform(lines, text.edge_key), "\n")).alias("keys_md5"), cells.alias("cells"))
+
+
 def t12_headings(spark, sf_dir):
     lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", text.trim(F.col("raw")).alias("line")).where("line <> ''")
     line = F.col("line")
@@ -431,7 +447,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    t01_clean_text, t04_section_labels, t05_dedup_form, t06_sentences, t07_prose_tables, t10_edge_keys, t12_headings, t14_joined_lines, t15_labels, t16_token_overlap, t20_category_queries, t25_identity_hashes, q01_page_quality, q02_preflight_gate,
+    t01_clean_text, t04_section_labels, t04_line_labels, t05_dedup_form, t06_sentences, t07_prose_tables, t10_edge_keys, t10_line_keys, t12_headings, t14_joined_lines, t15_labels, t16_token_overlap, t20_category_queries, t25_identity_hashes, q01_page_quality, q02_preflight_gate,
     s02_extensions, s07_recognised_pages, b02_repeated_edges, b04_line_kinds, b05_blocks, b07_section_fill, b09_rebuilt_pages, c01_word_windows, c03_word_starts, c08_packed_groups, c15_document_topics, c16_passage_chunks, d01_distinct_passages, d02_point_dedup, d05_content_dedup,
     r01_dense_topk, r02_bm25_topk, r03_rrf_hybrid, r06_rerank, r08_embeddings, r09_calibration_pairs, q04_scoped_topk, q05_empty_scope, j03_exclude_auxiliary, g01_context_budget, g02_hierarchy_context, x01_ontology, q07_grounding, q14_responses, a04_category_diagnostics,
     a06_framework, m01_batches, m07_corpus_accept, u02_round_robin, l06_layout, k01_upsert, k05_answers, k06_csv_round_trip,

@@ -3,9 +3,11 @@
 import hashlib
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from granary import oracles, queries
 from granary.config import CalibrationConfiguration, ChunkConfiguration, HierarchyConfiguration, ServiceConfiguration
 from granary.functions import identity, text
 from granary.operators import hierarchy, pages
@@ -126,3 +128,15 @@ def test_collection(spark):
     c.ensure(5, recreate=True)
     with pytest.raises(ValueError):
         c.check_size(2)
+
+
+@pytest.mark.parametrize("name", ["t04_line_labels", "t10_line_keys"])
+def test_queries_of_every_line(spark, name):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.execute(oracles.ORACLES[name]).fetchall()
+    found = [tuple(r) for r in queries.queries()[name](spark, folder).collect()]
+    assert sorted(found, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert all(r[1] == texts[r[0]].count("\n") + 1 for r in found) and any(r[1] > 2 for r in found)
