@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,15 +12,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts may be very long, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch, for all operators alike: texts may be very long.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Bytes of text that a task works on at once.
+SLICE_BYTES = 2 << 20
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of an Arrow batch to ours, where they are higher.
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, so that a run of long texts fits in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    Spark has these bounds for a session only and reads them when a plan is made. They
+    are the same for all operators and are never raised, so plans that run later keep
+    theirs; what a task works on at once is bounded by :func:`sliced` all the same.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``most`` bytes of that column, or of one row; empty ones are left out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column)
+        values = values if pa.types.is_string(values.type) or pa.types.is_binary(values.type) else values.cast(pa.binary())
+        if values.nbytes <= most:
+            yield batch
+            continue
+        ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def give_back() -> None:
+    """Return scratch memory to the system: a Python worker outlives its task and runs those of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,14 +92,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
-    """``mapInArrow`` with per-task state: ``make`` runs once in each task."""
+def arrow_map(df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], column: int = 1, most: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` over :func:`sliced` batches with per-task state: ``make`` runs once in each task, before its first row."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
+        step = None
+        try:
+            for batch in sliced(batches, column, most):
+                step = step or make()
+                if (out := step(batch)) is not None:
+                    yield out
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -96,12 +137,10 @@ class Words:
     ``texts`` (bytes, None as empty) are translated by ``to``, in which a space
     ends a word. ``hash`` has one well mixed 64-bit value for each word, ``doc``
     the index of its text and ``first`` the index of each text's first word
-    (with the total as its last entry). The hash of a word is a polynomial over
-    its bytes modulo 2^64, taken from prefix sums.
+    (with the total as its last entry). A word's hash is a polynomial over its
+    bytes modulo 2^64, taken from prefix sums.
     """
 
-    _base = np.uint64(0x9E3779B97F4A7C15 | 1)
-
     def __init__(self, texts: list[bytes], to: bytes):
         joined = b" ".join(texts).translate(to) + b" "
         self.bytes = joined
@@ -113,26 +152,7 @@ class Words:
         bounds = np.concatenate(([0], np.cumsum(lengths)))
         self.first = np.searchsorted(self.start, bounds)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.hash = self._hashes(raw)
-
-    def _hashes(self, raw: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.start), np.uint64)
-        length = self.end - self.start
-        powers = _powers(int(self._base), 64)
-        short = length <= 64
-        # Words of up to 64 bytes by columns: the k-th byte of all words that have one.
-        at, left = np.flatnonzero(short), length[short]
-        k = 0
-        while len(at):
-            out[at] += (raw[self.start[at] + k].astype(np.uint64) + np.uint64(1)) * powers[k]
-            k += 1
-            more = left > k
-            at, left = at[more], left[more]
-        for i in np.flatnonzero(~short):
-            part = raw[self.start[i] : self.end[i]].astype(np.uint64) + np.uint64(1)
-            out[i] = np.sum(part * _powers(int(self._base), len(part)), dtype=np.uint64)
-        out += length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return mix64(out)
+        self.hash = span_hashes(prefix_hashes(raw), self.start, self.end)
 
     def grams(self, k: int) -> np.ndarray:
         """A hash for the ``k`` words that start at each word, whatever their text."""
@@ -147,18 +167,40 @@ class Words:
         return ok
 
 
+_BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 64), base, np.uint64)
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
-        have = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if n <= 4 << 20:  # those of a very long text aren't kept
+            _POWERS[base] = have
     return have[:n]
 
 
+def prefix_hashes(raw: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over bytes, modulo 2^64, up to each place."""
+    out = np.zeros(len(raw) + 1, np.uint64)
+    terms = raw.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _powers(_BASE, len(raw))
+    np.cumsum(terms, out=out[1:])
+    return out
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray | int = 0) -> np.ndarray:
+    """A well mixed hash, never 0, of the bytes from each ``start`` to its ``end``, wherever they are, and of ``kind``."""
+    out = sums[end] - sums[start]
+    out *= _powers(pow(_BASE, -1, 1 << 64), len(sums))[start]
+    out += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    out += np.asarray(kind, np.uint64) * np.uint64(0xA0761D6478BD642F)
+    return np.maximum(mix64(out), np.uint64(1))
+
+
 def grams(values: np.ndarray, k: int) -> np.ndarray:
     """Mixed polynomial hash of each run of ``k`` values; the last k - 1 are 0."""
     n = len(values)

@@ -7,8 +7,9 @@ partial partition with one filled window, and the two partial partitions of the
 largest spread are merged, fullest window onto emptiest, until one is left. The
 window count starts at the least that can hold all ids and rises whenever a
 window exceeds the capacity. Then the near-equal windows are levelled by cutting
-(cuts are free): the last windows fill up the others, and what is left is laid
-out in power-of-two sequences, which need no padding.
+(cuts are free): the last windows fill up the others, so that only their documents
+are cut. What is left, less than a sequence, goes into the next batch; that of a
+task's last batch is laid out in power-of-two sequences, which need no padding.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from granary.llm.common import bounded_batches, ids_and_texts
+from granary.llm.common import bounded_batches, give_back, ids_and_texts, sliced, text_bytes
 from granary.llm.tokens import JsonTokenizer, loaded
 
 CAPACITY = 4096
@@ -75,11 +76,14 @@ def windows_within(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, over // 4)
 
 
-def level(windows: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Cut pieces ``(document, start, length)`` so that all but the last sequences are full.
+Piece = tuple[int, int, int]
 
-    Windows are filled in turn from the end of the list; the remaining ids become
-    sequences of power-of-two lengths in descending order.
+
+def level(windows: list[list[Piece]], capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
+    """Full sequences of pieces ``(document, start, length)``, and the pieces that are left: less than a sequence.
+
+    Windows are filled in turn from the end of the list. So the documents of the
+    near-equal windows stay whole and only those of the last ones are cut.
     """
     windows = [list(w) for w in windows]
     loads = [sum(p[2] for p in w) for w in windows]
@@ -97,28 +101,33 @@ def level(windows: list[list[tuple[int, int, int]]], capacity: int) -> list[list
             loads[last] -= take
             if not loads[last]:
                 last -= 1
-        out.append(windows[i])
-        i += 1
+        if loads[i] == capacity:
+            out.append(windows[i])
+            i += 1
     if i > last or not windows:
-        return out
-    rest, left = windows[last], loads[last]
+        return out, []
+    return (out, windows[i]) if loads[i] < capacity else ([*out, windows[i]], [])
+
+
+def tails(rest: list[Piece]) -> list[list[Piece]]:
+    """``rest`` in sequences of power-of-two lengths in descending order, which need no padding."""
+    rest, left, out = rest[::-1], sum(p[2] for p in rest), []
     while left:
-        size = min(capacity, 1 << (left.bit_length() - 1))
-        sequence, room = [], size
+        sequence, room = [], 1 << (left.bit_length() - 1)
+        left -= room
         while room:
-            doc, start, length = rest.pop(0)
+            doc, start, length = rest.pop()
             take = min(length, room)
             sequence.append((doc, start, take))
             if take < length:
-                rest.insert(0, (doc, start + take, length - take))
+                rest.append((doc, start + take, length - take))
             room -= take
         out.append(sequence)
-        left -= size
     return out
 
 
-def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces ``(index, start, length)`` that hold each of the ``sizes`` ids once."""
+def full_sequences(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[list[Piece]], list[Piece]]:
+    """Full sequences of pieces ``(index, start, length)`` of the ``sizes`` ids, and the pieces that are left."""
     full, rests = [], []
     for i, size in enumerate(sizes):
         whole = size // capacity * capacity
@@ -126,7 +135,14 @@ def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[in
         if size > whole:
             rests.append((i, whole, size - whole))
     dealt = windows_within([r[2] for r in rests], capacity)
-    return full + level([[rests[j] for j in w] for w in dealt], capacity)
+    more, left = level([[rests[j] for j in w] for w in dealt], capacity)
+    return full + more, left
+
+
+def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> list[list[Piece]]:
+    """Sequences of pieces ``(index, start, length)`` that hold each of the ``sizes`` ids once."""
+    full, left = full_sequences(sizes, capacity)
+    return full + tails(left)
 
 
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, capacity: int = CAPACITY, batch_ids: int = BATCH_IDS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -141,42 +157,45 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, capacity: i
     documents of their own. An empty table gives no rows. Nothing is shuffled: a
     task packs what it reads, in batches of ``batch_ids`` ids, so memory is bounded
     by a batch and the longest document, and a lost task gives the same rows again.
-    A batch's last sequences have power-of-two lengths; no sequence is padded.
+    A task's last sequences have power-of-two lengths; no sequence is padded.
     """
-    bounded_batches(docs.sparkSession, 512)
-    end = np.uint32(end_id).astype("<u4").tobytes()
+    bounded_batches(docs.sparkSession)
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         tokenizer = loaded(JsonTokenizer, tokenizer_file)
         sequence = TaskContext.get().partitionId() << 32
-        held: list[tuple[int | None, bytes]] = []
+        # Document, where these ids start in it, the ids, the number of all its ids.
+        held: list[tuple[int | None, int, np.ndarray, int]] = []
         count = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(finish: bool) -> pa.RecordBatch:
             nonlocal sequence, held, count
             rows: list[list] = [[] for _ in range(8)]
-            for pieces in pack_sizes([len(x) // 4 for _, x in held], capacity):
+            full, left = full_sequences([len(x[2]) for x in held], capacity)
+            for pieces in full + tails(left) if finish else full:
                 offset = 0
                 for i, start, length in pieces:
-                    doc, raw = held[i]
-                    part = raw[4 * start : 4 * (start + length)]
-                    for column, value in zip(rows, (doc, start, length, zlib.crc32(part), len(raw) // 4, sequence, offset, np.frombuffer(part, "<i4") if with_ids else None), strict=True):
+                    doc, before, ids, total = held[i]
+                    part = ids[start : start + length]
+                    for column, value in zip(rows, (doc, before + start, length, zlib.crc32(part), total, sequence, offset, part.view("<i4") if with_ids else None), strict=True):
                         column.append(value)
                     offset += length
                 sequence += 1
-            held, count = [], 0
+            held = [] if finish else [(held[i][0], held[i][1] + start, held[i][2][start : start + length].copy(), held[i][3]) for i, start, length in left]
+            count = sum(len(x[2]) for x in held)
             arrays = [pa.array(c, pa.int64()) for c in rows[:7]] + ([pa.array(rows[7], pa.list_(pa.int32()))] if with_ids else [])
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(texts), strict=True):
-                held.append((doc, ids + end))
-                count += len(ids) // 4 + 1
+        for batch in sliced(batches, 1):
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(text_bytes(batch.column(1))), strict=True):
+                held.append((doc, 0, np.concatenate((ids, end)), len(ids) + 1))
+                count += len(ids) + 1
                 if count >= batch_ids:
-                    yield flush()
+                    yield flush(False)
         if held:
-            yield flush()
+            yield flush(True)
+        give_back()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = ", ".join(f"{n} long" for n in names[:7]) + ", ids array<int>" * with_ids

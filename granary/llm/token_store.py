@@ -1,28 +1,30 @@
 """Content-addressed store of token ids.
 
 A rolling hash over the last ids cuts each document's ids into chunks, so that
-equal passages give equal chunks wherever they start. The store keeps a chunk's
-ids once, in the row of the document that comes first (the smallest doc_id, then
-place); every other occurrence is only its address. Layout below ``path``:
+equal passages give equal chunks wherever they start. A chunk's address is the hash
+of its ids. The store keeps a chunk's ids once, in the row of one of the documents
+that have it (its keeper); every other occurrence is only its address. Layout below
+``path``:
 
 * ``ids/``: one row a document in ascending doc_id order over the files, range
   partitioned: ``doc_id, row`` (a number of its own), ``n_tokens, before`` (ids of the
-  part's documents before it), ``ids_crc32, hashes`` (16 bytes for each chunk),
-  ``lengths, foreign`` (places of chunks that another row holds), ``lent`` (places of
-  chunks that others refer to), ``data`` (the ids of all but the foreign chunks, and
-  a byte that says how many bytes an id takes), ``root`` (Merkle root of the chunk
-  hashes), ``part``;
+  part's documents before it), ``hashes`` (the recipe: 16 bytes for each chunk),
+  ``lengths, foreign`` (places of chunks that another row keeps), ``lent`` (places of
+  chunks that other rows refer to), ``data`` (the ids of the kept chunks, each chunk
+  once, and a byte that says how many bytes an id takes), ``root`` (Merkle root of the
+  chunk hashes), ``part``;
 * ``manifest/``: for each part its rows, ids and the Merkle root over its documents.
 
-The document's row is its recipe. Reading joins only what is foreign with what is
-lent; a document that holds all of its chunks is read as it is. Each chunk and
-each document is checked against its hash, :func:`verify_manifest` checks the parts.
+Reading joins only what is foreign with what is lent; a document that keeps all of
+its chunks is read as it is. Each chunk is checked against its address, each recipe
+against its root and each part against the manifest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import arrow_map, bounded_batches, ids_and_texts, mix64, remove
+from granary.llm.common import arrow_map, give_back, ids_and_texts, mix64, remove, stored, text_bytes
 from granary.llm.tokens import JsonTokenizer, loaded
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,26 +40,29 @@ END_ID = 2
 #: Ids that the rolling hash looks back over, mean ids of a chunk (a power of two), least and most.
 LOOK_BACK, MEAN, LEAST, MOST = 8, 256, 32, 2048
 
-_IDS = "doc_id long, row long, n_tokens long, before long, ids_crc32 long, hashes array<binary>, lengths array<int>, foreign array<int>, lent array<int>, data binary, root binary, part long"
+_SIZE = 16
+_IDS = "doc_id long, row long, n_tokens long, before long, hashes binary, lengths array<int>, foreign array<int>, lent array<int>, data binary, root binary, part long"
 _IDS_ARROW = {
-    "doc_id": pa.int64(), "row": pa.int64(), "n_tokens": pa.int64(), "before": pa.int64(), "ids_crc32": pa.int64(), "hashes": pa.list_(pa.binary()),
-    "lengths": pa.list_(pa.int32()), "foreign": pa.list_(pa.int32()), "lent": pa.list_(pa.int32()), "data": pa.binary(), "root": pa.binary(), "part": pa.int64(),
+    "doc_id": pa.int64(), "row": pa.int64(), "n_tokens": pa.int64(), "before": pa.int64(), "hashes": pa.binary(), "lengths": pa.list_(pa.int32()),
+    "foreign": pa.list_(pa.int32()), "lent": pa.list_(pa.int32()), "data": pa.binary(), "root": pa.binary(), "part": pa.int64(),
 }
-_STAGE = "doc_id long, row long, n_tokens long, ids_crc32 long, hashes array<binary>, lengths array<int>, data binary"
+_STAGE = "doc_id long, row long, n_tokens long, hashes binary, lengths array<int>, data binary"
 
 
-def cut_points(ids: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of one document. Depends on the ids around a cut only, up to ``least`` and ``most``."""
-    n = len(ids)
+def _marks(ids: np.ndarray, mean: int) -> np.ndarray:
+    """Places after which the rolling hash would cut."""
+    mixed = mix64(ids.astype(np.uint64) + np.uint64(0x9E37))
+    rolled = mixed.copy()
+    for back in range(1, min(LOOK_BACK, len(ids))):
+        rolled[back:] += mixed[: len(ids) - back] << np.uint64(back)
+    return np.flatnonzero((mix64(rolled) & np.uint64(mean - 1)) == 0) + 1
+
+
+def _ends(marks: list[int], n: int, least: int, most: int) -> list[int]:
     if n <= least:
         return [n] if n else []
-    mixed = mix64(ids.astype(np.uint64) + np.uint64(0x9E37))
-    rolled = np.zeros(n, np.uint64)
-    for back in range(min(LOOK_BACK, n)):
-        rolled[back:] += mixed[: n - back] << np.uint64(back)
-    marks = np.flatnonzero((mix64(rolled) & np.uint64(mean - 1)) == 0) + 1
     ends, at = [], 0
-    for mark in marks.tolist():
+    for mark in marks:
         while mark - at > most:
             at += most
             ends.append(at)
@@ -72,6 +77,18 @@ def cut_points(ids: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int
     return ends
 
 
+def cut_points(documents: list[np.ndarray], mean: int = MEAN, least: int = LEAST, most: int = MOST) -> list[list[int]]:
+    """Ends of the chunks of each document. They depend on the ids around a cut only, up to ``least`` and ``most``.
+
+    The documents are hashed in one run: a hash that looks back into the one before
+    lies in the first ``least`` ids, where nothing is cut.
+    """
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in documents])))
+    marks = _marks(np.concatenate(documents), mean) if bounds[-1] else np.zeros(0, np.int64)
+    at = np.searchsorted(marks, bounds, "right").tolist()
+    return [_ends((marks[a:b] - bounds[i]).tolist(), len(documents[i]), least, most) for i, (a, b) in enumerate(zip(at, at[1:]))]
+
+
 def digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
@@ -84,179 +101,180 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _width(ids: np.ndarray) -> str:
-    return "<u2" if not len(ids) or int(ids.max()) < 65536 else "<u4"
+def addresses(raw: bytes, ends: list[int], size: int) -> list[bytes]:
+    return [digest(raw[a * size : b * size]) for a, b in zip([0, *ends], ends)]
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids with the end id, cut into chunks. ``data`` has one width byte in front."""
-    bounded_batches(docs.sparkSession, 256)
-    end = np.uint32(end_id).astype("<u4").tobytes()
+    """Each document's ids with the end id, cut into chunks. ``data`` has one width byte at its end, the same in all rows."""
+    end = np.array([end_id], "<u4")
 
     def make():
         tokenizer = loaded(JsonTokenizer, tokenizer_file)
+        size = 2 if max(tokenizer.vocabulary, end_id + 1) <= 1 << 16 else 4
         row = TaskContext.get().partitionId() << 36
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row
-            out: list[list] = [[] for _ in range(6)]
-            for raw in tokenizer.encode([t or "" for t in batch.column(1).to_pylist()]):
-                raw += end
-                ids = np.frombuffer(raw, "<u4")
-                ends = cut_points(ids)
-                starts = [0, *ends[:-1]]
-                values = (row, len(ids), zlib.crc32(raw), [digest(raw[4 * a : 4 * b]) for a, b in zip(starts, ends)], [b - a for a, b in zip(starts, ends)], ids.astype(_width(ids)).tobytes() + (b"\x02" if _width(ids) == "<u2" else b"\x04"))
-                row += 1
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "row", "n_tokens", "ids_crc32", "hashes", "lengths", "data"])
+            documents = [np.concatenate((x, end)) for x in tokenizer.encode(text_bytes(batch.column(1)))]
+            n = len(documents)
+            cuts = cut_points(documents)
+            raw = [x.astype(f"<u{size}").tobytes() for x in documents]
+            hashes = [b"".join(addresses(x, ends, size)) for x, ends in zip(raw, cuts, strict=True)]
+            sizes = [list(map(int.__sub__, ends, [0, *ends])) for ends in cuts]
+            columns = (pa.array(range(row, row + n), pa.int64()), pa.array([len(x) for x in documents], pa.int64()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.list_(pa.int32())), pa.array([x + bytes([size]) for x in raw], pa.binary()))
+            row += n
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "row", "n_tokens", "hashes", "lengths", "data"])
 
         return step
 
     return arrow_map(ids_and_texts(docs, id_col, text_col), _STAGE, make)
 
 
+def _addresses(rows: DataFrame, keep: list[str], places: str | None = None) -> DataFrame:
+    """The columns ``keep`` and ``hash``: the different chunks of each row, or those at the listed places."""
+    every = F.filter(F.sequence(F.lit(0), F.size("lengths")), lambda i: i < F.size("lengths")) if places is None else F.col(places)
+    return rows.select(*keep, F.explode(F.array_distinct(F.transform(every, lambda i: F.substring("hashes", i * _SIZE + 1, F.lit(_SIZE))))).alias("hash"))
+
+
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the store; see the module's docstring for the layout.
 
-    The texts are encoded once, to a staging folder beside the store. Owners come
-    from a grouped minimum over (doc_id, row, place) for each hash, so a chunk that a
-    third of all documents share is one partial row for each task. Marks and ids
-    then meet by one range exchange on doc_id. Null ids come first, null texts
-    are empty (their end id alone), repeated rows are documents of their own.
+    The texts are encoded once, to a staging folder beside the store. A chunk's
+    keeper is the least row that has it, found by a grouped minimum, so a chunk that
+    a third of all documents share is one partial row for each task; the keepers are
+    written, and the join of places with them is one that Spark can split. Marks and
+    ids then meet by one range exchange on doc_id. Null ids come first, null texts
+    are empty (their end id alone), repeated rows are documents of their own. An
+    empty table makes an empty store.
     """
     spark = docs.sparkSession
     stage = f"{path}-stage"
     encode_documents(docs, tokenizer_file, end_id, id_col, text_col).write.option("compression", "zstd").parquet(stage)
     staged = spark.read.schema(_STAGE).parquet(stage)
-    places = staged.select("doc_id", "row", F.posexplode("hashes").alias("place", "hash"))
-    shared = places.groupBy("hash").agg(F.min(F.struct("doc_id", "row", "place")).alias("own"), F.count("*").alias("copies")).where("copies > 1")
-    marks = (
-        places.join(shared.select("hash", "own.row", "own.place").toDF("hash", "own_row", "own_place"), "hash")
-        .select("doc_id", "row", "place", ((F.col("own_row") != F.col("row")) | (F.col("own_place") != F.col("place"))).alias("away"))
-        .groupBy("doc_id", "row")
-        .agg(F.collect_list(F.when(F.col("away"), F.col("place"))).alias("foreign"), F.collect_list(F.when(~F.col("away"), F.col("place"))).alias("lent"))
-    )
-    kinds = {"n_tokens": "long", "ids_crc32": "long", "hashes": "array<binary>", "lengths": "array<int>", "data": "binary"}
-    of_data = staged.select("doc_id", "row", F.lit(1).alias("kind"), *kinds, F.lit(None).cast("array<int>").alias("foreign"), F.lit(None).cast("array<int>").alias("lent"))
+    places = _addresses(staged, ["doc_id", "row"])
+    keepers, keepers_path = stored(places.groupBy("hash").agg(F.min("row").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("hash", "keeper"), "token-store-keepers")
+    marks = places.join(keepers, "hash").groupBy("doc_id", "row").agg(F.collect_list(F.when(F.col("keeper") != F.col("row"), F.col("hash"))).alias("foreign"), F.collect_list(F.when(F.col("keeper") == F.col("row"), F.col("hash"))).alias("lent"))
+    kinds = {"n_tokens": "long", "hashes": "binary", "lengths": "array<int>", "data": "binary"}
+    none = F.lit(None).cast("array<binary>")
+    of_data = staged.select("doc_id", "row", F.lit(1).alias("kind"), *kinds, none.alias("foreign"), none.alias("lent"))
     of_marks = marks.select("doc_id", "row", F.lit(0).alias("kind"), *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()), "foreign", "lent")
     dealt = of_data.unionByName(of_marks).repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "row").sortWithinPartitions("doc_id", "row", "kind")
-    bounded_batches(spark, 256)
-    dealt.mapInArrow(_held_only, _IDS).write.option("compression", "zstd").parquet(f"{path}/ids")
-    remove(spark, stage)
-    documents = spark.read.schema(_IDS).parquet(f"{path}/ids").select("part", "row", "before", "n_tokens", "root")
-    totals = documents.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("ids"))
-    totals.join(_part_roots(documents), "part").coalesce(1).write.parquet(f"{path}/manifest")
+    dealt.mapInArrow(_kept_only, _IDS).write.option("compression", "zstd").parquet(f"{path}/ids")
+    remove(spark, stage, keepers_path)
+    _part_roots(spark.read.schema(_IDS).parquet(f"{path}/ids")).coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def _held_only(batches):
-    """Merge each document's marks with its row and take out the ids of foreign chunks."""
+def _kept_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge each document's marks with its row and take out the ids of foreign chunks, and of those that the row has already."""
     part = TaskContext.get().partitionId()
-    mark: tuple = (None, None, [], [])
+    mark: tuple = (None, set(), set())
     before = 0
     for batch in batches:
         out: list[list] = [[] for _ in _IDS_ARROW]
-        for x in batch.to_pylist():
-            if x["kind"] == 0:
-                mark = (x["doc_id"], x["row"], sorted(x["foreign"]), sorted(x["lent"]))
+        for doc, row, kind, n, hashes, lengths, data, away, lent in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "kind", "n_tokens", "hashes", "lengths", "data", "foreign", "lent"))):
+            if kind == 0:
+                mark = (row, set(away), set(lent))
                 continue
-            foreign, lent = mark[2:] if mark[:2] == (x["doc_id"], x["row"]) else ([], [])
-            data = x["data"]
-            if foreign:
-                cuts = _chunks(data, x["lengths"], set())
-                away = set(foreign)
-                data = b"".join(c for i, c in enumerate(cuts) if i not in away) + data[-1:]
-            values = (x["doc_id"], x["row"], x["n_tokens"], before, x["ids_crc32"], x["hashes"], x["lengths"], foreign, lent, data, merkle(x["hashes"]), part)
-            before += x["n_tokens"]
+            away, lent = mark[1:] if mark[0] == row else (set(), set())
+            each = [hashes[i : i + _SIZE] for i in range(0, len(hashes), _SIZE)]
+            foreign, own, kept, at, size = [], [], [], 0, data[-1]
+            seen: set[bytes] = set()
+            for i, (h, k) in enumerate(zip(each, lengths, strict=True)):
+                if h in away:
+                    foreign.append(i)
+                elif h not in seen:
+                    seen.add(h)
+                    kept.append(data[at * size : (at + k) * size])
+                    if h in lent:
+                        own.append(i)
+                at += k
+            values = (doc, row, n, before, hashes, lengths, foreign, own, b"".join(kept) + data[-1:] if len(kept) < len(each) else data, merkle(each), part)
+            before += n
             for column, value in zip(out, values, strict=True):
                 column.append(value)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _IDS_ARROW.values(), strict=True)], names=list(_IDS_ARROW))
+    give_back()
 
 
-def _chunks(data: bytes, lengths: list[int], away: set[int]) -> list[bytes | None]:
-    """The chunks in ``data``, None for those away."""
-    size, at, out = data[-1], 0, []
-    for i, n in enumerate(lengths):
-        if i in away:
-            out.append(None)
-        else:
-            out.append(data[at : at + n * size])
-            at += n * size
-    return out
+def _kept(hashes: bytes, lengths: list[int], foreign: list[int], data: bytes) -> tuple[list[bytes], dict[bytes, bytes]]:
+    """The recipe, and the chunks that the row keeps by address."""
+    each = [hashes[i : i + _SIZE] for i in range(0, len(hashes), _SIZE)]
+    found: dict[bytes, bytes] = {}
+    away, at, size = {each[i] for i in foreign}, 0, data[-1]
+    for h, k in zip(each, lengths, strict=True):
+        if h not in away and h not in found:
+            found[h] = data[at : at + k * size]
+            at += k * size
+    return each, found
 
 
-def _wide(chunk: bytes, size: int) -> bytes:
-    return np.frombuffer(chunk, f"<u{size}").astype("<u4").tobytes()
-
-
-def _part_roots(documents: DataFrame) -> DataFrame:
-    """Merkle root of each part over its documents' roots, in three levels of 1,024 children at most each."""
-    level = documents.select("part", F.hex("root").alias("hash"), F.row_number().over(Window.partitionBy("part").orderBy("before", "row")).alias("at"))
+def _part_roots(held: DataFrame) -> DataFrame:
+    """``part, rows, ids, part_root``: the last is the Merkle root over the roots of a part's documents, of 1,024 children at most on two levels."""
+    level = held.select("part", "n_tokens", F.hex("root").alias("hash"), F.row_number().over(Window.partitionBy("part").orderBy("before", "row")).alias("at"))
+    level = level.withColumn("rows", F.lit(1).cast("long"))
     for width in (1024, 1024, None):
         block = F.floor((F.col("at") - 1) / width) + 1 if width else F.lit(1)
         ordered = F.array_sort(F.collect_list(F.struct("at", "hash")))
-        level = level.groupBy("part", block.cast("long").alias("block")).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["hash"]), ""), 256).alias("hash")).withColumnRenamed("block", "at")
-    return level.select("part", F.col("hash").alias("part_root"))
+        level = level.groupBy("part", block.cast("long").alias("block")).agg(F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["hash"]), ""), 256).alias("hash")).withColumnRenamed("block", "at")
+    return level.select("part", "rows", F.col("n_tokens").alias("ids"), F.col("hash").alias("part_root"))
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32, verified`` of each document, read back from the files.
 
     ``start`` counts the ids of all documents before it, ``ids_crc32`` is of the ids
-    as they were put together again, ``verified`` says that every chunk has the hash
-    that is its address and the recipe has the Merkle root. ``with_ids`` adds
-    ``ids`` (binary, little-endian unsigned 32-bit).
+    as they were put together again. ``verified`` says that every chunk has the hash
+    that is its address, the recipe has its Merkle root and its length, and the
+    document's part is as the manifest says. ``with_ids`` adds ``ids`` (binary,
+    little-endian unsigned 32-bit). A store of an empty table gives no rows; a
+    document with a lost chunk comes without it and unverified.
     """
-    bounded_batches(spark, 256)
     held = spark.read.schema(_IDS).parquet(f"{path}/ids")
-    manifest = spark.read.parquet(f"{path}/manifest")
     # One row a part: as many as the files, whatever the documents.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    lent = held.where(F.size("lent") > 0).select("hashes", "lengths", "foreign", "lent", "data").mapInArrow(_lend, "hash binary, chunk binary")
-    wanted = held.where(F.size("foreign") > 0).select("row", F.explode(F.array_distinct(F.transform("foreign", lambda i: F.get("hashes", i)))).alias("hash"))
-    borrowed = wanted.join(lent, "hash").groupBy("row").agg(F.collect_list(F.struct("hash", "chunk")).alias("borrowed"))
-    none = F.lit(None).cast("array<struct<hash:binary,chunk:binary>>").alias("borrowed")
-    columns = ("doc_id", "row", "part", "before", "n_tokens", "hashes", "lengths", "foreign", "data", "root")
-    own = held.where(F.size("foreign") == 0).select(*columns, none)
-    mended = held.where(F.size("foreign") > 0).select(*columns).join(borrowed, "row", "left").select(*columns, "borrowed")
-
-    def rebuilt(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for x in batch.to_pylist():
-                found = {b["hash"]: b["chunk"] for b in x["borrowed"] or ()}
-                size = x["data"][-1]
-                chunks = [found.get(h, b"") if c is None else _wide(c, size) for h, c in zip(x["hashes"], _chunks(x["data"], x["lengths"], set(x["foreign"])), strict=True)]
-                good = all(digest(c) == h for c, h in zip(chunks, x["hashes"], strict=True)) and merkle(x["hashes"]) == x["root"]
-                raw = b"".join(chunks)
-                values = (x["doc_id"], x["part"], x["before"], len(raw) // 4, zlib.crc32(raw), good and len(raw) == 4 * x["n_tokens"], raw if with_ids else None)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "part", "before", "n_tokens", "ids_crc32", "verified", "ids"])
+    bases = spark.read.parquet(f"{path}/manifest").select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base")).join(verify_manifest(spark, path).withColumnRenamed("verified", "sound"), "part", "full")
+    lent = arrow_map(held.where(F.size("lent") > 0).select("hashes", "lengths", "foreign", "lent", "data"), "hash binary, chunk binary", lambda: _lend, column=4)
+    wanted = _addresses(held.where(F.size("foreign") > 0), ["row"], "foreign")
+    borrowed = wanted.join(lent, "hash").groupBy("row").agg(F.collect_list("chunk").alias("borrowed"))
+    columns = ("doc_id", "part", "before", "n_tokens", "hashes", "lengths", "foreign", "data", "root")
+    own = held.where(F.size("foreign") == 0).select(*columns, F.lit(None).cast("array<binary>").alias("borrowed"))
+    mended = held.where(F.size("foreign") > 0).select("row", *columns).join(borrowed, "row", "left").select(*columns, "borrowed")
+
+    def rebuilt(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, sums, sound, ids = [], [], [], []
+        for n, hashes, lengths, foreign, data, root, chunks in zip(*(batch.column(i).to_pylist() for i in range(3, 10))):
+            each, found = _kept(hashes, lengths, foreign, data)
+            good = all(digest(x) == h for h, x in found.items()) and merkle(each) == root
+            for chunk in chunks or ():
+                found[digest(chunk)] = chunk
+            good &= all(h in found for h in each)
+            # Nothing was taken out of the data where all chunks are there once.
+            whole = data[:-1] if not foreign and len(found) == len(each) else b"".join([found.get(h, b"") for h in each])
+            wide = np.frombuffer(whole, f"<u{data[-1]}").astype("<u4").tobytes()
+            counts.append(len(wide) // 4)
+            sums.append(zlib.crc32(wide))
+            sound.append(good and len(wide) == 4 * n)
+            ids.append(wide if with_ids else None)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(sound, pa.bool_()), pa.array(ids, pa.binary())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32", "verified", "ids"])
 
     schema = "doc_id long, part long, before long, n_tokens long, ids_crc32 long, verified boolean, ids binary"
-    rows = own.mapInArrow(rebuilt, schema).unionByName(mended.mapInArrow(rebuilt, schema)).join(bases, "part")
-    return rows.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "verified", *["ids"] * with_ids)
+    rows = arrow_map(own, schema, lambda: rebuilt, column=7).unionByName(arrow_map(mended, schema, lambda: rebuilt, column=7)).join(bases, "part")
+    return rows.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", (F.col("verified") & F.col("sound")).alias("verified"), *["ids"] * with_ids)
 
 
-def _lend(batches):
-    for batch in batches:
-        hashes, chunks = [], []
-        for x in batch.to_pylist():
-            cut = _chunks(x["data"], x["lengths"], set(x["foreign"]))
-            for i in x["lent"]:
-                hashes.append(x["hashes"][i])
-                chunks.append(_wide(cut[i], x["data"][-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(chunks, pa.binary())], names=["hash", "chunk"])
+def _lend(batch: pa.RecordBatch) -> pa.RecordBatch:
+    hashes, chunks = [], []
+    for own, lengths, foreign, lent, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        each, found = _kept(own, lengths, foreign, data)
+        hashes += [each[i] for i in lent]
+        chunks += [found[each[i]] for i in lent]
+    return pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(chunks, pa.binary())], names=["hash", "chunk"])
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``part, verified``: whether each part has the rows, ids and Merkle root that the manifest says."""
-    held = spark.read.schema(_IDS).parquet(f"{path}/ids").select("part", "row", "before", "n_tokens", "root")
-    now = held.groupBy("part").agg(F.count("*").alias("rows_now"), F.sum("n_tokens").alias("ids_now")).join(_part_roots(held).withColumnRenamed("part_root", "root_now"), "part")
+    now = _part_roots(spark.read.schema(_IDS).parquet(f"{path}/ids")).toDF("part", "rows_now", "ids_now", "root_now")
     same = F.col("rows").eqNullSafe(F.col("rows_now")) & F.col("ids").eqNullSafe(F.col("ids_now")) & F.col("part_root").eqNullSafe(F.col("root_now"))
     return spark.read.parquet(f"{path}/manifest").join(now, "part", "full").select("part", same.alias("verified"))

@@ -1,18 +1,22 @@
-"""Segment-cached encoding with the public tokenizers.
+"""Cached encoding with the public tokenizers.
 
-A text is cut where the tokenizer always cuts too, each different segment is
-encoded once by the library and kept in a bounded cache, and the ids of a text
-are those of its segments in order. Cuts lie only between a character that is
-not white space and the white space after it:
+A text is cut where the tokenizer always cuts too, each different unit is encoded
+once by the library and kept in a bounded cache, and the ids of a text are those of
+its units in order. For ``tokenizers`` files the units of a text are found, hashed
+and looked up in whole-array steps over its bytes:
 
-* byte-level BPE: a pre-token holds white space only in front or alone, and what
-  it matches depends on nothing to its left;
-* word BPE with word ends: white space is dropped and no pre-token crosses it;
-* piece BPE: spaces become U+2581, which the vocabulary has only at the front of
-  a piece, so no merge crosses such a place.
+* white space in front of a word, but for the one space that a byte-level pre-token
+  takes in (with word ends white space is dropped);
+* the letters that a word starts with, where what follows them is an ASCII byte that
+  is no letter: there the pre-token that takes letters ends;
+* the rest of the word.
 
-Most texts have single spaces and line ends only, so ``str.split`` finds their
-segments; a regular expression finds those of all others.
+The rules are those of GPT-2's and CLIP's patterns. A file for which a probe text has
+other ids than the library gives is encoded whole, and so are texts with other
+white space or special strings.
+
+Piece BPE: spaces become U+2581, which the vocabulary has only at the front of a
+piece, so no merge crosses such a place and a text is cut in front of its spaces.
 """
 
 from __future__ import annotations
@@ -22,21 +26,34 @@ from itertools import chain
 
 import numpy as np
 
-#: Segments in each of a cache's two generations, in one Python worker.
-CACHE_SEGMENTS = 600_000
+from granary.llm.common import prefix_hashes, span_hashes
+
+#: Units in a table, and ids that it holds, in one Python worker; then it starts anew.
+TABLE_BITS, TABLE_IDS = 21, 6_000_000
+#: Bytes of text that are looked up at once. Longer texts are cut in front of white space.
+PIECE_BYTES = 1 << 20
+#: Segments in each of a piece cache's two generations, in one Python worker.
+CACHE_SEGMENTS = 300_000
 #: Longer segments are encoded anew in each batch, so that the cache's bytes are bounded too.
 CACHE_CHARS = 64
 
 #: A lone surrogate, which no text from Arrow holds, in front of a segment that stands for just itself.
 _MARK = "\ud800"
-_LEADING = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: White space on which libraries may differ, and NUL: texts with one of these stay whole.
-_ODD = re.compile(r"[^\S \n]|[\x00\x1c-\x1f\x85\u180e\u200b-\u200f\u2060\ufeff]")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f"[{_LETTERS}]+")
-_ENDED = re.compile(f"([{_LETTERS}]+)([.,;:!?])")
 _SPACES = re.compile("[ ▁]+[^ ▁]*")
 
+_ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_WHITE = np.array([b in (10, 32) for b in range(256)])
+#: White space on which libraries may differ, and NUL; and bytes that may start such a character (U+0085, 00A0, 1680, 180E, 2000-200F, 2028, 2029, 202F, 205F, 2060, 3000, FEFF).
+_ODD = np.array([b in (0, 9, 11, 12, 13, 28, 29, 30, 31) for b in range(256)])
+_ODD_LEAD = np.array([b in (0xC2, 0xE1, 0xE2, 0xE3, 0xEF) for b in range(256)])
+_SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Forms of a unit: by itself, after one space; white space in front of a word, in front of a space and a word, at the end.
+_BARE, _SPACED, _FRONT, _FRONT_SPACED, _END = range(5)
+_PROBE = (
+    "Probe a text, it's don't we'll I'VE: ab12 12ab 3.14 (x) [y]... foo_bar--baz can't!  two   three\nline\n\n\nlast \n mixed \nend of été Ärger Straße, ĂčŰ ñandú; naïve.5 o'clock' 'tis ''re x's. 东京都 abc东 áb “q” ¿cómo? $$$ ***word &&& a",
+    " front", "\nfront", "end ", "end\n\n", "  ", "\n", "A", "one.", "'s", "x" * 70 + " " + "é" * 40 + "," * 90,
+)
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -66,10 +83,106 @@ class _Generations:
             self.young, self.old = {}, self.young
 
 
+class _Table:
+    """An open-addressed map from 64-bit hashes to ids, which lie in one flat array."""
+
+    def __init__(self, bits: int = TABLE_BITS, ids: int = TABLE_IDS):
+        self.bits, self.most_ids = bits, ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)  # 0: free
+        self.at = np.zeros(1 << self.bits, np.int64)  # start in ids, and their number in the low 24 bits
+        self.ids, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def full(self, units: int) -> bool:
+        return self.n + units > (5 << self.bits) // 8 or self.used > self.most_ids
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """What ``at`` has for each key, -1 for unknown ones."""
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.at[slot], -1)
+        left = np.flatnonzero((there != keys) & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.at[slot[left[hit]]]
+            left = left[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        """``keys`` are different and unknown."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        if self.used + total > len(self.ids):
+            grown = np.zeros(2 * (self.used + total), np.uint32)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        if total:
+            self.ids[self.used : self.used + total] = np.concatenate(ids)
+        value = (self.used + np.cumsum(sizes) - sizes) << 24 | sizes
+        self.used += total
+        self.n += len(keys)
+        slot, left = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.at[slot[won]] = value[won]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def gather(self, found: np.ndarray) -> np.ndarray:
+        sizes = found & 0xFFFFFF
+        to = np.cumsum(sizes)
+        if not len(to) or not to[-1]:
+            return np.zeros(0, np.uint32)
+        return self.ids[np.repeat((found >> 24) - (to - sizes), sizes) + np.arange(to[-1])]
+
+
+def _odd_places(raw: np.ndarray) -> np.ndarray:
+    """Places of white space other than spaces and line ends, and of NUL."""
+    at = np.flatnonzero(_ODD_LEAD[raw])
+    wide = np.concatenate((raw, np.zeros(2, np.uint8)))
+    lead, b, c = raw[at], wide[at + 1], wide[at + 2]
+    bad = (lead == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    bad |= (lead == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))
+    bad |= (lead == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & ((c == 0x9F) | (c == 0xA0))))
+    bad |= ((lead == 0xE3) & (b == 0x80) & (c == 0x80)) | ((lead == 0xEF) & (b == 0xBB) & (c == 0xBF))
+    return np.concatenate((np.flatnonzero(_ODD[raw]), at[bad]))
+
+
+def _letters(raw: np.ndarray) -> np.ndarray:
+    """Bytes of A-Z, a-z and the letters of U+00C0 to U+024F, but for U+0130, which is a letter and a mark in lower case."""
+    out = _ASCII_LETTER[raw]
+    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))
+    if len(lead):
+        after = raw[lead + 1]  # a lead is never the last byte
+        good = ((raw[lead] == 0xC3) & (after != 0x97) & (after != 0xB7)) | ((raw[lead] > 0xC3) & ((raw[lead] < 0xC9) | (after < 0x90)))
+        good = lead[good & ((raw[lead] != 0xC4) | (after != 0xB0))]
+        out[good] = True
+        out[good + 1] = True
+    return out
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """A long text in parts that are cut in front of white space."""
+    out, at = [], 0
+    while len(text) - at > PIECE_BYTES:
+        cut = at + PIECE_BYTES
+        while cut < len(text) and not (text[cut] in (10, 32) and text[cut - 1] not in (10, 32)):
+            cut += 1
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]] if at < len(text) or not out else out
+
+
 class JsonTokenizer:
     """A ``tokenizers`` file, add_special_tokens=False, special strings as the library has them."""
 
-    def __init__(self, path: str, bound: int = CACHE_SEGMENTS):
+    def __init__(self, path: str, bits: int = TABLE_BITS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -78,81 +191,152 @@ class JsonTokenizer:
         self._tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        added = t.get_added_tokens_decoder().values()
-        #: Special strings that take in white space would cross a cut: then texts stay whole.
-        self._uncut = any(re.search(r"\s", a.content) or a.lstrip or a.rstrip for a in added)
+        #: Texts with one of these stay whole.
+        self._special = [a.content.encode() for a in t.get_added_tokens_decoder().values()]
         names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
+        self.vocabulary = len(names)
         self._ends = any(x.endswith("</w>") for x in names[:5000])
         #: Ids that begin (or, with word ends, finish) a plain word.
         self._edge = np.array([x.endswith("</w>") if self._ends else x.startswith("Ġ") for x in names])
-        self._cache, self._heads = _Generations(bound), _Generations(bound)
-
-    def _segments(self, text: str) -> tuple[str | None, list[str]]:
-        """The first segment where it is special, and the rest. A rest without a line end in front stands for itself after a space."""
-        if _ODD.search(text):
-            return text, []
+        self._table = _Table(bits)
+        self._whole = False
+        probes = [p.encode() for p in _PROBE]
+        self._whole = any(not np.array_equal(a, b) for a, b in zip(self.encode(probes), self._library(probes), strict=True))
+
+    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
+        said = [t.decode() for t in texts]
+        return [np.asarray(e.ids, "<u4") for at in range(0, len(said), 1000) for e in self._tokenizer.encode_batch_fast(said[at : at + 1000], add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text (UTF-8)."""
+        if self._whole:
+            return self._library(texts)
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            if size + len(text) > PIECE_BYTES and held:
+                out += self._encode(held)
+                held, size = [], 0
+            if len(text) > PIECE_BYTES:
+                odd = len(_odd_places(np.frombuffer(text, np.uint8))) or any(s in text for s in self._special)
+                out.append(self._library([text])[0] if odd else np.concatenate([x for p in _pieces(text) for x in self._encode([p])]))
+                continue
+            held.append(text)
+            size += len(text)
+        return out + self._encode(held) if held else out
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        joined = b" ".join(texts) + b" "
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        raw = np.frombuffer(joined, np.uint8)
+        odd = set(np.searchsorted(bounds, _odd_places(raw), "right") - 1)
+        for s in self._special:
+            at = joined.find(s)
+            while at >= 0:
+                odd.add(int(np.searchsorted(bounds, at, "right")) - 1)
+                at = joined.find(s, at + 1)
         if self._ends:
-            return None, text.split()
-        parts = text.replace("\n", " \n").split(" ")
-        if "" in parts or "\n" in parts:
-            return None, [_MARK + s for s in _LEADING.findall(text)]
-        return parts[0], parts[1:]
-
-    def _literal(self, segment: str) -> str:
-        if self._ends or segment[0] == "\n":
-            return segment
-        return segment[1:] if segment[0] == _MARK else " " + segment
+            joined = joined.translate(_SMALL)
+            raw = np.frombuffer(joined, np.uint8)
+        ids, ends = self._units(joined, raw, bounds)
+        if not self._ends:
+            # A text of white space alone has no word to carry it.
+            odd |= {i for i in np.flatnonzero((np.diff(ends, prepend=0) == 0) & (np.diff(bounds) > 1)).tolist()}
+        at = [0, *ends.tolist()]
+        out = [ids[a:b] for a, b in zip(at, at[1:])]
+        if odd:
+            order = sorted(odd)
+            for i, x in zip(order, self._library([texts[i] for i in order]), strict=True):
+                out[i] = x
+        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for at in range(0, len(texts), 10_000) for e in self._tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)]
+    def _units(self, joined: bytes, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text end."""
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _WHITE[raw])).view(np.int8)))
+        start, end = edge[0::2], edge[1::2]
+        first = np.searchsorted(start, bounds)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        # The letters that a word starts with.
+        letter = _letters(raw)
+        runs = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))
+        cut = start.copy()
+        led = np.flatnonzero(letter[start])
+        stop = runs[1::2][np.searchsorted(runs[0::2], start[led])]
+        fine = (stop == end[led]) | (raw[np.minimum(stop, len(raw) - 1)] < 128)
+        cut[led[fine]] = stop[fine]
+        sums = prefix_hashes(raw)
+        found = np.full((len(start), 4), -1, np.int64)
+        asked: list[tuple] = []
+
+        def ask(column: int, at: np.ndarray, a: np.ndarray, b: np.ndarray, form: np.ndarray | int) -> None:
+            asked.append((column, at, a, b, np.broadcast_to(np.asarray(form, np.uint64), len(at)), span_hashes(sums, a, b, form)))
 
-    def _plain(self, words: list[str]) -> None:
+        if self._ends:
+            spaced = np.zeros(len(start), np.uint64)
+        else:
+            before = np.concatenate(([0], end[:-1]))
+            some = np.flatnonzero(np.diff(first))
+            before[first[:-1][some]] = bounds[:-1][some]
+            gap = start - before
+            spaced = ((gap > 0) & (raw[start - 1] == 32)).astype(np.uint64)
+            front = np.flatnonzero(gap > spaced)
+            ask(0, front, before[front], start[front] - spaced[front].astype(np.int64), _FRONT + spaced[front])
+            last = first[1:][some] - 1
+            stop = bounds[1:][some] - 1
+            tail = end[last] < stop
+            ask(3, last[tail], end[last[tail]], stop[tail], _END)
+        led = np.flatnonzero(cut > start)
+        ask(1, led, start[led], cut[led], spaced[led])
+        rest = np.flatnonzero(cut < end)
+        ask(2, rest, cut[rest], end[rest], np.where(cut[rest] > start[rest], 0, spaced[rest]).astype(np.uint64))
+        for column, at, _, _, _, keys in asked:
+            found[at, column] = self._table.find(keys)
+        lost = [np.flatnonzero(found[x[1], x[0]] < 0) for x in asked]
+        if units := sum(map(len, lost)):
+            if self._table.full(units):
+                self._table.clear()
+                lost = [np.arange(len(x[1])) for x in asked]
+            self._learn(joined, [(x[2][m], x[3][m], x[4][m], x[5][m], x[0] == 1) for x, m in zip(asked, lost, strict=True)])
+            for (column, at, _, _, _, keys), m in zip(asked, lost, strict=True):
+                found[at[m], column] = self._table.find(keys[m])
+        flat = found.reshape(-1)
+        known = flat >= 0
+        ids = self._table.gather(flat[known])
+        counts = np.where(known, flat & 0xFFFFFF, 0).reshape(-1, 4).sum(axis=1)
+        return ids, np.concatenate(([0], np.cumsum(counts)))[first[1:]]
+
+    def _learn(self, joined: bytes, lost: list[tuple]) -> None:
+        keys = np.concatenate([x[3] for x in lost])
+        keys, at = np.unique(keys, return_index=True)
+        a, b, form = (np.concatenate([x[i] for x in lost])[at].tolist() for i in range(3))
+        letters = np.concatenate([np.full(len(x[0]), x[4]) for x in lost])[at]
+        plain = np.flatnonzero(letters & ((np.array(form) == _SPACED) | self._ends)).tolist()
+        out: list[np.ndarray | None] = [None] * len(keys)
+        for place, ids in zip(plain, self._plain([joined[a[i] : b[i]] for i in plain]), strict=True):
+            out[place] = ids
+        other = [i for i, x in enumerate(out) if x is None]
+        # White space in front is encoded before a word of one id, which is then dropped.
+        around = {_BARE: (b"", b""), _SPACED: (b" ", b""), _FRONT: (b"", b"a"), _FRONT_SPACED: (b"", b" a"), _END: (b"", b"")}
+        said = [around[form[i]][0] + joined[a[i] : b[i]] + around[form[i]][1] for i in other]
+        for i, ids in zip(other, self._library(said), strict=True):
+            out[i] = ids[:-1] if around[form[i]][1] else ids
+        self._table.add(keys, out)
+
+    def _plain(self, words: list[bytes]) -> list[np.ndarray]:
         """Words of plain letters: many are encoded as one text and told apart by their edges."""
-        cache = self._cache.young
+        out: list[np.ndarray] = []
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            ids = np.asarray(self._tokenizer.encode_batch_fast(["".join(" " + w for w in part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = self._library([b" " + b" ".join(part)])[0]
             edge = np.flatnonzero(self._edge[ids])
-            bounds = np.concatenate(([0], edge + 1) if self._ends else (edge, [len(ids)])) * 4
-            if len(bounds) != len(part) + 1 or bounds[0] or bounds[-1] != 4 * len(ids):
-                cache.update(zip(part, self._encode([self._literal(w) for w in part]), strict=True))
-                continue
-            raw, places = ids.tobytes(), bounds.tolist()
-            cache.update((w, raw[a:b]) for w, a, b in zip(part, places, places[1:]))
-
-    def _learn(self, segments: set[str]) -> set[str]:
-        plain, ended, other = [], [], []
-        new = self._cache.unknown(segments)
-        for s in new:
-            if s.isalpha() and (s.isascii() or _PLAIN.fullmatch(s)):
-                plain.append(s)
-            elif m := _ENDED.fullmatch(s):
-                ended.append((s, m[1], m[2]))
+            cuts = edge[:-1] + 1 if self._ends else edge[1:]
+            if len(edge) != len(part) or not len(ids) or (edge[-1] + 1 != len(ids) if self._ends else edge[0]):
+                out += self._library([b" " + w for w in part])
             else:
-                other.append(s)
-        stems = self._cache.unknown({stem for _, stem, _ in ended}) - set(plain)
-        self._plain(plain + list(stems))
-        if ended:
-            # A letter and a mark never share a pre-token: the mark is encoded by itself.
-            marks = {m: raw for m, raw in zip(".,;:!?", self._encode(list(".,;:!?")), strict=True)}
-            young = self._cache.young
-            young.update((s, young[stem] + marks[mark]) for s, stem, mark in ended)
-        self._cache.young.update(zip(other, self._encode([self._literal(s) for s in other]), strict=True))
-        return new | stems
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if self._uncut:
-            return self._encode(texts)
-        cut = [self._segments(t) for t in texts]
-        new_segments = self._learn(set(chain.from_iterable(rest for _, rest in cut)))
-        heads = {h for h, _ in cut if h is not None}
-        if new := list(self._heads.unknown(heads)):
-            self._heads.young.update(zip(new, self._encode(new), strict=True))
-        get, head = self._cache.young.__getitem__, self._heads.young
-        out = [(head[h] if h is not None else b"") + b"".join(map(get, rest)) for h, rest in cut]
-        self._cache.trim(new_segments)
-        self._heads.trim(heads)
+                at_ = [0, *cuts.tolist(), len(ids)]
+                out += [ids[a:b] for a, b in zip(at_, at_[1:])]
         return out
 
 

@@ -170,6 +170,32 @@ def test_shared_chunks_are_stored_once(spark):
     assert len({r["ids_crc32"] for r in token_store.read_store(spark, path).collect()}) == 1
 
 
+def test_corrupt_stores_are_found(spark):
+    """A changed chunk, root, recipe and manifest, and a lost chunk: each leaves its documents unverified, and only those."""
+    text = " ".join(f"word{i} of the common passage" for i in range(900))
+    docs = spark.createDataFrame([(0, text), (1, f"{text} more"), (2, "by itself"), (3, "another one " * 300), (4, None)], "doc_id long, text string")
+    good = shared_dir(spark, "test-good")
+    token_store.write_store(docs, good, tokenizer_path(token_store.TOKENIZER), parts=1)
+    assert {r["doc_id"]: r["verified"] for r in token_store.read_store(spark, good).collect()} == dict.fromkeys(range(5), True)
+    held, manifest = spark.read.parquet(f"{good}/ids"), spark.read.parquet(f"{good}/manifest")
+    first = F.col("doc_id") == held.where(F.size("lent") > 0).first()["doc_id"]
+    other = lambda c: F.concat(F.unhex(F.lit("ffff")), F.substring(c, 3, 1 << 30))
+    cases = {
+        "data": (held.withColumn("data", F.when(first, other("data")).otherwise(F.col("data"))), manifest, {2, 3, 4}),
+        "alone": (held.withColumn("data", F.when(F.col("doc_id") == 2, other("data")).otherwise(F.col("data"))), manifest, {0, 1, 3, 4}),
+        "recipe": (held.withColumn("hashes", F.when(F.col("doc_id") == 3, other("hashes")).otherwise(F.col("hashes"))), manifest, {0, 1, 2, 4}),
+        "root": (held.withColumn("root", F.when(F.col("doc_id") == 2, other("root")).otherwise(F.col("root"))), manifest, set()),
+        "manifest": (held, manifest.withColumn("ids", F.col("ids") + 1), set()),
+        "lent": (held.withColumn("lent", F.slice("lent", 2, 1 << 20)), manifest, {2, 3, 4} | ({0, 1} & {r["doc_id"] for r in held.where(F.size("foreign") == 0).collect()})),
+    }
+    for name, (ids, parts, fine) in cases.items():
+        path = shared_dir(spark, f"test-{name}")
+        ids.write.parquet(f"{path}/ids")
+        parts.write.parquet(f"{path}/manifest")
+        rows = token_store.read_store(spark, path).collect()
+        assert {r["doc_id"] for r in rows if r["verified"]} == fine and len(rows) == 5, name
+
+
 def test_token_counts(odd_documents, spark, sf_dir):
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(token_counts.MODEL))
     for docs in (odd_documents, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
