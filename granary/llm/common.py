@@ -85,9 +85,36 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, st
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
+#: Bits of a filter: 8 MB, in blocks of 4 KB, whatever the number of ids.
+FILTER_BITS, _BLOCK_BITS = 26, 15
+
+
+def id_filter(ids: DataFrame, column: str) -> DataFrame:
+    """``block, bits``: a filter of ``FILTER_BITS`` bits for :func:`in_filter`. Only the ids are shuffled; it is 8 MB at most."""
+    h = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER_BITS))
+    placed = ids.select(F.shiftright(h, _BLOCK_BITS).alias("block"), h.bitwiseAND((1 << _BLOCK_BITS) - 1).alias("at")).repartition("block")
+    return placed.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def in_filter(df: DataFrame, column: str, bits: DataFrame, name: str) -> DataFrame:
+    """``df`` with the boolean ``name``: false only where the id isn't among those of the filter (null ids: false).
+
+    The filter has a proven bound, so it is broadcast; the rows stay where they are. It lets
+    through a share of other ids that grows with the number of its ids, so what
+    it lets through is then joined exactly where that matters.
+    """
+    h = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER_BITS))
+    at = h.bitwiseAND((1 << _BLOCK_BITS) - 1)
+    marked = df.withColumn("_granary_block", F.when(F.col(column).isNotNull(), F.shiftright(h, _BLOCK_BITS)))
+    joined = marked.join(F.broadcast(bits.select(F.col("block").alias("_granary_block"), F.col("bits").alias("_granary_bits"))), "_granary_block", "left")
+    byte = F.conv(F.hex(F.substring("_granary_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1
+    return joined.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
+def remove(spark: SparkSession, *paths: str | None) -> None:
     """Delete intermediate folders that no later plan reads."""
-    for path in paths:
+    for path in filter(None, paths):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

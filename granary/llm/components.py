@@ -36,8 +36,8 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return some, root[some]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node reachable) for each node of ``edges(src, dst)``.
+def components(edges: DataFrame) -> tuple[DataFrame, str | None]:
+    """``node, component`` (the smallest node reachable) for each node of ``edges(src, dst)``, and the folder it was written to.
 
     Each round points every node at its smallest neighbour, follows the pointers
     to their ends and relabels the edges; a component's nodes at least halve, so
@@ -70,10 +70,11 @@ def components(edges: DataFrame) -> DataFrame:
         new = left.join(up.select(F.col("node").alias("src"), F.col("up").alias("a")), "src").join(up.select(F.col("node").alias("dst"), F.col("up").alias("b")), "dst")
         left = keep(new.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
     if not steps:
-        return edges.sparkSession.createDataFrame([], "node long, component long")
+        remove(spark, *paths)
+        return spark.createDataFrame([], "node long, component long"), None
     found = steps[0].select("node", F.col("up").alias("component"))
     for up in steps[1:]:
         found = found.join(up.select(F.col("node").alias("component"), F.col("up").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    result, _ = stored(found, "components")
+    result, at = stored(found, "components")
     remove(spark, *paths)
-    return result
+    return result, at

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import FOLDED, Words, bounded_batches, grams, ids_and_texts, text_bytes
+from granary.llm.common import FOLDED, Words, arrow_map, grams, ids_and_texts, remove, stored, text_bytes
 
 SPAN, K = 10, 5
 WINDOW = SPAN - K + 1
@@ -110,11 +110,15 @@ def _run(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else len(a)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The items in blocks of about ``block_bytes``, by a hash of the item, each item in one block."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)] if n > 1 else [benchmark]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)] if n > 1 else [items]
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -122,90 +126,100 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     Every whole text is held against every item; null texts and items have no
     words, items without words and null item ids match nothing. Repeated rows of
-    either table are treated alike. The benchmark is a stated query set: it goes
-    to the tasks in blocks of bounded size, each in its own pass, so that
-    neither it nor the corpus has to fit anywhere. With one block nothing is
-    shuffled; with more, only found runs are, grouped by document row.
+    either table are treated alike, very long texts are whole. An empty table gives no
+    rows. The benchmark is a stated query set: it goes to the tasks in blocks of
+    bounded size, each in its own pass, so that neither it nor the corpus has to
+    fit anywhere. With one block nothing is shuffled. With more, the rows are
+    numbered and written once, each block's hits are written, and the hits, not
+    the texts, are grouped by number.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    blocks = _blocks(items, block_bytes)
-    bounded_batches(spark, 256)
     narrow = ids_and_texts(docs, id_col, text_col)
+    blocks = _blocks(_items(benchmark, item_col, item_text_col), block_bytes)
     if len(blocks) == 1:
         return _apply(narrow, blocks[0], finish=True)
-    # The scan deals rows alike in each pass, so a row's place tells it apart.
-    numbered = narrow.withColumn("row", F.monotonically_increasing_id())
-    passes = [_apply(numbered, b, finish=False) for b in blocks]
-    runs = passes[0]
-    for more in passes[1:]:
+    numbered, numbered_path = stored(narrow.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+    # One after the other: the driver and each task hold one block at a time.
+    parts = [stored(_apply(numbered, b, finish=False), "decontaminate-hits") for b in blocks]
+    runs = parts[0][0]
+    for more, _ in parts[1:]:
         runs = runs.unionByName(more)
     grouped = runs.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
     covered = F.aggregate(
         F.array_sort("runs"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda acc, r: F.struct((acc["n"] + F.greatest(r["b"] - F.greatest(r["a"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], r["b"]).alias("end")),
     )["n"]
+    remove(docs.sparkSession, numbered_path)
     return grouped.select("doc_id", "n_words", covered.alias("n_hit"), F.array_sort(F.transform(F.array_distinct("items"), lambda i: i.cast("string"))).alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in, with all of their columns.
 
-    Each block of the benchmark is one narrow pass over what the blocks before it
-    left, so no text moves between machines.
+    Null and empty texts have no words and stay; repeated rows stay or go together; an
+    empty benchmark leaves all rows; extra columns may have any name. Each block of
+    the benchmark is one narrow pass over what the blocks before it left, so no
+    text moves between machines; between two blocks the rows are written.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    bounded_batches(docs.sparkSession, 256)
-    out = docs
-    for block in _blocks(items, block_bytes):
+    blocks = _blocks(_items(benchmark, item_col, item_text_col), block_bytes)
+    out, before = docs, None
+    for i, block in enumerate(blocks):
         out = _without(out, block, text_col)
+        if i + 1 < len(blocks):
+            out, path = stored(out, "decontaminate-left")
+            remove(docs.sparkSession, before)
+            before = path
     return out
 
 
-def _without(docs: DataFrame, block: DataFrame, text_col: str) -> DataFrame:
+def _sent(block: DataFrame):
     rows = [(r["item_id"], r["text"].encode()) for r in block.collect()]  # bounded by block_bytes
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    at = docs.columns.index(text_col)
+    return block.sparkSession.sparkContext.broadcast(rows)
+
+
+def _without(docs: DataFrame, block: DataFrame, text_col: str) -> DataFrame:
+    sent, at = _sent(block), docs.columns.index(text_col)
 
-    def run(batches):
+    def make():
         index = Block(sent.value)
-        for batch in batches:
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             hit = np.zeros(batch.num_rows, bool)
             hit[[found[0] for found in index.search(Words(text_bytes(batch.column(at)), FOLDED))]] = True
-            yield batch.filter(pa.array(~hit))
+            return batch.filter(pa.array(~hit))
+
+        return step
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, docs.schema, make, column=at)
 
 
 def _apply(narrow: DataFrame, block: DataFrame, finish: bool) -> DataFrame:
-    spark = narrow.sparkSession
-    rows = [(r["item_id"], r["text"].encode()) for r in block.collect()]  # bounded by block_bytes
-    sent = spark.sparkContext.broadcast(rows)
+    sent = _sent(block)
 
-    def run(batches):
+    def make():
         index = Block(sent.value)
-        for batch in batches:
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = Words(text_bytes(batch.column(1)), FOLDED)
             by_doc: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
             for doc, a, b, item in index.search(words):
                 by_doc[doc].append((a - int(words.first[doc]), b - int(words.first[doc]), index.ids[item]))
             n_words = np.diff(words.first)
             n = batch.num_rows
-            if finish:
-                hit = np.zeros(n, np.int64)
-                named: list[list[str]] = [[] for _ in range(n)]
-                for doc, found in by_doc.items():
-                    mask = np.zeros(int(n_words[doc]), bool)
-                    for a, b, _ in found:
-                        mask[a:b] = True
-                    hit[doc] = int(mask.sum())
-                    named[doc] = sorted({str(i) for _, _, i in found})
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hit), pa.array(named, pa.list_(pa.string())), pa.array(hit > 0)], names=["doc_id", "n_words", "n_hit", "items", "contaminated"])
-            else:
+            if not finish:
                 runs = [[{"a": a, "b": b} for a, b, _ in by_doc.get(i, ())] for i in range(n)]
                 ids = [sorted({i for _, _, i in by_doc.get(d, ())}) for d in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "runs", "items"])
+                return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "runs", "items"])
+            hit = np.zeros(n, np.int64)
+            named: list[list[str]] = [[] for _ in range(n)]
+            for doc, found in by_doc.items():
+                mask = np.zeros(int(n_words[doc]), bool)
+                for a, b, _ in found:
+                    mask[a:b] = True
+                hit[doc] = int(mask.sum())
+                named[doc] = sorted({str(i) for _, _, i in found})
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hit), pa.array(named, pa.list_(pa.string())), pa.array(hit > 0)], names=["doc_id", "n_words", "n_hit", "items", "contaminated"])
+
+        return step
 
     schema = "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean" if finish else "doc_id long, row long, n_words long, runs array<struct<a:long,b:long>>, items array<long>"
-    return narrow.mapInArrow(run, schema)
-
+    return arrow_map(narrow, schema, make)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import FOLDED, Words, bounded_batches, grams, ids_and_texts, mix64, remove, stored, text_bytes
+from granary.llm.common import FOLDED, Words, arrow_map, bounded_batches, grams, id_filter, ids_and_texts, in_filter, mix64, remove, stored, text_bytes
 from granary.llm.components import components, forest
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -103,53 +103,55 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            texts = text_bytes(batch.column(1))
-            n = len(texts)
-            doc, value, count = shingles(texts, size)
-            registers = prob_minhash(doc, value, count.astype(float), n, bands * rows)
-            keys = np.stack([mix64(grams(registers[:, b * rows : (b + 1) * rows].reshape(-1), rows)[::rows] + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for b in range(bands)], axis=1).view(np.int64)
-            same = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if (w := t.translate(FOLDED).split()) else None for t in texts]
-            out = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), out], names=["doc_id", "same", "bands"])
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = text_bytes(batch.column(1))
+        n = len(texts)
+        doc, value, count = shingles(texts, size)
+        registers = prob_minhash(doc, value, count.astype(float), n, bands * rows)
+        keys = np.stack([mix64(grams(registers[:, b * rows : (b + 1) * rows].reshape(-1), rows)[::rows] + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for b in range(bands)], axis=1).view(np.int64)
+        same = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if (w := t.translate(FOLDED).split()) else None for t in texts]
+        out = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), out], names=["doc_id", "same", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, same binary, bands array<long>")
+    return arrow_map(docs, "doc_id long, same binary, bands array<long>", lambda: step)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, hashes, counts``: the shingles' sorted hashes in 48 bits (two texts' shingles meet by chance once in 10^9 pairs), and unsigned 32-bit counts, empty where all are 1."""
+    """``doc_id, hashes, counts``: the shingles' sorted 64-bit hashes and unsigned 32-bit counts, empty where all are 1."""
 
-    def run(batches):
-        for batch in batches:
-            doc, value, count = shingles(text_bytes(batch.column(1)), size)
-            bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([value[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() if (count[a:b] > 1).any() else b"" for a, b in zip(bounds, bounds[1:])], pa.binary())],
-                names=["doc_id", "hashes", "counts"],
-            )
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, value, count = shingles(text_bytes(batch.column(1)), size)
+        bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+        hashes = [value[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        counts = [count[a:b].astype("<u4").tobytes() if (count[a:b] > 1).any() else b"" for a, b in zip(bounds, bounds[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "hashes", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes binary, counts binary")
+    return arrow_map(docs, "doc_id long, hashes binary, counts binary", lambda: step)
 
 
 def _set(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide = np.zeros((len(hashes) // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(hashes, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").reshape(-1), np.frombuffer(counts, "<u4") if counts else np.ones(len(wide), "<u4")
+    value = np.frombuffer(hashes, "<u8")
+    return value, np.frombuffer(counts, "<u4") if counts else np.ones(len(value), "<u4")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` whose shingles have a similarity of ``threshold`` or more."""
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"{c}_hashes"), F.col("counts").alias(f"{c}_counts"))
+def _stars(stars: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The links ``(src, dst)`` among the pairs of a hub and a member.
 
-    def run(batches):
-        for batch in batches:
-            a, b, xa, xn, ya, yn = (batch.column(i).to_pylist() for i in range(6))
-            keep = [probability_jaccard(*_set(p, q), *_set(r, s)) >= threshold for p, q, r, s in zip(xa, xn, ya, yn, strict=True)]
-            kept = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["src", "dst"])
+    A hub's members are dealt to blocks of bounded size and only the hub's own set
+    is repeated, once for each block, so a hub of very many members is many tasks.
+    """
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = stars.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep")
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("rep"))
+
+    def star(table: pa.Table) -> pa.Table:
+        hub, rep = table.column("hub")[0].as_py(), table.column("rep").to_pylist()
+        sets_ = [_set(h, c) for h, c in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+        own = [x for r, x in zip(rep, sets_, strict=True) if r == hub]
+        near = [r for r, x in zip(rep, sets_, strict=True) if r != hub and any(probability_jaccard(*h, *x) >= threshold for h in own)]
+        return pa.table({"src": pa.array(near, pa.int64()), "dst": pa.array([hub] * len(near), pa.int64())})
 
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_hashes", "a_counts", "b_hashes", "b_counts").mapInArrow(run, "src long, dst long")
+    return members.unionByName(hubs).join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("hub", "block").applyInArrow(star, "src long, dst long")
 
 
 def _across(buckets: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -227,31 +229,34 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, size: int = SH
     Rows that repeat an id belong together. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 512)
+    bounded_batches(spark)
     narrow = ids_and_texts(docs, id_col, text_col)
     signed, signed_path = stored(_signatures(narrow, size, bands, rows), "minhash-signatures")
     reps, reps_path = stored(signed.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "minhash-reps")
     places = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = places.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members, members_path = stored(places.join(buckets.select("bucket", "hub"), "bucket"), "minhash-members")
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets, sets_path = stored(_sets(narrow.join(needed, "doc_id", "left_semi"), size), "minhash-sets")
-    edges, edges_path = stored(_verified(stars, sets, threshold), "minhash-links")
-    roots = components(edges)
+    # Written, so that the join with them is between two plain exchanges, which Spark can split where a bucket is large.
+    buckets, buckets_path = stored(places.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"), "minhash-buckets")
+    members, members_path = stored(places.join(buckets, "bucket"), "minhash-members")
+    stars, stars_path = stored(members.where("rep <> hub").select("hub", "rep").distinct(), "minhash-stars")
+    # No text leaves its place: a filter of bounded size finds the documents that some bucket has.
+    bits, bits_path = stored(id_filter(members.select("rep").distinct(), "rep"), "minhash-filter")
+    sets, sets_path = stored(_sets(in_filter(narrow, "doc_id", bits, "_granary_in").where("_granary_in").select("doc_id", "text"), size), "minhash-sets")
+    edges, edges_path = stored(_stars(stars, sets, threshold, block), "minhash-links")
+    roots, roots_path = components(edges)
     # Buckets that still hold several components.
     known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("component"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("main")).where("low <> high").select("bucket", "main")
-    open_, open_path = stored(known.join(mixed, "bucket").select("bucket", "rep", "component", (F.col("component") == F.col("main")).alias("major")), "minhash-mixed")
+    mixed, mixed_path = stored(known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("main")).where("low <> high").select("bucket", "main"), "minhash-mixed")
+    open_, open_path = stored(known.join(mixed, "bucket").select("bucket", "rep", "component", (F.col("component") == F.col("main")).alias("major")), "minhash-open")
     if not open_.isEmpty():
         more, more_path = stored(_across(open_, sets, threshold, block), "minhash-more")
         if not more.isEmpty():
-            roots = components(edges.unionByName(more))
+            remove(spark, roots_path)
+            roots, roots_path = components(edges.unionByName(more))
         remove(spark, more_path)
     classes = reps.select("same", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class"))
     out = signed.select("doc_id", "same").join(classes, "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
     result, _ = stored(out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept")), "minhash-classes")
-    remove(spark, signed_path, reps_path, members_path, sets_path, edges_path, open_path)
+    remove(spark, signed_path, reps_path, buckets_path, members_path, stars_path, bits_path, sets_path, edges_path, roots_path, mixed_path, open_path)
     return result
 
 
@@ -259,15 +264,22 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stand for their class, with all of their columns.
 
     One row of each class stays: that of the smallest id, and of rows that repeat
-    this id the one of the smallest text. Rows with a null id link with nothing and stay.
+    this id the one of the smallest text. Rows with a null id, and texts without words
+    (null, empty, marks only), link with nothing and stay. An empty table gives none.
+    Extra columns may have any name.
+
+    A filter of bounded size finds the rows that may go: those of ids that aren't
+    kept or are repeated. Only these are moved, to be settled exactly.
     """
     classes = near_documents(docs, id_col=id_col, text_col=text_col)
-    chosen = classes.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    ids = chosen.select(F.col("doc_id").alias("_granary_id"), F.col("rows").alias("_granary_rows"))
-    joined = docs.where(F.col(id_col).isNotNull()).withColumn("_granary_id", F.col(id_col).cast("long")).join(ids, "_granary_id")
-    single = joined.where("_granary_rows = 1").select(*docs.columns)
-    alone = docs.where(F.col(id_col).isNull())
-    if chosen.where("rows > 1").isEmpty():
-        return single.unionByName(alone)
-    repeated = joined.where("_granary_rows > 1").groupBy("_granary_id").agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("r"))
-    return single.unionByName(repeated.select("r.*")).unionByName(alone)
+    by_id = classes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    odd, _ = stored(by_id.where("not kept or n > 1").select("doc_id", "kept"), "minhash-odd")
+    bits, _ = stored(id_filter(odd, "doc_id"), "minhash-odd-filter")
+    marked = in_filter(docs, id_col, bits, "_granary_in")
+    fine = marked.where("not _granary_in").select(*docs.columns)
+    maybe = marked.where("_granary_in").withColumn("_granary_id", F.col(id_col).cast("long")).join(odd.select(F.col("doc_id").alias("_granary_id"), F.col("kept").alias("_granary_kept")), "_granary_id", "left")
+    passed = maybe.where("_granary_kept is null").select(*docs.columns)
+    if odd.where("kept").isEmpty():
+        return fine.unionByName(passed)
+    repeated = maybe.where("_granary_kept").groupBy("_granary_id").agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("r"))
+    return fine.unionByName(passed).unionByName(repeated.select("r.*"))

@@ -24,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import FOLDED, SPACED, Words, bounded_batches, remove, stored, text_bytes
+from granary.llm.common import FOLDED, SPACED, Words, arrow_map, remove, stored, text_bytes
 
 #: Labelled documents that the models are fitted on; more labels are thinned by a hash of the id.
 SAMPLE = 4096
 #: Bytes of a fragment; one that a text has twice or more is a fragment of its own besides. A listed fragment is this many times as common in documents of its class, and in this share (and number) of them at least.
 FRAGMENT = 6
 LIFT, SHARE, LEAST, LISTED = 30.0, 0.02, 3, 1024
+#: Bytes of text that are worked on at once: each has a fragment of its own, and a fragment takes dozens of bytes.
+SLICE = 1 << 20
 KEPT_QUALITY, KEPT_TOXICITY = 0.5, 0.5
 _EDGE = 1e-6
 
@@ -93,7 +95,7 @@ class Listed:
 
 
 def features(texts: list[bytes], bad: Listed, toxic: Listed) -> np.ndarray:
-    """``len(texts) x len(FEATURES)`` values."""
+    """``len(texts) x len(FEATURES)`` values. Hits of fragments count 8 at most, a mean word length 50 at most."""
     n = len(texts)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -172,23 +174,23 @@ def listed_fragments(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ``LISTED`` best of either kind reach the driver.
     """
 
-    def run(batches):
-        for batch in batches:
-            bad, toxic = (np.asarray(batch.column(i).to_pylist(), np.int64) for i in (1, 2))
-            doc, value = different(*fragments(text_bytes(batch.column(0))))
-            each, of = np.unique(value, return_inverse=True)
-            sums = [np.bincount(of, w, minlength=len(each)).astype(np.int64) for w in (np.ones(len(doc)), (bad <= 0)[doc], (toxic > 0)[doc])]
-            yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), *map(pa.array, sums)], names=["fragment", "n", "bad", "toxic"])
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bad, toxic = (np.asarray(batch.column(i).to_pylist(), np.int64) for i in (1, 2))
+        doc, value = different(*fragments(text_bytes(batch.column(0))))
+        each, of = np.unique(value, return_inverse=True)
+        sums = [np.bincount(of, w, minlength=len(each)).astype(np.int64) for w in (np.ones(len(doc)), (bad <= 0)[doc], (toxic > 0)[doc])]
+        return pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), *map(pa.array, sums)], names=["fragment", "n", "bad", "toxic"])
 
-    counts = sample.mapInArrow(run, "fragment long, n long, bad long, toxic long").groupBy("fragment").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "toxic")))
+    counts = arrow_map(sample, "fragment long, n long, bad long, toxic long", lambda: step, column=0, most=SLICE).groupBy("fragment").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "toxic")))
     sizes = sample.agg(F.count("*").alias("n"), F.count_if(F.col("quality") <= 0).alias("bad"), F.count_if(F.col("toxic") > 0).alias("toxic")).first()
-    usable, _ = stored(counts.where(" or ".join(f"{c} >= {max(LEAST, SHARE * sizes[c])}" for c in ("bad", "toxic"))), "quality-fragments")
+    usable, path = stored(counts.where(" or ".join(f"{c} >= {max(LEAST, SHARE * sizes[c])}" for c in ("bad", "toxic"))), "quality-fragments")
     out = []
     for c in ("bad", "toxic"):
         lift = ((F.col(c) + 0.5) / (sizes[c] + 1)) / ((F.col("n") - F.col(c) + 0.5) / (sizes["n"] - sizes[c] + 1))
         good = usable.withColumn("lift", lift).where((F.col("lift") >= LIFT) & (F.col(c) >= max(LEAST, SHARE * sizes[c])))
         best = good.orderBy((F.col(c) * F.log("lift")).desc(), "fragment").limit(LISTED).collect()
         out.append(np.array([r["fragment"] for r in best], np.int64).astype(np.uint64))
+    remove(sample.sparkSession, path)
     return out[0], out[1]
 
 
@@ -201,7 +203,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     features and two lists of ``LISTED`` fragments, whatever the corpus.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 256)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and quality is not null and toxic is not null")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = given.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).join(texts.select("doc_id"), "doc_id", "left_semi")
@@ -211,12 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     taken, path = stored(found.select("text", "quality", "toxic"), "quality-sample")
     bad, toxic_list = map(Listed, listed_fragments(taken))
 
-    def run(batches):
-        for batch in batches:
-            x = features(text_bytes(batch.column(0)), bad, toxic_list)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "toxic", "x"])
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = features(text_bytes(batch.column(0)), bad, toxic_list)
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "toxic", "x"])
 
-    rows = taken.mapInArrow(run, "quality int, toxic int, x array<double>").collect()
+    rows = arrow_map(taken, "quality int, toxic int, x array<double>", lambda: step, column=0, most=SLICE).collect()
     remove(spark, path)
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     good, toxic = np.array([r["quality"] > 0 for r in rows], bool), np.array([r["toxic"] > 0 for r in rows], bool)
@@ -233,16 +233,19 @@ def site(source: Column, lang: Column) -> tuple[Column, Column]:
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``_granary_quality`` and ``_granary_toxic``, the document's own evidence."""
-    bounded_batches(docs.sparkSession, 256)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_granary_quality", T.DoubleType()), T.StructField("_granary_toxic", T.DoubleType())])
 
-    def run(batches):
-        for batch in batches:
-            q, t = sent.value.scores(text_bytes(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(q), pa.array(t)], names=schema.fieldNames())
+    # A text that is kept is sent once.
+    own = text_col in keep and dict(docs.dtypes)[text_col] == "string"
+    taken = docs.select(*keep) if own else docs.select(*keep, F.col(text_col).cast("string").alias("_granary_text"))
+    at = keep.index(text_col) if own else len(keep)
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_granary_text")).mapInArrow(run, schema)
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        q, t = sent.value.scores(text_bytes(batch.column(at)))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(q), pa.array(t)], names=schema.fieldNames())
+
+    return arrow_map(taken, schema, lambda: step, column=at, most=SLICE)
 
 
 def strength(groups: DataFrame, value: str, above: Column | float) -> float:
@@ -268,16 +271,17 @@ def posteriors(scored: DataFrame) -> DataFrame:
     splitting large hosts.
     """
     by_path = scored.groupBy("_granary_host", "_granary_path").agg(F.count("*").alias("n"), F.sum("_granary_quality").alias("q"), F.sum("_granary_toxic").alias("t"))
-    paths, _ = stored(by_path, "quality-paths")
+    paths, paths_path = stored(by_path, "quality-paths")
     total = paths.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("t").alias("t")).first()
     known = max(total["n"] or 0, 1)
     rates = {c: min(max((total[c] or 0.0) / known, _EDGE), 1 - _EDGE) for c in "qt"}
     paths = paths.where("_granary_host <> ''")
-    hosts, _ = stored(paths.groupBy("_granary_host").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("t").alias("t")), "quality-hosts")
+    hosts, hosts_path = stored(paths.groupBy("_granary_host").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("t").alias("t")), "quality-hosts")
     host_strength = {c: strength(hosts, c, rates[c]) for c in "qt"}
     shrunk = lambda total, n, k, above: (total + k * above) / (n + k)
     both = paths.join(hosts.select("_granary_host", *(F.col(c).alias(f"host_{c}") for c in "nqt")), "_granary_host")
     sites, _ = stored(both, "quality-sites")
+    remove(scored.sparkSession, paths_path, hosts_path)
     path_strength = {c: strength(sites, c, shrunk(F.col(f"host_{c}"), F.col("host_n"), host_strength[c], F.lit(rates[c]))) for c in "qt"}
     out = scored.join(sites, ["_granary_host", "_granary_path"], "left")
     logit = lambda p: F.log(p) - F.log(1 - p)
@@ -322,5 +326,11 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all of their columns."""
+    """The rows of ``docs`` that are kept, with all of their columns.
+
+    Null, empty and very long texts, null sources and ids, repeated rows and tables
+    without labels or rows are judged as by :func:`judge`. Extra columns may have any name
+    (but for those that start with ``_granary_``). The scored rows stay in the shared
+    folder, since the result reads them.
+    """
     return _judged(docs, labels, docs.columns, sample, id_col, text_col, source_col, lang_col, None).where(kept()).select(*docs.columns)

@@ -116,7 +116,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     words' table can go.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 256)
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"granary_words_{uuid.uuid4().hex}"
     _grouped_words(ids_and_texts(docs, id_col, text_col), span, group_bytes).write.bucketBy(parts, "g").option("compression", "none").saveAsTable(name)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from granary.llm.common import arrow_map, bounded_batches, ids_and_texts
+from granary.llm.common import arrow_map, ids_and_texts
 from granary.llm.tokens import PieceTokenizer, loaded, space_segments
 
 MODEL = "piece_bpe_32k.model"
@@ -70,7 +70,6 @@ class PrefixCounter:
             before += within[-1]
         return PrefixCounts(np.asarray(counts, np.int32))
 
-
     def longest(self, text: str, budget: int) -> tuple[int, int]:
         """Code points and tokens of the longest prefix of at most ``budget`` tokens, as :meth:`PrefixCounts.longest` finds it.
 
@@ -103,8 +102,6 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, id_co
     are read. One narrow pass: no shuffle, memory bounded by a batch of texts and
     the segment cache.
     """
-    bounded_batches(docs.sparkSession)
-
     def make():
         tokenizer, counter = loaded(PieceTokenizer, tokenizer_file), _counter(tokenizer_file)
 
@@ -128,8 +125,6 @@ def prefix_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     Null and empty texts give ``[0]``. The arrays are as long as the texts; use
     :func:`truncate_to_budget` where only an answer is needed.
     """
-    bounded_batches(docs.sparkSession, 128)
-
     def make():
         counter = _counter(tokenizer_file)
 
@@ -143,9 +138,12 @@ def prefix_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
 
 
 def truncate_to_budget(docs: DataFrame, tokenizer_file: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, n_tokens``: the longest prefix of each text with at most ``budget`` tokens."""
-    bounded_batches(docs.sparkSession, 128)
+    """``doc_id, text, n_tokens``: the longest prefix of each text with at most ``budget`` tokens.
 
+    One row for each input row. Null and empty texts give an empty text of 0 tokens, as
+    does a budget below 1; null ids stay null, repeated rows are cut alike. Very long
+    texts are cut by the table of the one segment that reaches the budget.
+    """
     def make():
         counter = _counter(tokenizer_file)
 
@@ -160,5 +158,3 @@ def truncate_to_budget(docs: DataFrame, tokenizer_file: str, budget: int, id_col
         return step
 
     return arrow_map(ids_and_texts(docs, id_col, text_col), "doc_id long, text string, n_tokens long", make)
-
-

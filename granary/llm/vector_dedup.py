@@ -114,7 +114,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
 
     found, _ = stored(tiles.groupBy("kind", "x", "y").applyInArrow(tile, "a long, b long, links long, edge boolean"), "vector-links")
     links = found.where("not edge").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
-    roots = components(found.where("edge").select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "rep")
+    roots = components(found.where("edge").select(F.col("a").alias("src"), F.col("b").alias("dst")))[0].withColumnRenamed("node", "rep")
     by_key = reps.select("key", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left").select("key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = keyed.select("vec_id", "key").join(by_key, "key", "left")
     return out.select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"))

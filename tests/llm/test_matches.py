@@ -198,10 +198,10 @@ def test_minhash_estimates_the_similarity():
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 400)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randrange(5000, 6000), rng.randrange(5000, 6000)) for _ in range(500)] + [(1, 1)]
-    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "src long, dst long"))[0].collect()}
     root = roots({x for p in links for x in p}, links)
     assert {n: found.get(n, n) for n in root} == root
-    assert components.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert components.components(spark.createDataFrame([], "src long, dst long"))[0].count() == 0
 
 
 def test_quality_on_held_out_labels(spark):
