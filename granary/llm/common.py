@@ -85,12 +85,12 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, st
     return spark.read.schema(df.schema).parquet(path), path
 
 
-#: Bits of a filter: 8 MB, in blocks of 4 KB, whatever the number of ids.
-FILTER_BITS, _BLOCK_BITS = 26, 15
+#: Bits of a filter: 4 MB, in blocks of 4 KB, whatever the number of ids.
+FILTER_BITS, _BLOCK_BITS = 25, 15
 
 
 def id_filter(ids: DataFrame, column: str) -> DataFrame:
-    """``block, bits``: a filter of ``FILTER_BITS`` bits for :func:`in_filter`. Only the ids are shuffled; it is 8 MB at most."""
+    """``block, bits``: a filter of ``FILTER_BITS`` bits for :func:`in_filter`. Only the ids are shuffled; it is 4 MB at most."""
     h = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER_BITS))
     placed = ids.select(F.shiftright(h, _BLOCK_BITS).alias("block"), h.bitwiseAND((1 << _BLOCK_BITS) - 1).alias("at")).repartition("block")
     return placed.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
