@@ -127,6 +127,82 @@ used AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY query_id ORDER BY ran
 kept AS (SELECT *, w[1 : least(len(w), {budget} - before_)::BIGINT] AS k FROM used)
 SELECT query_id, md5(string_agg({header} || chr(10) || array_to_string(k, ' '), chr(10) || chr(10) ORDER BY rank)) AS context_md5, sum(len(k))::BIGINT AS words, count(*)::BIGINT AS passages FROM kept GROUP BY query_id"""
 
+_BLOCKS = rf"""{_KINDS}, seen AS (SELECT *, kind IN ('header', 'footer', 'caption', 'heading') AS single, lag(kind) OVER w AS kind_before, lag(line) OVER w AS line_before,
+  last_value(CASE WHEN kind = 'heading' THEN {_clean('line')} END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section
+  FROM kinds WINDOW w AS (PARTITION BY document_id, page ORDER BY line_no)),
+flush_ AS (SELECT *, kind IN ('blank', 'text') OR (single AND NOT is_row) AS flushes, kind = 'text' AND kind_before = 'text' AND NOT regexp_matches(line_before, '[.!?]$') AS goes_on FROM seen),
+numbers AS (SELECT *, sum(CASE WHEN coalesce(goes_on, false) THEN 0 ELSE 1 END) OVER w AS para, sum(flushes::INT) OVER w AS tab FROM flush_ WINDOW w AS (PARTITION BY document_id, page ORDER BY line_no)),
+every_ AS (SELECT document_id, page, line_no AS pos, 0 AS after, kind AS type, {_clean('line')} AS text, section FROM numbers WHERE single
+  UNION ALL SELECT document_id, page, pos, 1, CASE WHEN coalesce(regexp_matches(section, '{_REFERENCE}'), false) THEN 'reference' ELSE 'paragraph' END, {_clean(r"replace(regexp_replace(lines, '(\p{Ll})\s?-\n(\p{Ll})', '\1\2', 'g'), chr(10), ' ')")}, section
+    FROM (SELECT document_id, page, max(line_no) AS pos, arg_max_null(section, line_no) AS section, string_agg(line, chr(10) ORDER BY line_no) AS lines FROM numbers WHERE kind = 'text' GROUP BY document_id, page, para)
+  UNION ALL SELECT document_id, page, max(line_no), 1, 'table', coalesce(string_agg(array_to_string(cells, ' | '), chr(10) ORDER BY line_no) FILTER (kind = 'row'), ''), arg_max_null(section, line_no) FROM numbers WHERE NOT flushes GROUP BY document_id, page, tab),
+blocks AS (SELECT document_id, page, row_number() OVER (PARTITION BY document_id, page ORDER BY pos, after) AS block_no, type, text, section FROM every_ WHERE text <> '')"""
+
+
+def _prose(x: str) -> str:
+    return rf"""(SELECT CASE WHEN len(list_filter(r, lambda c: len(c) = 2 AND regexp_matches(trim(c[1]), '^(?:\(?[\dA-Za-z]{{1,3}}[.)]|[•▪◦\-–])$'))) * 2 >= len(r)
+  OR (len(list_filter(r, lambda c: len(c) > 2)) = 0 AND len(list_filter(flatten(r), lambda c: len({_words('c')}) >= 5)) * 2 >= len(flatten(r))) THEN array_to_string(flatten(r), ' ') END
+  FROM (SELECT list_transform(string_split({x}, chr(10)), lambda l: string_split(l, ' | ')) AS r))"""
+
+
+#: Passages of 200 words with 50 shared ones, runs of fewer than 40 stay open. Three recursions: rows of tables, blocks of documents, groups of runs.
+_PASSAGES = rf"""{_BLOCKS}, flat AS (SELECT document_id, page, block_no, CASE WHEN coalesce(p, '') <> '' THEN 'paragraph' ELSE type END AS type, CASE WHEN coalesce(p, '') <> '' THEN p ELSE text END AS text, section
+  FROM (SELECT *, CASE WHEN type = 'table' THEN {_prose('text')} END AS p FROM blocks)),
+placed AS (SELECT *, coalesce(sum(len({_words('text')})) OVER (PARTITION BY document_id, page ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, lead(type) OVER (PARTITION BY document_id, page ORDER BY block_no) AS next_type FROM flat),
+sound AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, block_no) AS i, CASE WHEN type = 'table' OR (type = 'caption' AND coalesce(next_type, '') = 'table') THEN 'table' WHEN type = 'reference' THEN 'reference' ELSE 'prose' END AS family
+  FROM placed WHERE type NOT IN ('header', 'footer') AND regexp_matches(text, '\p{{L}}')),
+tabled AS (SELECT document_id, i, text, list_transform(string_split(text, chr(10)), lambda l: len({_words('l')})) AS n, string_split(text, chr(10)) AS l FROM sound WHERE type = 'table'),
+table_rows AS (SELECT document_id, i, 1 AS pos, 1 AS g, n[1] AS size, 0 AS rows_ FROM tabled
+  UNION ALL SELECT r.document_id, r.i, r.pos + 1, CASE WHEN r.rows_ > 0 AND r.size + t.n[r.pos + 1] > 200 THEN r.g + 1 ELSE r.g END, CASE WHEN r.rows_ > 0 AND r.size + t.n[r.pos + 1] > 200 THEN t.n[1] ELSE r.size END + t.n[r.pos + 1], CASE WHEN r.rows_ > 0 AND r.size + t.n[r.pos + 1] > 200 THEN 1 ELSE r.rows_ + 1 END
+    FROM table_rows r JOIN tabled t USING (document_id, i) WHERE r.pos < len(t.n)),
+table_pieces AS (SELECT document_id, i, g AS j, any_value(t.l[1]) || CASE WHEN max(pos) > 1 THEN chr(10) || string_agg(t.l[pos], chr(10) ORDER BY pos) FILTER (pos > 1) ELSE '' END AS text FROM table_rows JOIN tabled t USING (document_id, i) GROUP BY document_id, i, g),
+said AS (SELECT document_id, i, start, page, family, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM (SELECT *, CASE WHEN type = 'caption' THEN [text] ELSE string_split(regexp_replace(text, '([.!?])\s+([\p{{Lu}}\p{{N}}"“(])', '\1' || chr(1) || '\2', 'g'), chr(1)) END AS parts FROM sound WHERE type NOT IN ('table', 'heading'))),
+sized AS (SELECT *, {_words('part')} AS w, start + coalesce(sum(len({_words('part')})) OVER (PARTITION BY document_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM said),
+cut_up AS (SELECT *, unnest(range(0, CASE WHEN len(w) <= 200 THEN 1 ELSE (ceil((len(w) - 200) / 150) * 150 + 1)::BIGINT END, 150)) AS k FROM sized WHERE len(w) > 0),
+pieces AS (SELECT document_id, i, j * 100000 + k AS j, CASE WHEN len(w) <= 200 THEN part ELSE array_to_string(w[k + 1 : k + 200], ' ') END AS text, page, (s + k)::BIGINT AS start, least(len(w) - k, 200) AS n, family FROM cut_up
+  UNION ALL SELECT document_id, i, j, t.text, page, start, len({_words('t.text')}), 'table' FROM table_pieces t JOIN sound USING (document_id, i) WHERE len({_words('t.text')}) > 0
+  UNION ALL SELECT document_id, i, 0, text, page, start, len({_words('text')}), 'prose' FROM sound WHERE type = 'heading'),
+totals AS (SELECT document_id, i, sum(n)::BIGINT AS n FROM pieces GROUP BY ALL),
+runs_ AS (SELECT document_id, 0::BIGINT AS i, 0 AS run, false AS open_, '' AS family, NULL::VARCHAR AS section, 0::BIGINT AS n, false AS in_ FROM (SELECT DISTINCT document_id FROM sound)
+  UNION ALL SELECT b.document_id, b.i, CASE WHEN b.type <> 'heading' AND NOT (small OR same_) THEN r.run + 1 ELSE r.run END, b.type <> 'heading' OR small, CASE WHEN b.type <> 'heading' AND NOT (small OR same_) THEN b.family ELSE r.family END,
+    CASE WHEN b.type <> 'heading' AND NOT (small OR same_) THEN b.section ELSE r.section END, CASE WHEN b.type = 'heading' THEN CASE WHEN small THEN r.n + t.n ELSE r.n END WHEN small OR same_ THEN r.n + t.n ELSE t.n END, b.type <> 'heading' OR small
+    FROM runs_ r JOIN sound b ON b.document_id = r.document_id AND b.i = r.i + 1 JOIN totals t ON t.document_id = b.document_id AND t.i = b.i,
+    LATERAL (SELECT r.open_ AND r.n < 40 AS small, r.open_ AND r.family = b.family AND r.section IS NOT DISTINCT FROM b.section AS same_)),
+members AS (SELECT p.*, r.run, r.family AS run_family, r.section, row_number() OVER (PARTITION BY p.document_id, r.run ORDER BY p.i, p.j) - 1 AS pos FROM pieces p JOIN runs_ r USING (document_id, i) WHERE r.in_),
+run_starts AS (SELECT document_id, run, arg_min(run_family, i) AS run_family, arg_min_null(section, i) AS section FROM members GROUP BY ALL),
+lengths AS (SELECT document_id, run, list(n ORDER BY pos) AS ns FROM members GROUP BY ALL),
+sums AS (SELECT document_id, run, run_family, section, len(ns) AS size, list_transform(range(len(ns) + 1), lambda k: coalesce(list_sum(ns[1:k]), 0)::BIGINT) AS p FROM lengths JOIN run_starts USING (document_id, run)),
+groups_ AS (SELECT document_id, run, 1 AS g, 0::BIGINT AS s, 0::BIGINT AS f, coalesce(list_max(list_filter(range(1, size), lambda k: p[k + 2] - p[1] <= 200)), 0)::BIGINT AS e FROM sums
+  UNION ALL SELECT document_id, run, g + 1, q, f, greatest(f, coalesce(list_max(list_filter(range(f + 1, size), lambda k: p[k + 2] - p[q + 1] <= 200)), f))::BIGINT
+    FROM (SELECT document_id, run, g, p, size, f, CASE WHEN p[f + 2] - p[q + 1] > 200 THEN f ELSE q END AS q FROM (SELECT m.document_id, m.run, m.g, u.p, u.size, m.e + 1 AS f,
+      coalesce(list_min(list_filter(range(m.s, m.e + 1), lambda k: u.p[m.e + 2] - u.p[k + 1] <= CASE u.run_family WHEN 'prose' THEN 50 ELSE 0 END)), m.e + 1) AS q FROM groups_ m JOIN sums u USING (document_id, run) WHERE m.e + 1 < u.size))),
+ends_ AS (SELECT x.*, u.run_family, u.section, lag(s) OVER w AS s_before, max(g) OVER (PARTITION BY document_id, run) AS last_g, u.p[e + 2] - u.p[f + 1] AS fresh, u.p[lag(e) OVER w + 2] - u.p[lag(s) OVER w + 1] AS before_n FROM groups_ x JOIN sums u USING (document_id, run) WINDOW w AS (PARTITION BY document_id, run ORDER BY g)),
+folded AS (SELECT *, g > 1 AND g = last_g AND fresh < 40 AND before_n + fresh <= 240 AS folds FROM ends_),
+final_ AS (SELECT document_id, run, g, s, coalesce(lead(CASE WHEN folds THEN e END) OVER w, e) AS e, section, folds FROM folded WINDOW w AS (PARTITION BY document_id, run ORDER BY g) QUALIFY NOT folds),
+of_group AS (SELECT x.document_id, x.run, x.g, x.section, m.pos, m.text, m.page, m.start, m.n, m.family, lag(m.family) OVER (PARTITION BY x.document_id, x.run, x.g ORDER BY m.pos) AS family_before FROM final_ x JOIN members m ON m.document_id = x.document_id AND m.run = x.run AND m.pos BETWEEN x.s AND x.e),
+family_words AS (SELECT document_id, run, g, family, sum(n) AS n, min(pos) AS first_ FROM of_group GROUP BY ALL),
+main_ AS (SELECT document_id, run, g, family FROM family_words QUALIFY row_number() OVER (PARTITION BY document_id, run, g ORDER BY n DESC, first_) = 1),
+passages AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY run, g) AS ordinal, m.family, x.section, body, page, page_end, word_start FROM (SELECT document_id, run, g, any_value(section) AS section,
+  string_agg(CASE WHEN family_before IS NULL THEN '' WHEN 'table' IN (family, family_before) THEN chr(10) ELSE ' ' END || text, '' ORDER BY pos) AS body, arg_min(page, pos) AS page, arg_max(page, pos) AS page_end, arg_min(start, pos) AS word_start FROM of_group GROUP BY document_id, run, g) x JOIN main_ m USING (document_id, run, g))"""
+
+#: The first passage of each set of near copies in a document: words of each are told by the normal form, the choice is greedy by ordinal.
+_DISTINCT = rf"""{_PASSAGES}, forms AS (SELECT *, trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS form FROM passages),
+listed AS (SELECT document_id, ordinal, form, len(string_split(form, ' ')) AS n, list_distinct(string_split(form, ' ')) AS own FROM forms),
+close_ AS (SELECT b.document_id, a.ordinal AS a, b.ordinal AS b FROM listed a JOIN listed b ON a.document_id = b.document_id AND a.ordinal < b.ordinal, LATERAL (SELECT len(list_intersect(a.own, b.own)) AS both_) WHERE a.form = b.form
+  OR (a.n >= 20 AND b.n >= 20 AND least(len(a.own), len(b.own)) >= 0.94 * greatest(len(a.own), len(b.own)) AND both_ / (len(a.own) + len(b.own) - both_) >= 0.94)),
+near_ AS (SELECT document_id, b, list(a) AS before_ FROM close_ GROUP BY ALL),
+chosen AS (SELECT document_id, 0::BIGINT AS ordinal, []::BIGINT[] AS kept FROM (SELECT DISTINCT document_id FROM forms)
+  UNION ALL SELECT c.document_id, f.ordinal, CASE WHEN f.form = '' OR list_has_any(c.kept, coalesce(n.before_, [])) THEN c.kept ELSE list_append(c.kept, f.ordinal) END FROM chosen c JOIN forms f ON f.document_id = c.document_id AND f.ordinal = c.ordinal + 1 LEFT JOIN near_ n ON n.document_id = f.document_id AND n.b = f.ordinal),
+kept_ AS (SELECT document_id, unnest(arg_max(kept, ordinal)) AS ordinal FROM chosen GROUP BY document_id),
+distinct_ AS (SELECT p.* FROM passages p JOIN kept_ USING (document_id, ordinal))"""
+
+
+def _label(x: str) -> str:
+    return rf"CASE WHEN {x} <> '' AND len({_words(x)}) <= 12 AND {_letters(x)} / length({x}) >= 0.6 AND regexp_matches({x}, '\p{{L}}{{3,}}') AND NOT contains({x}, '_') THEN {x} END"
+
+
+_TOPICS = rf"named AS (SELECT document_id, arg_min(text, page * 1000000 + block_no) AS topic FROM blocks WHERE type = 'heading' AND {_label('text')} IS NOT NULL AND NOT regexp_matches(text, '(?i)^(?:abstract|introduction|references|bibliography)$') GROUP BY document_id)"
+
 
 ORACLES = {
     "t01_clean_text": rf"WITH {_DOCS} SELECT doc_id, md5({_clean('text')}) AS clean_md5, len({_words('text')})::BIGINT AS words, {_letters('text')}::BIGINT AS letters FROM docs",
@@ -211,6 +287,23 @@ o AS (FROM t QUALIFY row_number() OVER (PARTITION BY url ORDER BY turn, source_n
 SELECT doc_id AS document_id, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5 FROM l GROUP BY doc_id""",
     "k01_upsert": f"SELECT {_uuid('vec_id::VARCHAR')} AS point_id, vec_id::VARCHAR AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN 9 ELSE label END::BIGINT AS label FROM embeddings",
     "k06_csv_round_trip": rf"WITH {_DOCS} SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, source, md5(text) AS text_md5 FROM docs",
+    "b05_blocks": rf"WITH {_BLOCKS} SELECT document_id, page::BIGINT AS page, block_no::BIGINT AS block_no, type, md5(text) AS text_md5, section FROM blocks",
+    "b09_rebuilt_pages": rf"WITH {_BLOCKS} SELECT document_id, page::BIGINT AS page, md5(string_agg(text, chr(10) ORDER BY block_no)) AS text_md5 FROM blocks GROUP BY document_id, page",
+    "c03_word_starts": rf"WITH {_BLOCKS} SELECT document_id, page::BIGINT AS page, block_no::BIGINT AS block_no, coalesce(sum(len({_words('text')})) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, lead(type) OVER w AS next_type FROM blocks WINDOW w AS (PARTITION BY document_id, page ORDER BY block_no)",
+    "c08_packed_groups": rf"WITH RECURSIVE {_PASSAGES} SELECT document_id, ordinal::BIGINT AS ordinal, family, section, md5(body) AS body_md5, page::BIGINT AS page, page_end::BIGINT AS page_end, word_start::BIGINT AS word_start FROM passages",
+    "d01_distinct_passages": rf"WITH RECURSIVE {_DISTINCT} SELECT document_id, ordinal::BIGINT AS ordinal, md5(body) AS body_md5 FROM distinct_",
+    "c15_document_topics": rf"""WITH {_PAGES.replace("paged AS (SELECT document_id", "all_pages AS (SELECT document_id")}, paged AS (FROM all_pages WHERE page % 7 <> 0), {_BLOCKS.replace(_PAGES + ", ", "", 1)}, {_TOPICS},
+q AS (SELECT document_id, string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (page % 7 = 0) AS bad, string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (page % 5 = 0 AND page % 7 <> 0) AS ocr, count(*) FILTER (page % 7 = 0) AS reasons FROM all_pages GROUP BY document_id)
+SELECT doc_id AS document_id, coalesce(topic, source) AS document_topic, coalesce(bad, '') AS quarantined, coalesce(ocr, '') AS ocr, reasons::BIGINT AS reasons FROM docs d JOIN q ON q.document_id = d.doc_id LEFT JOIN named n ON n.document_id = d.doc_id""",
+    "c16_passage_chunks": rf"""WITH RECURSIVE {_DISTINCT}, {_TOPICS}, keys AS (SELECT doc_id, source, sha1(doc_id || ':' || sha256(text)) AS document_id FROM docs), labelled AS (SELECT *, {_label('section')} AS label FROM distinct_), told AS (SELECT *, coalesce(label || chr(10), '') || body AS text FROM labelled)
+SELECT sha1(k.document_id || ':' || t.page || ':' || t.ordinal || ':200:50:pdf:structured-v2-flow') AS chunk_id, k.document_id, source, t.page::BIGINT AS page, row_number() OVER (PARTITION BY k.document_id ORDER BY t.ordinal) AS number, md5(text) AS text_md5, len({_words('text')})::BIGINT AS word_count, label AS section, coalesce(n.topic, source) AS topic,
+CASE family WHEN 'prose' THEN 'paragraph' ELSE family END AS block_type, CASE family WHEN 'reference' THEN 'auxiliary' ELSE 'evidence' END AS role FROM told t JOIN keys k ON k.doc_id = t.document_id LEFT JOIN named n ON n.document_id = t.document_id""",
+    "flagship": rf"""WITH {_DOCS}, s AS (SELECT doc_id::VARCHAR AS document_id, source, {_words('text')} AS w FROM docs), n AS (SELECT *, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 200 THEN 1 ELSE (ceil((len(w) - 200) / 150) + 1)::BIGINT END)) * 150 AS a FROM s),
+chunks AS (SELECT sha1(document_id || ':1:' || a || ':200:50:txt') AS chunk_id, source, array_to_string(w[a + 1 : a + 200], ' ') AS text FROM n), {_bm25('chunks', 5)},
+sized AS (SELECT query_id, rank, c.source, string_split_regex({_trim('c.text')}, '\s+') AS w FROM ranked JOIN chunks c USING (chunk_id)),
+used AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM sized QUALIFY before_ < 1200),
+kept AS (SELECT *, w[1 : least(len(w), 1200 - before_)::BIGINT] AS k FROM used)
+SELECT query_id, string_agg('[Page 1] [Source: ' || source || ']' || chr(10) || array_to_string(k, ' '), chr(10) || chr(10) ORDER BY rank) AS context, sum(len(k))::BIGINT AS words, count(*)::BIGINT AS passages FROM kept GROUP BY query_id""",
 }
 
 
