@@ -6,6 +6,7 @@ serves alike. The stand-ins need no files and give the same values everywhere.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from granary.config import QUERY_PREFIX
 from granary.functions.text import sentences, tokens
+from granary.workspace import bounded_batches
 
 
 class Embedder(Protocol):
@@ -38,26 +40,25 @@ class Analyzer(Protocol):
 class HashingEmbedder:
     """Signed counts of hashed tokens, scaled to unit length."""
 
-    def __init__(self, size: int = 64, prefix: str = QUERY_PREFIX, batch: int = 512):
-        self.size, self.prefix, self.batch = size, prefix, batch
+    def __init__(self, size: int = 64, prefix: str = QUERY_PREFIX):
+        self.size, self.prefix = size, prefix
 
     def embed(self, texts: DataFrame) -> DataFrame:
         size = self.size
-        spark = texts.sparkSession
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(self.batch))
-        hashed = texts.withColumn("_hashes", F.transform(tokens(F.coalesce("text", F.lit(""))), lambda t: F.xxhash64(t)))
+        bounded_batches(texts.sparkSession)
+        # The first 32 bits of a token's MD5: the lowest digits choose the place, the highest bit the sign.
+        hashed = texts.withColumn("_hashes", F.transform(tokens(F.coalesce("text", F.lit(""))), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long")))
         schema = hashed.drop("_hashes").schema.add("dense", T.ArrayType(T.FloatType()))
 
         def run(batches):
             for batch in batches:
-                rows = []
-                for own in batch.column(batch.num_columns - 1).to_pylist():
-                    v = np.zeros(size, np.float32)
-                    h = np.array(own, np.int64).astype(np.uint64)
-                    np.add.at(v, (h % np.uint64(size)).astype(int), np.where(h >> np.uint64(63), -1, 1))
-                    norm = np.linalg.norm(v)
-                    rows.append(v / norm if norm else v)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float32()))], names=schema.fieldNames())
+                column = batch.column(batch.num_columns - 1)
+                h, counts = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), counts)
+                v = np.bincount(row * size + h % size, np.where(h >> 31, -1, 1), batch.num_rows * size).reshape(-1, size).astype(np.float32)
+                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                v = v / np.where(norm, norm, np.float32(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(v), pa.list_(pa.float32()))], names=schema.fieldNames())
 
         return hashed.mapInArrow(run, schema)
 
@@ -82,3 +83,78 @@ class FirstQuotes:
         one = lambda r: F.struct(F.lit("explicit").alias("explicitness"), F.lit("first sentence").alias("reason"), F.array(F.struct(r["chunk_id"].alias("chunkId"), F.substring(F.get(sentences(r["text"]), F.lit(0)), 1, 600).alias("quote"))).alias("evidence"))
         matches = F.transform(F.concat(first, F.slice(first, 1, 1)), one)
         return questions.select("question_id", F.to_json(F.struct(matches.alias("matches"))).alias("content"))
+
+
+_MODELS: dict[str, Callable] = {}
+
+
+def loaded_model(name: str, load: Callable[[], Callable]) -> Callable:
+    """``load()``, once for each name in a Python worker, whatever the number of tasks it runs."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+class BatchScorer:
+    """A cross-encoder in Arrow batches: ``load()`` gives ``(questions, texts) -> logits``, a forward pass for a list of pairs.
+
+    The model is loaded once in a Python worker, under ``name``, and gets at most ``batch`` pairs at a time.
+    """
+
+    def __init__(self, name: str, load: Callable[[], Callable[[list[str], list[str]], np.ndarray]], batch: int = 32):
+        self.name, self.load, self.batch = name, load, batch
+
+    def logits(self, results: DataFrame, question_col: str, text_col: str) -> DataFrame:
+        """``results`` with ``_logit``; null texts are empty."""
+        bounded_batches(results.sparkSession)
+        given = results.columns
+        schema = T.StructType([*results.schema.fields, T.StructField("_logit", T.DoubleType())])
+        at, name, load, size = (given.index(question_col), given.index(text_col)), self.name, self.load, self.batch
+
+        def run(batches):
+            model = loaded_model(name, load)
+            for batch in batches:
+                asked, texts = ([x or "" for x in batch.column(i).to_pylist()] for i in at)
+                out = [float(x) for i in range(0, len(asked), size) for x in model(asked[i : i + size], texts[i : i + size])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=schema.fieldNames())
+
+        return results.mapInArrow(run, schema)
+
+
+class PromptedModel:
+    """A generator and analyzer behind a chat service: ``call`` answers a list of requests (JSON) with a list of texts.
+
+    A request has the model's name, a temperature, a system and a user message and,
+    for matches, the JSON schema that the answer must have.
+    """
+
+    ANSWER = "Answer the question from the passages alone, and say so where they don't hold the answer."
+    MATCH = "Find the passages that answer the question. Quote them word for word, name the chunk, and give a reason."
+    SCHEMA = '{"type":"object","required":["matches"],"properties":{"matches":{"type":"array","items":{"type":"object","required":["explicitness","reason","evidence"],"properties":{"explicitness":{"enum":["explicit","implicit"]},"reason":{"type":"string"},"evidence":{"type":"array","items":{"type":"object","required":["chunkId","quote"],"properties":{"chunkId":{"type":"string"},"quote":{"type":"string"}}}}}}}}}'
+
+    def __init__(self, call: Callable[[list[str]], list[str]], model: str = "model", temperature: float = 0.0):
+        self.call, self.model, self.temperature = call, model, temperature
+
+    def requests(self, rows: DataFrame, key: str, system: str, user, schema: str | None = None) -> DataFrame:
+        """``key, request``."""
+        message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+        fields = [F.lit(self.model).alias("model"), F.lit(self.temperature).alias("temperature"), F.array(message("system", F.lit(system)), message("user", user)).alias("messages")]
+        return rows.select(key, F.to_json(F.struct(*fields, *([F.lit(schema).alias("format")] if schema else []))).alias("request"))
+
+    def _called(self, requests: DataFrame, out: str) -> DataFrame:
+        bounded_batches(requests.sparkSession)
+        call, names = self.call, [requests.columns[0], out]
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(call(batch.column(1).to_pylist()), pa.string())], names=names)
+
+        return requests.mapInArrow(run, f"{names[0]} {requests.dtypes[0][1]}, {out} string")
+
+    def generate(self, prompts: DataFrame) -> DataFrame:
+        user = F.concat(F.lit("Passages:\n"), "context", F.lit("\n\nQuestion: "), "question")
+        return self._called(self.requests(prompts, "query_id", self.ANSWER, user), "answer")
+
+    def match(self, questions: DataFrame) -> DataFrame:
+        passages = F.array_join(F.transform("results", lambda r: F.concat(F.lit("[Chunk "), r["chunk_id"].cast("string"), F.lit("]\n"), r["text"])), "\n\n")
+        return self._called(self.requests(questions, "question_id", self.MATCH, F.concat("query", F.lit("\n\nPassages:\n"), passages), self.SCHEMA), "content")

@@ -266,12 +266,13 @@ def chunk_documents(documents: DataFrame, pages: DataFrame, blocks: DataFrame |
 
     ``pages``: ``document_id, page, text, quality, quality_reason``. Where ``blocks`` are given
     they make passages; without them pages make word windows. Passages come first,
-    then windows, numbered from 1 in each document. Near-duplicate and empty passages
-    are dropped, and passages of references are auxiliary.
+    then windows, numbered from 1 in each document. Quarantined pages have neither.
+    Near-duplicate and empty passages are dropped, and passages of references are auxiliary.
     """
     documents = documents.select("document_id", "source", "source_hash", "extension", identity.index_fingerprint(F.col("source_hash"), config, F.col("extension")).alias("fingerprint"))
     if blocks is None:
-        made = word_windows(pages, config).join(documents, "document_id").select(
+        readable = pages.where(~F.col("quality").eqNullSafe("quarantined")) if "quality" in pages.columns else pages
+        made = word_windows(readable, config).join(documents, "document_id").select(
             "document_id", "source", "source_hash", F.col("page").cast("int").alias("page"), "text", F.lit(1).alias("kind"), F.struct("page", "word_start").alias("place"),
             identity.window_chunk_id(F.col("document_id"), F.col("page"), F.col("word_start"), config, F.col("extension")).alias("chunk_id"),
             _metadata(content_type=F.col("extension"), index_fingerprint=F.col("fingerprint"), word_count=F.col("word_count"), word_start=F.col("word_start")).alias("metadata"),
@@ -298,3 +299,11 @@ def empty_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """``document_id, error`` of the documents that made no chunk."""
     hint = F.when(F.col("extension") == "pdf", " OCR may be required.").otherwise("")
     return documents.join(chunks.select("document_id").distinct(), "document_id", "left_anti").select("document_id", F.concat(F.col("source"), F.lit(" contains no extractable text."), hint).alias("error"))
+
+
+def require_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunks``, unless some document made none: then the call fails with the error of the first by source."""
+    failed = empty_documents(documents, chunks).orderBy("error").first()
+    if failed:
+        raise ValueError(failed["error"])
+    return chunks

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from granary.workspace import shared_dir
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -23,13 +26,15 @@ def numbered(rows: DataFrame, groups: list[str], order: list[str], name: str = "
 
     Rows are dealt by ranges of ``groups`` and ``order`` (together unique), numbered in
     their range, and shifted by the group's rows in the ranges before: one sum for each
-    group and range.
+    group and range. The dealt rows are written to the shared folder.
     """
-    here = F.spark_partition_id()
     spark = rows.sparkSession
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *groups, *order).withColumn("_range", here)
+    path = shared_dir(spark, "numbered")
+    # Written once: a range that were dealt again might hold other rows.
+    rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *groups, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
     local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range", *groups).orderBy(*order)))
-    counts = local.groupBy("_range", *groups).agg(F.count("*").alias("_rows"))
+    counts = dealt.groupBy("_range", *groups).agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(F.col("_range").alias("_s_range"), *(F.col(c).alias(f"_s_{c}") for c in groups), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     same = F.col("_range") == F.col("_s_range")

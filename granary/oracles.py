@@ -308,4 +308,6 @@ SELECT query_id, string_agg('[Page 1] [Source: ' || source || ']' || chr(10) ||
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from granary import oracles_io
+
+    return ORACLES | oracles_io.ORACLES

@@ -10,7 +10,7 @@ from granary.functions.text import question_error
 from granary.operators import context, models, retrieval
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, embedder: models.Embedder | None = None, config: RetrievalConfiguration = RetrievalConfiguration(), reranking: RerankingConfiguration = RerankingConfiguration(), scorer: retrieval.Scorer = retrieval.overlap_logit) -> DataFrame:
+def retrieve(chunks: DataFrame, questions: DataFrame, embedder: models.Embedder | None = None, config: RetrievalConfiguration = RetrievalConfiguration(), reranking: RerankingConfiguration = RerankingConfiguration(), scorer: retrieval.Scorer | models.BatchScorer = retrieval.overlap_logit) -> DataFrame:
     """``query_id, question, chunk_id, rank, score, dense_score, sparse_score`` with the chunk's columns.
 
     ``chunks`` (already scoped) hold ``dense`` unless the strategy is sparse; ``questions``:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.operators import retrieval
 from granary.operators.repeats import numbered
+from granary.sources.candidates import TRIES, with_retries
+from granary.sources.store import JsonFile
 
 BATCH = 10
+# The columns of the pairs and, below, the keys of the state file.
 PAIR_COLUMNS = ("dimension_id", "category_id", "batch_number", "question_number", "question", "rank", "document", "document_id", "chunk_id", "page", "chunk_number", "retrieval_score", "chunk_text", "related")
 
 
@@ -36,12 +40,17 @@ def batch_pairs(chunks: DataFrame, batches: DataFrame, questions: DataFrame, k:
     ``chunks``: ``document_id, chunk_id, text, source, page, number``. A batch is a scope, so
     the rank is within batch and question; document frequencies are the collection's.
     """
-    placed = chunks.join(batches.select("document_id", "dimension_id", "batch_number"), "document_id")
     asked = questions.select(F.col("question_id").alias("query_id"), "dimension_id", "category_id", F.col("question_no").alias("question_number"), "question")
-    scored = retrieval.sparse_search(chunks, asked.select("query_id", F.col("question").alias("text")), 1 << 30)
-    scoped = scored.select("query_id", "chunk_id", "score").join(asked, "query_id").join(placed, ["chunk_id", "dimension_id"])
+    weighted, terms = retrieval.weighted_terms(chunks, asked.select("query_id", F.col("question").alias("text")), ["document_id"])
+    known = chunks.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "word string, term int")
+    wanted = asked.select("query_id", "dimension_id", F.explode(F.array_distinct(retrieval.terms(F.col("question")))).alias("word")).join(known, "word").drop("word")
+    placed = weighted.join(batches.select("document_id", "dimension_id", "batch_number"), "document_id")
+    # A question meets the chunks of its own dimension only.
+    each = placed.select("chunk_id", "dimension_id", "batch_number", F.inline(F.arrays_zip("terms", "weights"))).withColumnsRenamed({"terms": "term", "weights": "weight"})
+    scored = each.join(wanted, ["dimension_id", "term"]).groupBy("query_id", "chunk_id", "batch_number").agg(F.round(F.sum("weight"), retrieval.DIGITS).alias("score"))
     order = Window.partitionBy("query_id", "batch_number").orderBy(F.col("score").desc(), "chunk_id")
-    best = scoped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = ranked.join(asked, "query_id").join(chunks, "chunk_id")
     return best.select(
         "dimension_id", "category_id", "batch_number", "question_number", "question", "rank", F.col("source").alias("document"), "document_id", "chunk_id", "page", F.col("number").alias("chunk_number"),
         F.col("score").alias("retrieval_score"), F.col("text").alias("chunk_text"), F.lit("").alias("related"),
@@ -54,7 +63,8 @@ def signature(configuration: dict, ontology: bytes, files: list[tuple[str, int,
     return hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def state(signature_: str, completed: int, total: int, last: str | None = None, error: str | None = None) -> dict:
+def state(signature_: str, completed: int, total: int, last: dict | None = None, error: str | None = None) -> dict:
+    """What the state file holds."""
     status = "failed" if error else "completed" if completed == total else "running"
     return {"version": 1, "signature": signature_, "status": status, "completed_batches": completed, "total_batches": total, "last_completed": last, "error": error}
 
@@ -77,11 +87,82 @@ def pending_jobs(made: DataFrame, done: DataFrame, known_signature: str | None,
     return marked.where("done is null").drop("done")
 
 
-def check_results(pairs: DataFrame, jobs_: DataFrame) -> DataFrame:
-    """``dimension_id, batch_number, error`` of batches with unknown questions or documents outside the batch; empty where all is well."""
+RESULTS = "array<struct<question:string,matches:array<struct<document_id:string,chunk_id:string,rank:int,score:double>>>>"
+
+
+def check_results(jobs_: DataFrame, results: DataFrame) -> DataFrame:
+    """``dimension_id, batch_number, error`` of each job: null, or the first rule that its results break.
+
+    ``results``: ``dimension_id, batch_number, results`` (``RESULTS``), a result for each
+    question, in the job's order, with documents of the batch only. One join on the job's key.
+    """
     keys = ["dimension_id", "batch_number"]
-    inside = jobs_.select(*keys, F.explode("documents").alias("document_id"))
-    asked = jobs_.select(*keys, F.explode("questions.question").alias("question")).distinct()
-    stray = pairs.join(inside, [*keys, "document_id"], "left_anti").select(*keys, F.lit("a result names a document outside the batch").alias("error"))
-    unknown = pairs.join(asked, [*keys, "question"], "left_anti").select(*keys, F.lit("a result names another question").alias("error"))
-    return stray.unionByName(unknown).distinct()
+    both = jobs_.join(results, keys, "left")
+    order = F.exists(F.zip_with("questions", "results", lambda q, r: ~q["question"].eqNullSafe(r["question"])), lambda x: x)
+    stray = F.exists("results", lambda r: F.exists(F.coalesce(r["matches"], F.array().cast("array<struct<document_id:string,chunk_id:string,rank:int,score:double>>")), lambda m: ~F.array_contains("documents", m["document_id"])))
+    error = F.when(F.col("results").isNull() | (F.size("results") != F.size("questions")), "wrong question count").when(order, "changed question order").when(stray, "result escaped document batch")
+    return both.select(*keys, error.alias("error"))
+
+
+def zipped_results(jobs_: DataFrame, results: DataFrame) -> DataFrame:
+    """``dimension_id, batch_number, category_id, question_number, question`` and the match's columns: results by their place beside the questions."""
+    both = jobs_.join(results, ["dimension_id", "batch_number"])
+    each = both.select("dimension_id", "batch_number", F.inline(F.arrays_zip("questions", "results"))).select("dimension_id", "batch_number", F.col("questions.category_id").alias("category_id"), F.col("questions.question_no").alias("question_number"), F.col("questions.question").alias("question"), F.explode("results.matches").alias("m"))
+    return each.select("dimension_id", "batch_number", "category_id", "question_number", "question", "m.*")
+
+
+class Checkpoint:
+    """Finished rows in job order and the state beside them, in one folder.
+
+    A group of jobs is a Parquet part of its own, so a commit never rewrites what was
+    committed before; the state is replaced by one rename.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.file = JsonFile(spark, f"{self.path}/state.json")
+
+    def rows(self) -> DataFrame | None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.path}/rows")
+
+    def commit(self, rows: DataFrame, before: int, state_: dict) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/from-{before:09d}")
+        self.file.write(state_)
+
+
+def ordered_jobs(jobs_: DataFrame) -> DataFrame:
+    """``jobs_`` with ``job_no`` from 1, by dimension and batch."""
+    return numbered(jobs_.withColumn("_all", F.lit(1)), ["_all"], ["dimension_id", "batch_number"], "job_no").drop("_all")
+
+
+def run_jobs(jobs_: DataFrame, request: Callable[[DataFrame], DataFrame], checkpoint: Checkpoint, signature_: str, group: int = 8, tries: int = TRIES, first_delay: float = 1.0, **patience) -> int:
+    """Run what ``checkpoint`` lacks, in job order, and return how many jobs are finished.
+
+    ``request`` makes the rows (with ``dimension_id, batch_number``) of some jobs; ``group`` jobs
+    run at once, as one Spark job, and are committed together with the state. A failing
+    group is tried again after growing delays, unless it was refused; then the state
+    says so and the error is raised. Finished rows without a state are adopted; a state
+    that counts finished jobs without their rows, another signature, and rows that
+    aren't the first jobs' are errors.
+    """
+    known, done = checkpoint.file.read(), checkpoint.rows()
+    if done is None and known and known["completed_batches"]:
+        raise ValueError("The state counts finished batches, but their rows are missing.")
+    numbered_jobs = ordered_jobs(jobs_)
+    total = numbered_jobs.count()
+    left = pending_jobs(numbered_jobs, done if done is not None else numbered_jobs.limit(0), known["signature"] if known else None, signature_)
+    completed = total - left.count()
+    while completed < total:
+        now = left.where(F.col("job_no").between(completed + 1, completed + group))
+        after = min(total, completed + group)
+        last = now.orderBy(F.col("job_no").desc()).select("dimension_id", "batch_number").first().asDict()
+        try:
+            with_retries(lambda: checkpoint.commit(request(now), completed, state(signature_, after, total, last)), tries, first_delay, **patience)
+        except Exception as error:
+            checkpoint.file.write(state(signature_, completed, total, known["last_completed"] if known else None, str(error)[:500]))
+            raise
+        completed, known = after, {"last_completed": last}
+    return completed

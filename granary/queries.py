@@ -439,11 +439,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word windows of all documents, BM25 top five for each question, and their word-budgeted context."""
     config = ChunkConfiguration()
     own = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page"), "text", "source")
-    windows = passages.word_windows(own, config).join(own.select("document_id", "source"), "document_id")
-    chunks = windows.withColumn("chunk_id", identity.window_chunk_id(F.col("document_id"), F.col("page"), F.col("word_start"), config, F.lit("txt")))
-    found = retrieval.sparse_search(chunks, _questions(spark, sf_dir), 5).join(chunks, "chunk_id")
+    chunks = passages.word_windows(own, config).withColumn("chunk_id", identity.window_chunk_id(F.col("document_id"), F.col("page"), F.col("word_start"), config, F.lit("txt")))
+    # The few windows found are cut from their documents again, so no other text moves.
+    found = retrieval.sparse_search(chunks, _questions(spark, sf_dir), 5, carry=["document_id", "word_start"]).join(own, "document_id")
+    window = F.array_join(F.slice(text.words(F.col("text")), F.col("word_start") + 1, F.lit(config.word_size)), " ")
     none = F.lit(None).cast("int")
-    return context.answer_context(found.select("query_id", "rank", "text", "source", "page", F.lit("txt").alias("content_type"), none.alias("row_start"), none.alias("row_end")))
+    return context.answer_context(found.select("query_id", "rank", window.alias("text"), "source", "page", F.lit("txt").alias("content_type"), none.alias("row_start"), none.alias("row_end")))
 
 
 _ALL = (
@@ -455,4 +456,6 @@ _ALL = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*_ALL, flagship)}
+    from granary import queries_io
+
+    return {f.__name__: f for f in (*_ALL, flagship)} | queries_io.queries()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import identity
 from granary.functions.text import clean_text
+from granary.operators.repeats import numbered
 
 # What an upload accepts and what the chunker reads.
 ACCEPTED = ("pdf", "csv", "docx", "txt", "xlsx", "md")
@@ -25,10 +26,20 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return reader.load(path).select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), "content", "path")
 
 
+def _folder_key() -> list[Column]:
+    number = F.regexp_extract("name", r"-(\d+)\.pdf$", 1)
+    return [F.when(number != "", number.cast("double")).otherwise(F.lit(float("inf"))), F.col("name")]
+
+
 def in_folder_order(files: DataFrame) -> DataFrame:
     """By the number before the extension (``topic-12.pdf``), files without one last, then by name."""
-    number = F.regexp_extract("name", r"-(\d+)\.pdf$", 1)
-    return files.orderBy(F.when(number != "", number.cast("double")).otherwise(F.lit(float("inf"))), "name")
+    return files.orderBy(*_folder_key())
+
+
+def folder_positions(files: DataFrame, folder: str) -> DataFrame:
+    """``files`` with ``position`` from 1 in the order of their folder; no folder's files meet in one task."""
+    number, name = _folder_key()
+    return numbered(files.withColumn("_number", number), [folder], ["_number", "name"], "position").drop("_number")
 
 
 def identified(files: DataFrame) -> DataFrame:
@@ -41,8 +52,8 @@ def extension_error(extension: Column) -> Column:
     return F.when(~F.coalesce(extension.isin(*CHUNKED), F.lit(False)), F.concat(F.lit('Document type ".'), extension, F.lit('" is not implemented for chunking')))
 
 
-def selection_errors(files: DataFrame, for_chunking: bool = True) -> DataFrame:
-    """One row ``error``: the first broken rule of an upload in ``ordinal`` order, or null.
+def selection_errors(files: DataFrame, for_chunking: bool = True, upload: str | None = None) -> DataFrame:
+    """One row ``error``: the first broken rule of an upload in ``ordinal`` order, or null; with ``upload``, a row for each value of that column.
 
     ``files``: ``ordinal, name, size``. Number first, then each file's type, emptiness and
     size, then what the chunker reads.
@@ -54,10 +65,11 @@ def selection_errors(files: DataFrame, for_chunking: bool = True) -> DataFrame:
         .when(F.col("size") > MAX_MB * 1024 * 1024, F.concat("name", F.lit(f" exceeds the {MAX_MB} MB file limit.")))
     )
     later = F.when(~extension.isin(*CHUNKED), F.concat("name", F.lit(" is accepted for upload, but is not implemented in the RAG chunker yet."))) if for_chunking else F.lit(None).cast("string")
-    judged = files.select("ordinal", basic.alias("basic"), later.alias("later"))
+    keys = [upload] if upload else []
+    judged = files.select(*keys, "ordinal", basic.alias("basic"), later.alias("later"))
     first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("ordinal")))
-    out = judged.agg(F.count("*").alias("n"), first("basic").alias("basic"), first("later").alias("later"))
-    return out.select(F.when(F.col("n") == 0, "Select at least one document.").when(F.col("n") > MAX_FILES, f"Select no more than {MAX_FILES} documents at once.").otherwise(F.coalesce("basic", "later")).alias("error"))
+    out = judged.groupBy(*keys).agg(F.count("*").alias("n"), first("basic").alias("basic"), first("later").alias("later"))
+    return out.select(*keys, F.when(F.col("n") == 0, "Select at least one document.").when(F.col("n") > MAX_FILES, f"Select no more than {MAX_FILES} documents at once.").otherwise(F.coalesce("basic", "later")).alias("error"))
 
 
 def text_pages(files: DataFrame) -> DataFrame:

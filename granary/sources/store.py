@@ -1,8 +1,11 @@
 """The collection of stored chunks, and the other sinks: JSON, CSV, numbered files, job state.
 
-A collection is a Parquet folder of points bucketed by nothing but its key's hash
-prefix: an upsert writes a new version beside the old and switches a pointer file, so
-a reader or a lost executor never sees half of it.
+A collection keeps its points in ``SHARDS`` shards by a prefix of the point id's hash.
+An upsert writes new versions of the shards it touches beside the old ones and then
+replaces the pointer file, which says which version of each shard is in force. So a
+reader or a lost executor never sees half of it, and what an upsert doesn't touch isn't
+rewritten. Versions that were replaced stay until :meth:`Collection.vacuum`, for
+readers that began before.
 """
 
 from __future__ import annotations
@@ -19,63 +22,80 @@ from granary.operators.repeats import last_by
 UPSERT_ORDER = "_order"
 
 
-class Collection:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+#: Shards of a new collection.
+SHARDS = 64
+
 
-    def _at(self, name: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+class JsonFile:
+    """A small JSON file on any Hadoop file system, replaced by one rename."""
 
-    def _state(self) -> dict | None:
-        at, fs = self._at("current.json")
-        if not fs.exists(at):
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jvm.java.net.URI.create(path) if ":" in path else spark._jvm.org.apache.hadoop.fs.Path(path).toUri(), spark._jsc.hadoopConfiguration())
+
+    def read(self) -> dict | None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(self.path, wholetext=True).first()[0])
 
-    def _switch(self, state: dict) -> None:
-        """Write beside, then rename: the pointer is whole at all times."""
-        new, fs = self._at(f"current-{uuid.uuid4().hex}.json")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(state).encode()))
+    def write(self, value: dict) -> None:
+        jvm = self.spark._jvm
+        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}.{uuid.uuid4().hex}.tmp")
+        out = new.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(new, True)
+        out.write(bytearray(json.dumps(value, indent=2).encode()))
         out.close()
-        at, _ = self._at("current.json")
-        fs.delete(at, False)
-        fs.rename(new, at)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._context.rename(new, jvm.org.apache.hadoop.fs.Path(self.path), options)
+
+
+class Collection:
+    def __init__(self, spark: SparkSession, path: str, shards: int = SHARDS):
+        self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
+        self._pointer = JsonFile(spark, f"{self.path}/current.json")
+
+    def _drop(self, name: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def exists(self) -> bool:
-        return self._state() is not None
+        return self._pointer.read() is not None
 
     def ensure(self, vector_size: int, recreate: bool = False) -> None:
         """Create the collection, or check the dimension of the one there is; ``recreate`` drops it first."""
         if not isinstance(vector_size, int) or isinstance(vector_size, bool) or vector_size <= 0:
             raise ValueError("vectorSize must be a positive safe integer.")
-        state = None if recreate else self._state()
+        state = None if recreate else self._pointer.read()
         if state is None:
             if recreate:
-                at, fs = self._at("")
-                fs.delete(at, True)
-            self._switch({"vector_size": vector_size, "distance": "cosine", "version": None})
+                self._drop("")
+            self._pointer.write({"vector_size": vector_size, "distance": "cosine", "shards": self.shards, "versions": {}, "replaced": []})
         else:
             self.check_size(vector_size)
 
     def check_size(self, size: int) -> None:
-        state = self._state()
+        state = self._pointer.read()
         if not state or "vector_size" not in state:
             raise ValueError('The collection has no "dense" vector.')
         if state["vector_size"] != size:
             raise ValueError(f"Vector dimension mismatch: the collection has {state['vector_size']}, received {size}.")
 
+    def _read(self, versions: dict[str, str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{v}/shard={s}" for s, v in sorted(versions.items())))
+
     def points(self) -> DataFrame:
-        state = self._state()
-        if not state or not state["version"]:
+        state = self._pointer.read()
+        if not state or not state["versions"]:
             raise ValueError("The collection holds no points.")
-        return self.spark.read.parquet(f"{self.path}/{state['version']}")
+        return self._read(state["versions"])
 
     def upsert(self, chunks: DataFrame) -> None:
-        """Put in ``chunks`` (with ``chunk_id`` and ``dense``); of equal ids the last wins, old points of theirs go.
+        """Put in ``chunks`` (with ``chunk_id`` and ``dense``); old points of equal ids go, of equal ids in ``chunks`` the last wins.
 
-        One aggregate checks the vectors; one exchange on the point id settles repeats.
+        Last is by the column ``_order``; without it repeated ids with different contents are an error, since rows have no order
+        of their own. One aggregate checks the vectors; one exchange on the point id settles repeats, and
+        only the shards that ``chunks`` has points of are rewritten.
         """
         checked = chunks.agg(F.count("*").alias("n"), F.count_if(F.col("dense").isNull()).alias("missing"), F.min(F.size("dense")).alias("low"), F.max(F.size("dense")).alias("high")).first()
         if not checked["n"]:
@@ -85,22 +105,45 @@ class Collection:
         if checked["low"] < 1 or checked["low"] != checked["high"]:
             raise ValueError("Vectors must be non-empty and of one dimension.")
         self.ensure(checked["low"])
-        state = self._state()
-        order = F.col(UPSERT_ORDER) if UPSERT_ORDER in chunks.columns else F.monotonically_increasing_id()
-        new = last_by(chunks.withColumn("point_id", point_id(F.col("chunk_id"))).withColumn(UPSERT_ORDER, order), ["point_id"], [F.col(UPSERT_ORDER)]).drop(UPSERT_ORDER)
-        if state["version"]:
-            new = self.points().join(new.select("point_id"), "point_id", "left_anti").unionByName(new, allowMissingColumns=True)
+        state = self._pointer.read()
+        keyed = chunks.withColumn("point_id", point_id(F.col("chunk_id")))
+        if UPSERT_ORDER in chunks.columns:
+            new = last_by(keyed, ["point_id"], [F.col(UPSERT_ORDER)]).drop(UPSERT_ORDER)
+        else:
+            new = keyed.distinct()
+            if not new.groupBy("point_id").count().where("count > 1").isEmpty():
+                raise ValueError(f"Repeated chunk ids need a column {UPSERT_ORDER}.")
+        new = new.withColumn("shard", F.pmod(F.xxhash64("point_id"), F.lit(state["shards"])).cast("int"))
         version = f"v-{uuid.uuid4().hex}"
-        new.write.parquet(f"{self.path}/{version}")
-        self._switch(state | {"version": version})
-        if state["version"]:
-            at, fs = self._at(state["version"])
-            fs.delete(at, True)
-
-
-def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One ordered CSV with a header; quotes are doubled, nulls empty."""
-    rows.repartitionByRange(1, *order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        # Written once beside its final place: which shards it touches, and what it replaces, are read from there.
+        new.repartition("shard").write.partitionBy("shard").parquet(f"{self.path}/new-{version}")
+        fresh = self.spark.read.schema(new.schema).parquet(f"{self.path}/new-{version}")
+        touched = [str(r["shard"]) for r in fresh.select("shard").distinct().collect()]  # at most ``shards``
+        old = {s: state["versions"][s] for s in touched if s in state["versions"]}
+        out = fresh
+        if old:
+            kept = self._read(old).withColumn("shard", F.pmod(F.xxhash64("point_id"), F.lit(state["shards"])).cast("int"))
+            out = kept.join(fresh.select("shard", "point_id"), ["shard", "point_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)
+        out.repartition("shard").write.partitionBy("shard").parquet(f"{self.path}/{version}")
+        self._drop(f"new-{version}")
+        replaced = [f"{v}/shard={s}" for s, v in old.items()]
+        self._pointer.write(state | {"versions": state["versions"] | dict.fromkeys(touched, version), "replaced": state["replaced"] + replaced})
+
+    def vacuum(self) -> None:
+        """Delete the replaced versions of shards; no reader of theirs may be left."""
+        state = self._pointer.read()
+        self._pointer.write(state | {"replaced": []})
+        for name in state["replaced"]:
+            self._drop(name)
+
+
+def write_csv(rows: DataFrame, path: str, order: list[str], parts: int | None = None) -> None:
+    """An ordered CSV in parts, each with the header: the parts in the order of their names are the rows in order.
+
+    Quotes are doubled, nulls empty. ``parts=1`` makes a single file, for small tables.
+    """
+    dealt = rows.repartitionByRange(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -122,3 +165,41 @@ def received_response(count: int) -> str:
 def numbered_names(accepted: DataFrame, dimension: str = "dimension", number: str = "number") -> DataFrame:
     """``file`` for each accepted row: dimension and number."""
     return accepted.withColumn("file", F.concat(F.col(dimension), F.lit("-"), F.col(number).cast("string"), F.lit(".pdf")))
+
+
+def write_numbered(accepted: DataFrame, path: str, dimension: str = "dimension", number: str = "number", content: str = "content") -> int:
+    """Write the content of each accepted row to ``<path>/<dimension>/<dimension>-<number>.pdf``, and return how many files there are.
+
+    Accepted rows are capped for each dimension, so the driver writes them, one held at a time.
+    """
+    spark = accepted.sparkSession
+    n = 0
+    for row in numbered_names(accepted, dimension, number).select(dimension, "file", F.col(content).cast("binary").alias("content")).toLocalIterator():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{row[dimension]}/{row['file']}")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(row["content"] or b""))
+        out.close()
+        n += 1
+    return n
+
+
+def hierarchy_response(tree: DataFrame, diagnostics: DataFrame, indexed: int) -> DataFrame:
+    """``response`` (JSON), one row: the framework by dimension and the diagnostics by category, both in order.
+
+    A framework has at most 100 categories, so they meet in one row.
+    """
+    framework = tree.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("dimension_no", F.struct(F.col("dimension_id").alias("id"), F.col("dimension").alias("name"), F.col("dimension_definition").alias("definition"), "categories").alias("d")))), lambda x: x["d"]).alias("dimensions"))
+    by_category = diagnostics.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("dimension_no", "category_no", F.struct(F.col("category_id").alias("categoryId"), F.col("retrieved_chunks").alias("retrievedChunks"), F.col("matched_questions").alias("matchedQuestions"), F.col("matched_candidates").alias("matchedCandidates"), "rejected").alias("c")))), lambda x: x["c"]).alias("diagnostics"))
+    return framework.crossJoin(by_category).select(F.to_json(F.struct(F.lit(True).alias("ok"), F.lit(indexed).alias("indexedChunks"), F.struct("dimensions").alias("framework"), "diagnostics")).alias("response"))
+
+
+def calibration_response(pairs: DataFrame) -> DataFrame:
+    """``dimension_id, batch_number, response`` (JSON): of each batch its questions in order and their matches by rank."""
+    match = F.struct("rank", F.struct("rank", F.col("document").alias("source"), F.col("document_id").alias("documentId"), F.col("chunk_id").alias("chunkId"), "page", F.col("chunk_number").alias("chunk"), F.col("retrieval_score").alias("score"), F.col("chunk_text").alias("text")).alias("m"))
+    each = pairs.groupBy("dimension_id", "batch_number", "category_id", "question_number", "question").agg(F.transform(F.array_sort(F.collect_list(match)), lambda x: x["m"]).alias("matches"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("category_id", "question_number", F.struct("question", "matches").alias("r")))), lambda x: x["r"])
+    return each.groupBy("dimension_id", "batch_number").agg(listed.alias("results")).select("dimension_id", "batch_number", F.to_json(F.struct(F.lit(True).alias("ok"), "results")).alias("response"))
+
+
+def error_response(message: str) -> str:
+    return json.dumps({"ok": False, "message": message})

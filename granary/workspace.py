@@ -16,3 +16,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"{tempfile.gettempdir()}/granary-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows and bytes in one Arrow batch, for all operators alike.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of an Arrow batch to ours, where they are higher; they are never raised."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
