@@ -107,8 +107,8 @@ def format_chats(conversations: DataFrame, template: Template = INSTRUCT, conv_c
     """``conv_id, formatted, segments, valid``: one row a conversation.
 
     Turns are ordered by number, ties by role and text (nulls first), so repeated
-    rows give repeated turns. A null text or role is empty; a null conversation id
-    is a conversation of its own. Turn orders that the machine rejects are
+    rows give repeated turns. A null text or role is empty; all rows of a null
+    conversation id are one conversation. An empty table gives no rows. Turn orders that the machine rejects are
     formatted all the same and marked ``valid`` = false. One exchange on the id;
     a conversation's turns meet in one row, which is what it becomes.
     """
@@ -135,8 +135,10 @@ def read_back(formatted: Column, template: Template = INSTRUCT) -> Column:
         for name, turn in template.roles.items():
             value = shape(F.lit(name), part.substr(F.lit(len(turn.before) + 1), F.length(part)), turn.loss)
             made = F.when(F.startswith(part, F.lit(turn.before)), value) if made is None else made.when(F.startswith(part, F.lit(turn.before)), value)
-        at = F.instr(part, template.named)
-        role = part.substr(F.lit(len(template.other.before) + 1), at - 1 - len(template.other.before))
-        return made.otherwise(shape(unescape(role), part.substr(at + len(template.named), F.length(part)), template.other.loss))
+        # Looked for after the mark in front, which may end as ``named`` begins.
+        rest = part.substr(F.lit(len(template.other.before) + 1), F.length(part))
+        at = F.instr(rest, template.named)
+        role = rest.substr(F.lit(1), at - 1)
+        return made.otherwise(shape(unescape(role), rest.substr(at + len(template.named), F.length(part)), template.other.loss))
 
     return F.transform(turns, of)

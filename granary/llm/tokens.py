@@ -29,7 +29,7 @@ import numpy as np
 from granary.llm.common import prefix_hashes, span_hashes
 
 #: Units in a table, and ids that it holds, in one Python worker; then it starts anew.
-TABLE_BITS, TABLE_IDS = 21, 6_000_000
+TABLE_BITS, TABLE_IDS = 22, 12_000_000
 #: Bytes of text that are looked up at once. Longer texts are cut in front of white space.
 PIECE_BYTES = 1 << 20
 #: Segments in each of a piece cache's two generations, in one Python worker.
@@ -41,8 +41,6 @@ CACHE_CHARS = 64
 _MARK = "\ud800"
 _SPACES = re.compile("[ ▁]+[^ ▁]*")
 
-_ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
-_WHITE = np.array([b in (10, 32) for b in range(256)])
 #: White space on which libraries may differ, and NUL; and bytes that may start such a character (U+0085, 00A0, 1680, 180E, 2000-200F, 2028, 2029, 202F, 205F, 2060, 3000, FEFF).
 _ODD = np.array([b in (0, 9, 11, 12, 13, 28, 29, 30, 31) for b in range(256)])
 _ODD_LEAD = np.array([b in (0xC2, 0xE1, 0xE2, 0xE3, 0xEF) for b in range(256)])
@@ -55,6 +53,10 @@ _PROBE = (
 )
 
 
+# The characters that byte-level vocabularies have for bytes that aren't printable in Latin-1.
+_BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -134,30 +136,34 @@ class _Table:
             left = left[self.keys[slot[left]] != keys[left]]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
-    def gather(self, found: np.ndarray) -> np.ndarray:
+    def gather(self, found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all that was found, and how many there are up to each of ``bounds``."""
         sizes = found & 0xFFFFFF
-        to = np.cumsum(sizes)
-        if not len(to) or not to[-1]:
-            return np.zeros(0, np.uint32)
-        return self.ids[np.repeat((found >> 24) - (to - sizes), sizes) + np.arange(to[-1])]
+        to = np.concatenate(([0], np.cumsum(sizes)))
+        if not to[-1]:
+            return np.zeros(0, np.uint32), to[bounds]
+        some = np.flatnonzero(sizes)
+        return self.ids[np.repeat((found[some] >> 24) - to[some], sizes[some]) + np.arange(to[-1])], to[bounds]
 
 
 def _odd_places(raw: np.ndarray) -> np.ndarray:
     """Places of white space other than spaces and line ends, and of NUL."""
-    at = np.flatnonzero(_ODD_LEAD[raw])
+    at = np.flatnonzero(raw >= 0xC2)
+    at = at[_ODD_LEAD[raw[at]]]
     wide = np.concatenate((raw, np.zeros(2, np.uint8)))
     lead, b, c = raw[at], wide[at + 1], wide[at + 2]
     bad = (lead == 0xC2) & ((b == 0x85) | (b == 0xA0))
     bad |= (lead == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))
     bad |= (lead == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & ((c == 0x9F) | (c == 0xA0))))
     bad |= ((lead == 0xE3) & (b == 0x80) & (c == 0x80)) | ((lead == 0xEF) & (b == 0xBB) & (c == 0xBF))
-    return np.concatenate((np.flatnonzero(_ODD[raw]), at[bad]))
+    low = np.flatnonzero(raw < 32)
+    return np.concatenate((low[_ODD[raw[low]]], at[bad]))
 
 
 def _letters(raw: np.ndarray) -> np.ndarray:
     """Bytes of A-Z, a-z and the letters of U+00C0 to U+024F, but for U+0130, which is a letter and a mark in lower case."""
-    out = _ASCII_LETTER[raw]
-    lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))
+    out = ((raw | np.uint8(32)) - np.uint8(97)) < 26
+    lead = np.flatnonzero((raw - np.uint8(0xC3)) < 7)
     if len(lead):
         after = raw[lead + 1]  # a lead is never the last byte
         good = ((raw[lead] == 0xC3) & (after != 0x97) & (after != 0xB7)) | ((raw[lead] > 0xC3) & ((raw[lead] < 0xC9) | (after < 0x90)))
@@ -196,8 +202,7 @@ class JsonTokenizer:
         names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
         self.vocabulary = len(names)
         self._ends = any(x.endswith("</w>") for x in names[:5000])
-        #: Ids that begin (or, with word ends, finish) a plain word.
-        self._edge = np.array([x.endswith("</w>") if self._ends else x.startswith("Ġ") for x in names])
+        self._model = t.model
         self._table = _Table(bits)
         self._whole = False
         probes = [p.encode() for p in _PROBE]
@@ -253,25 +258,31 @@ class JsonTokenizer:
 
     def _units(self, joined: bytes, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text end."""
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], _WHITE[raw])).view(np.int8)))
+        white = (raw == 32) | (raw == 10)
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        edge = edge if white[0] else np.concatenate(([0], edge))
         start, end = edge[0::2], edge[1::2]
         first = np.searchsorted(start, bounds)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
-        # The letters that a word starts with.
+        # The letters that a word starts with: runs of letters after white space.
         letter = _letters(raw)
-        runs = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))
+        change = letter[1:] != letter[:-1]
+        runs = np.flatnonzero(change) + 1
+        runs = np.concatenate(([0], runs)) if letter[0] else runs
+        run_start, run_end = runs[0::2], runs[1::2]
+        fresh = white[run_start - 1]
+        fresh[:1] |= run_start[:1] == 0
+        led, stop = np.flatnonzero(letter[start]), run_end[fresh]
         cut = start.copy()
-        led = np.flatnonzero(letter[start])
-        stop = runs[1::2][np.searchsorted(runs[0::2], start[led])]
-        fine = (stop == end[led]) | (raw[np.minimum(stop, len(raw) - 1)] < 128)
+        fine = raw[stop] < 128  # a word ends at white space, which is one
         cut[led[fine]] = stop[fine]
         sums = prefix_hashes(raw)
-        found = np.full((len(start), 4), -1, np.int64)
         asked: list[tuple] = []
 
         def ask(column: int, at: np.ndarray, a: np.ndarray, b: np.ndarray, form: np.ndarray | int) -> None:
-            asked.append((column, at, a, b, np.broadcast_to(np.asarray(form, np.uint64), len(at)), span_hashes(sums, a, b, form)))
+            keys = span_hashes(sums, a, b, form)
+            asked.append((column, at, a, b, np.broadcast_to(np.asarray(form, np.uint64), len(at)), keys, self._table.find(keys)))
 
         if self._ends:
             spaced = np.zeros(len(start), np.uint64)
@@ -291,21 +302,19 @@ class JsonTokenizer:
         ask(1, led, start[led], cut[led], spaced[led])
         rest = np.flatnonzero(cut < end)
         ask(2, rest, cut[rest], end[rest], np.where(cut[rest] > start[rest], 0, spaced[rest]).astype(np.uint64))
-        for column, at, _, _, _, keys in asked:
-            found[at, column] = self._table.find(keys)
-        lost = [np.flatnonzero(found[x[1], x[0]] < 0) for x in asked]
+        lost = [np.flatnonzero(x[6] < 0) for x in asked]
         if units := sum(map(len, lost)):
             if self._table.full(units):
                 self._table.clear()
                 lost = [np.arange(len(x[1])) for x in asked]
             self._learn(joined, [(x[2][m], x[3][m], x[4][m], x[5][m], x[0] == 1) for x, m in zip(asked, lost, strict=True)])
-            for (column, at, _, _, _, keys), m in zip(asked, lost, strict=True):
-                found[at[m], column] = self._table.find(keys[m])
-        flat = found.reshape(-1)
-        known = flat >= 0
-        ids = self._table.gather(flat[known])
-        counts = np.where(known, flat & 0xFFFFFF, 0).reshape(-1, 4).sum(axis=1)
-        return ids, np.concatenate(([0], np.cumsum(counts)))[first[1:]]
+            for x, m in zip(asked, lost, strict=True):
+                x[6][m] = self._table.find(x[5][m])
+        # A row for each word; 0 stands for no unit, as it has no ids.
+        found = np.zeros((len(start), 4), np.int64)
+        for x in asked:
+            found[x[1], x[0]] = x[6]
+        return self._table.gather(found.reshape(-1), 4 * first[1:])
 
     def _learn(self, joined: bytes, lost: list[tuple]) -> None:
         keys = np.concatenate([x[3] for x in lost])
@@ -325,19 +334,10 @@ class JsonTokenizer:
         self._table.add(keys, out)
 
     def _plain(self, words: list[bytes]) -> list[np.ndarray]:
-        """Words of plain letters: many are encoded as one text and told apart by their edges."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = self._library([b" " + b" ".join(part)])[0]
-            edge = np.flatnonzero(self._edge[ids])
-            cuts = edge[:-1] + 1 if self._ends else edge[1:]
-            if len(edge) != len(part) or not len(ids) or (edge[-1] + 1 != len(ids) if self._ends else edge[0]):
-                out += self._library([b" " + w for w in part])
-            else:
-                at_ = [0, *cuts.tolist(), len(ids)]
-                out += [ids[a:b] for a, b in zip(at_, at_[1:])]
-        return out
+        """Words of plain letters, each one pre-token: what the library's model makes of their byte characters."""
+        tokenize, head = self._model.tokenize, "" if self._ends else "Ġ"
+        said = [w.decode().lower() for w in words] if self._ends else [w.decode() for w in words]
+        return [np.array([t.id for t in tokenize(head + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)))], "<u4") for w in said]
 
 
 def space_segments(text: str) -> list[str]:

@@ -97,7 +97,7 @@ def odd_vectors(spark):
         rows.append((i * 2, [float(np.float32(x)) for x in c * rng.uniform(0.1, 9)], int(rng.integers(3)) if i % 11 else None))
     chain = [np.cos(t * 0.15) * np.eye(16)[0] + np.sin(t * 0.15) * np.eye(16)[1] for t in range(20)]
     rows += [(2001 + 2 * i, [float(np.float32(x)) for x in c], 1) for i, c in enumerate(chain)]
-    rows += [(5, None, 1), (7, [], 1), (9, [0.0] * 16, 1), (11, [1.0] * 15 + [None], 1), (13, [float("nan")] * 16, 1), (15, [float("inf")] + [1.0] * 15, 1), (17, [1.0, 2.0], 1), (19, [2.0, 4.0], 1), (21, [1e-30] * 16, 2), (23, [1e30] * 16, 2)]
+    rows += [(5, None, 1), (7, [], 1), (9, [0.0] * 16, 1), (11, [1.0] * 15 + [None], 1), (13, [float("nan")] * 16, 1), (15, [float("inf")] + [1.0] * 15, 1), (17, [1.0, 2.0], 1), (19, [2.0, 4.0], 1), (21, [1e-30] * 16, 2), (23, [1e30] * 16, 2), (25, [1e-38, 2e-38], 1), (27, [3e38, 1e38], 1)]
     rows += [(3001 + i, rows[1][1], rows[1][2]) for i in range(3)]
     return spark.createDataFrame([(i, v, n, "x") for i, v, n in rows], "vec_id long, embedding array<float>, label int, kept string")
 
@@ -115,6 +115,12 @@ def test_vector_links(odd_vectors):
     assert vector_dedup.near_vectors(odd_vectors.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_length(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [2e300, 4e300]), (4, [5e-324, 1e-323]), (5, [2.0, -1.0])]
+    found = vector_dedup.near_vectors(spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<double>, label string"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
 def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(200, 48)) * rng.exponential(size=(200, 48)) ** 4
@@ -255,7 +261,7 @@ def test_sparse_sites_are_shrunk(spark):
 
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "<<SYS>>\n", "\\", "\\\\<s>", "<|end|> <|x|>", "", None, "plain\n text", "[INST] [/INST]\n", "<\\s>", "<<|", "</s>\n"]
-    roles = ["system", "user", "assistant", "tool|>", None, "</s>\n"]
+    roles = ["system", "user", "assistant", "tool|>", None, "</s>\n", ">x", "|>", ">"]
     rng = random.Random(8)
     rows = [(c, t, rng.choice(roles), rng.choice(said), "x") for c in range(60) for t in range(rng.randint(1, 6))]
     rows += [(100, 0, "system", "s", "x"), (100, 1, "user", "u", "x"), (100, 2, "assistant", "a", "x"), (101, 0, "user", "u", "x"), (101, 1, "user", "u", "x"), (None, 0, "user", "u", "x"), (102, 0, "user", "q", "x"), (102, 0, "user", "q", "x")]
