@@ -138,7 +138,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         label = lambda c, kind: pa.array([table.column(c)[0].as_py()] * (n + m + u), kind)
         return pa.table({
             "kind": label("kind", pa.string()), "x": label("x", pa.int32()), "y": label("y", pa.int32()), "a": np.concatenate((rep[some], rep[one], rep[unsure])), "b": np.concatenate((np.full(n, -1), rep[root], np.full(u, -1))).astype(np.int64),
-            "links": np.concatenate((links[some], np.zeros(m + u))).astype(np.int64), "what": pa.array(["links"] * n + ["edge"] * m + ["open"] * u), "first": pa.array(np.concatenate((np.zeros(n + m, bool), table.column("first").to_numpy(zero_copy_only=False).astype(bool)[unsure]))),
+            "links": np.concatenate((links[some], np.zeros(m + u))).astype(np.int64), "what": pa.array(["links"] * n + ["edge"] * m + ["open"] * u, pa.string()), "first": pa.array(np.concatenate((np.zeros(n + m, bool), table.column("first").to_numpy(zero_copy_only=False).astype(bool)[unsure]))),
         })
 
     def pairs(table: pa.Table, a: np.ndarray, b: np.ndarray, codes: tuple, codes_b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

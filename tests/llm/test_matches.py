@@ -118,6 +118,8 @@ def test_vector_links(odd_vectors):
 def test_vectors_of_extreme_length(spark):
     rows = [(1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [2e300, 4e300]), (4, [5e-324, 1e-323]), (5, [2.0, -1.0])]
     found = vector_dedup.near_vectors(spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<double>, label string"))
+    apart = vector_dedup.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (3, [1.0, 0.0], "b")], "vec_id long, embedding array<double>, label string"))
+    assert sorted(map(tuple, apart.collect())) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
 
 
