@@ -55,4 +55,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM dw LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op4_chat_format": _OP4, "op6_decontaminate": _OP6, "op8_substring_dedup": _OP8}
+#: Components over ``nodes(id)`` and ``links(a, b)``, both ways: the smallest id that is reached.
+_REACHED = "reach AS (SELECT id AS a, id AS root FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.a), roots AS (SELECT a AS id, min(root) AS root FROM reach GROUP BY a)"
+
+_OP7 = rf"""
+WITH RECURSIVE sound AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+nodes AS (SELECT DISTINCT a AS id FROM links), {_REACHED}, counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id)::BIGINT AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM embeddings e LEFT JOIN roots r ON r.id = vec_id LEFT JOIN counts c ON c.id = vec_id
+"""
+
+_OP9 = rf"""
+WITH RECURSIVE dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+reps AS (SELECT w, min(doc_id) AS rep FROM dw WHERE len(w) > 0 GROUP BY w),
+shingles AS (SELECT rep, s, count(*) AS c FROM (SELECT rep, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT rep, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM reps)) GROUP BY ALL),
+totals AS (SELECT rep, sum(c) AS n FROM shingles GROUP BY rep),
+shares AS (SELECT rep, s, c, c / n AS p FROM shingles JOIN totals USING (rep)),
+pairs AS (SELECT x.rep AS a, y.rep AS b FROM shares x JOIN shares y ON x.s = y.s AND x.rep < y.rep GROUP BY ALL HAVING sum(least(x.p, y.p)) >= 0.8 - 1e-9),
+every_ AS (SELECT a, b, s, max(CASE WHEN x.rep = a THEN c ELSE 0 END) AS ca, max(CASE WHEN x.rep = b THEN c ELSE 0 END) AS cb FROM pairs JOIN shares x ON x.rep IN (a, b) GROUP BY a, b, s),
+kinds AS (SELECT a, b, ca, cb, count(*) AS n FROM every_ GROUP BY ALL),
+near_ AS (SELECT a, b FROM (SELECT i.a, i.b, i.ca, i.cb, any_value(i.n) / sum(greatest(j.ca / i.ca, j.cb / i.cb) * j.n) AS part FROM kinds i JOIN kinds j ON i.a = j.a AND i.b = j.b WHERE i.ca > 0 AND i.cb > 0 GROUP BY ALL) GROUP BY a, b HAVING sum(part) >= 0.8),
+links AS (SELECT a, b FROM near_ UNION ALL SELECT b, a FROM near_), nodes AS (SELECT DISTINCT a AS id FROM links), {_REACHED},
+classes AS (SELECT w, coalesce(root, rep) AS class FROM reps LEFT JOIN roots ON id = rep)
+SELECT doc_id, coalesce(class, doc_id)::BIGINT AS class_id, coalesce(class, doc_id) = doc_id AS kept FROM dw LEFT JOIN classes USING (w)
+"""
+
+ORACLES = {"op4_chat_format": _OP4, "op6_decontaminate": _OP6, "op7_vector_dedup": _OP7, "op8_substring_dedup": _OP8, "op9_minhash_dedup": _OP9}

@@ -206,21 +206,38 @@ def _parts(text: Column, pattern: str, kept: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_SEP}{kept}{_SEP}"), _SEP)
 
 
+def _blocks(values: Column, size: int) -> Column:
+    """``values`` in arrays of ``size``: folds over a block copy no more than a block, so long lists cost in proportion."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(values), F.lit(size)), lambda k: k < F.size(values))
+    return F.transform(starts, lambda k: F.slice(values, k + 1, F.lit(size)))
+
+
+def _running(values: Column, zero: Column, add) -> Column:
+    """For each of ``values`` what ``add`` makes of all before it."""
+    pair = F.struct(zero.alias("now"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, pair, lambda acc, x: F.struct(add(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))["out"]
+
+
 def _spans(parts: Column, kind: str, rank: int, within) -> Column:
     """``array<struct<start,rank,end,kind>>`` of what ``within`` finds in the odd parts.
 
     ``within`` gives places in its match. The running start is a fold over the parts, which alternate between what lies
-    outside and a match; a match may carry a second field, which doesn't count.
+    outside and a match; a match may carry a second field, which doesn't count. Parts are folded in blocks, each from
+    where the blocks before it end.
     """
     match = lambda p: F.element_at(F.split(p, _PART), 1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         end = acc["at"] + F.length(match(p))
         new = F.transform(within(p), lambda s: F.struct((acc["at"] + s["start"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + s["end"]).alias("end"), F.lit(kind).alias("kind")))
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, zero, step)["out"]
+    def of_blocks(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + F.length(match(p))))
+        zero = lambda at: F.struct(at.alias("at"), F.lit(False).alias("odd"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out"))
+        return F.flatten(F.zip_with(blocks, _running(sizes, F.lit(0), lambda a, n: a + n), lambda b, at: F.aggregate(b, zero(at), step)["out"]))
+
+    return _bound(_blocks(parts, 256), of_blocks)  # an even number, so that each block begins outside
 
 
 def secret_spans(text: Column, ratios: list[list[float]], threshold: float = THRESHOLD) -> Column:
@@ -257,20 +274,40 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """``text`` with each stretch that spans cover replaced by one ``mark``; overlapping spans count as one."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """``text`` with each stretch that spans cover replaced by one ``mark``; overlapping spans count as one.
+
+    The text is cut where blocks of spans end, so that what is looked up and joined for a
+    span is its block's stretch and not the whole text.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        put = F.concat(acc["out"], text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.when(fresh, put).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def of_blocks(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+        before = _running(ends, F.lit(0), lambda a, e: F.greatest(a, e))
 
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+        def of_block(block: Column, at: Column) -> Column:
+            to = F.greatest(at, F.array_max(F.transform(block, lambda s: s["end"])))
+
+            def fold(stretch: Column) -> Column:
+                def step(acc: Column, s: Column) -> Column:
+                    fresh = s["start"] >= acc["at"]
+                    put = F.concat(acc["out"], stretch.substr(acc["at"] - at + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
+                    return F.struct(F.when(fresh, put).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+                return F.aggregate(block, F.struct(F.lit("").alias("out"), at.alias("at")), step)["out"]
+
+            return _bound(text.substr(at + 1, to - at), fold)
+
+        return F.concat(F.array_join(F.zip_with(blocks, before, of_block), ""), text.substr(F.array_max(ends) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, _bound(_blocks(spans, 64), of_blocks)).otherwise(text)
 
 
 def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with the secrets of its texts replaced; all columns and rows stay, ``length_col`` follows the text."""
+    """``docs`` with the secrets of its texts replaced; all columns and rows stay, ``length_col`` follows the text.
+
+    Null and empty texts stay as they are, repeated rows are treated alike, an empty table
+    gives none; extra columns may have any name but ``_granary_spans``.
+    """
     spans = secret_spans(F.col(text_col).cast("string"), default_ratios(docs.sparkSession))
     out = docs.withColumn("_granary_spans", spans).withColumn(text_col, redact(F.col(text_col), F.col("_granary_spans")))
     if length_col and length_col in docs.columns:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,6 +81,42 @@ def test_redaction(spark, odd_documents):
     assert again == 0
 
 
+def test_secrets_of_very_long_texts(spark):
+    """Half a million characters without a space, 20,000 matches, and overlapping spans over block ends: in seconds, and as plain Python has them."""
+    rng = random.Random(9)
+    blob = base64.b64encode(rng.randbytes(400_000)).decode()
+    many = " ".join(f"token={rng.randrange(16**12):012x} {rng.randrange(16**33):033x}" for _ in range(10_000))
+    mixed = "".join(f"é secret=deadbeefdeadbeefdeadbeefdeadbeef{i} \U0001f600 x" for i in range(300))
+    df = spark.createDataFrame([(0, blob), (1, many), (2, mixed)], "doc_id long, text string")
+    began = time.time()
+    found = {r["doc_id"]: [(s["start"], s["rank"], s["end"], s["kind"]) for s in r["spans"]] for r in secrets.scan_secrets(df).collect()}
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted_documents(df).collect()}
+    assert time.time() - began < 120
+    for i, text in ((0, blob), (1, many), (2, mixed)):
+        assert [s for s in found[i] if s[3] != "markov"] == base_spans(text)
+        want, at = "", 0
+        for start, _, end, _ in found[i]:
+            want, at = (want + text[at:start] + "[REDACTED]" if start >= at else want), max(at, end)
+        assert out[i] == want + text[at:]
+    assert (0, 3, len(blob), "markov") in found[0] and len(found[1]) > 20_000
+
+
+def test_markov_ratios_against_plain_python(spark):
+    random_, ordinary = ["aZ9xQ", "k2-9", "zz zz", "a", ""], ["get_name", "name", "get/", "éa"]
+    found = secrets.markov_ratios(*(spark.createDataFrame([(t,) for t in x], "text string") for x in (random_, ordinary)))
+    letters = secrets._ALPHABET
+    counts = [Counter(t[i : i + 2] for t in x for i in range(len(t) - 1) if set(t[i : i + 2]) <= set(letters)) for x in (random_, ordinary)]
+    for i, a in enumerate(letters):
+        for j, b in enumerate(letters):
+            r, o = ((c[a + b] + 1) / sum(c[a + d] + 1 for d in letters) for c in counts)
+            ratio = np.log(r) - np.log(o)
+            plain = a == b or (a in "+/_=-" and b in "+/_=-") or a in "=/" or b in "=/"
+            assert abs(found[i][j] - (min(ratio, 0) if plain else ratio)) < 1e-9
+    row = spark.createDataFrame([("aZ9xQget_name",)], "t string").select(secrets.mean_ratio(F.col("t"), found)).first()[0]
+    t = "aZ9xQget_name"
+    assert abs(row - np.mean([float(f"{found[letters.index(x)][letters.index(y)]:.5g}") for x, y in zip(t, t[1:])])) < 1e-6
+
+
 def library(name: str):
     t = Tokenizer.from_file(tokenizer_path(name))
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
