@@ -56,7 +56,13 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     value = np.zeros(n, np.uint64)
     for i in range(FRAGMENT):
         value = (value << np.uint64(8)) | raw[i : i + n]
-    return np.repeat(np.arange(len(texts)), [len(t) + FRAGMENT for t in texts])[:n], value
+    sizes = np.array([len(t) + FRAGMENT for t in texts], np.int64)
+    # The last places of a text's gap would reach into the text after it.
+    inside = np.ones(int(sizes.sum()), bool)
+    for back in range(1, FRAGMENT):
+        inside[np.cumsum(sizes) - back] = False
+    inside = inside[:n]
+    return np.repeat(np.arange(len(texts)), sizes)[:n][inside], value[inside]
 
 
 #: Marks a fragment that a text has twice or more.

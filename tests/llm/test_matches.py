@@ -223,6 +223,76 @@ def test_quality_on_held_out_labels(spark):
     assert clean.kept.mean() > 0.99 and judged[judged.good == 0].kept.mean() < 0.02 and judged[judged.toxic == 1].kept.mean() < 0.15
 
 
+def plain_features(text, lists):
+    t = (text or "").encode()
+    size, words, lines = max(len(t), 1), [w for w in re.split(rb"[ \x09-\x0d]+", t) if w], t.split(b"\n")
+    n, counts = max(len(words), 1), Counter(words)
+    marks = b".,;:'\"-?()"
+    share = lambda good: sum(map(good, t)) / size
+    folded_ = b" " + bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in t) + b" " * 6
+    seen = Counter(int.from_bytes(folded_[i : i + 6], "big") for i in range(len(t) + 1))
+    marked = set(seen) | {v | 1 << 48 for v, k in seen.items() if k > 1}
+    return [
+        share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b in marks), share(lambda b: 33 <= b < 127 and not chr(b).isalnum() and b not in marks), min(size / n, 50), math.log1p(len(words)), len(counts) / n,
+        max(counts.values(), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(set(lines)) / len(lines), *(min(8, len(marked & set(x))) for x in lists),
+    ]
+
+
+def test_quality_against_plain_python(spark):
+    """Evidence, the site's prior and the posterior of every document, recomputed one by one."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 50 == 0, None).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://"), "source", F.lit("/p"), (F.col("doc_id") % 4).cast("string"))).otherwise(F.col("source")))
+    model = quality.fit(docs, labels)
+    lists = [set(x.values.tolist()) for x in (model.bad, model.toxic_list)]
+    sigmoid = lambda z: min(max(1 / (1 + math.exp(-min(max(z, -30), 30))), 1e-6), 1 - 1e-6)
+    own, rows = {}, docs.collect()
+    for r in rows:
+        x = plain_features(r["text"], lists)
+        own[r["doc_id"]] = [sigmoid(m.weight[0] + sum(w * (a - b) / c for w, a, b, c in zip(m.weight[1:], x, m.mean, m.scale))) for m in (model.quality, model.toxic)]
+    site = {}
+    for r in rows:
+        clean = re.sub(r"^[a-z][a-z0-9+.-]*://", "", (r["source"] or "").lower())
+        host, _, path = clean.partition("/")
+        site[r["doc_id"]] = (host, re.split("[/?#]", path)[0] or r["lang"] or "")
+    want = {i: [] for i in own}
+    for c in (0, 1):
+        rate = sum(x[c] for x in own.values()) / len(own)
+
+        def grouped(key):
+            out = defaultdict(lambda: [0, 0.0])
+            for i, x in own.items():
+                if site[i][0]:
+                    out[key(i)][0] += 1
+                    out[key(i)][1] += x[c]
+            return out
+
+        def strength(groups, above):
+            n, k = sum(g[0] for g in groups.values()), len(groups)
+            between = sum(g[0] * (g[1] / g[0] - above(s)) ** 2 for s, g in groups.items())
+            within = sum(g[0] * above(s) * (1 - above(s)) for s, g in groups.items())
+            extra = (between * n / within - k) / max(n - k, 1)
+            return min(max(1 / extra - 1, 1.0), 1000.0) if extra > 0 else 1000.0
+
+        hosts, paths = grouped(lambda i: site[i][0]), grouped(lambda i: site[i])
+        kh = strength(hosts, lambda s: rate)
+        shrunk = lambda total, n, k, above: (total + k * above) / (n + k)
+        kp = strength(paths, lambda s: shrunk(hosts[s[0]][1], hosts[s[0]][0], kh, rate))
+        for i, x in own.items():
+            host, path = hosts.get(site[i][0]), paths.get(site[i])
+            prior = shrunk(path[1] - x[c], path[0] - 1, kp, shrunk(host[1] - x[c], host[0] - 1, kh, rate)) if host else rate
+            prior = min(max(prior, 1e-6), 1 - 1e-6)
+            odds = prior / (1 - prior) * x[c] / (1 - x[c]) / (rate / (1 - rate))
+            want[i] += [x[c], prior, odds / (1 + odds)]
+    found = quality.judge(docs, labels, model=model).collect()
+    assert len(found) == len(rows) == len(own)
+    for r in found:
+        w = want[r["doc_id"]]
+        assert (r["host"], r["path"]) == site[r["doc_id"]]
+        assert np.allclose([r["evidence"], r["site_prior"], r["quality"], r["toxicity"]], [w[0], w[1], w[2], w[5]], rtol=1e-6, atol=1e-9)
+        assert r["kept"] == (r["quality"] >= 0.5 and r["toxicity"] < 0.5)
+
+
 def test_quality_sample_size(spark, monkeypatch):
     sizes = []
     listed = quality.listed_fragments
