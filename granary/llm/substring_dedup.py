@@ -3,14 +3,15 @@
 A window is 13 consecutive words of a document. A word goes when a window over it
 also starts in a document of a smaller id. Three passes over the words:
 
-1. Every group of documents (a few megabytes of text) makes a sketch of its
-   windows: for each of two hash rows the cells that its windows fall into, sorted
-   and delta coded. Sketches are merged by ranges of cells: counts are added, and
-   each group is told for its cells, in its own order, which are counted twice or
-   more. The least of the two rows overestimates a window's true count, so no
+1. Every group of documents (a few megabytes of text) makes a count-min sketch of its
+   windows: for each of two hash rows the cells that its windows fall into, sorted and
+   delta coded, with a counter that stops at two. Sketches are merged by ranges of
+   cells: counters are added, and each group is told which of its cells came to two
+   or more. The least of the two rows overestimates a window's true count, so no
    repeated window is lost.
 2. Only windows estimated repeated are grouped exactly, by a 96-bit cryptographic
-   hash of their words, and the smallest document of each is found.
+   hash of their words. A group sends each of them once, with its smallest document,
+   and is told the smallest of all groups.
 3. The groups' words are marked, removed and digested.
 
 The sketch has no fixed size and is nowhere whole: its rows are as wide as four
@@ -26,13 +27,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACED, Words, bounded_batches, ids_and_texts, mix64, stored, text_bytes
+from granary.llm.common import SPACED, Words, bounded_batches, give_back, ids_and_texts, mix64, remove, stored, text_bytes
 
 SPAN = 13
 #: Hash rows of the sketch, cells of a row for each window, windows in a range of cells.
@@ -60,6 +60,14 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").reshape(-1)
 
 
+def _bits(flags: np.ndarray) -> bytes:
+    return _pack(np.packbits(flags).tobytes())
+
+
+def _from_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(_unpack(raw), np.uint8), count=n)
+
+
 class _Group:
     """A group's words: ``text`` has one document a line, words parted by single spaces."""
 
@@ -119,94 +127,108 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"granary_words_{uuid.uuid4().hex}"
+    # Groups are small and go to buckets by a hash, so buckets are even; a file holds a task's groups of one bucket.
     _grouped_words(ids_and_texts(docs, id_col, text_col), span, group_bytes).write.bucketBy(parts, "g").option("compression", "none").saveAsTable(name)
     words = spark.table(name)
     total = words.agg(F.sum("windows")).first()[0] or 0
     bits = max(10, int(CELLS * total).bit_length())
     ranges = max(parts, -(-total // RANGE))
 
+    def counters(group: _Group, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A group's different cells, which of them each window falls into, their counters and the bounds of each range."""
+        cells, of, count = np.unique(group.cells(row, bits), return_inverse=True, return_counts=True)
+        return cells, of, np.minimum(count, 2), _ranges(cells, bits, ranges)
+
     def sketch(batches):
         for batch in batches:
             for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 group = _Group(_unpack(text), span)
-                out: list[list] = [[] for _ in range(4)]
+                out: list[list] = [[] for _ in range(5)]
                 for row in range(ROWS):
-                    cells = np.sort(group.cells(row, bits))
-                    bounds = _ranges(cells, bits, ranges)
+                    cells, _, count, bounds = counters(group, row)
                     for r in np.flatnonzero(np.diff(bounds)).tolist():
-                        part = cells[bounds[r] : bounds[r + 1]]
-                        for column, value in zip(out, (row, r, g, _planes(np.diff(part, prepend=np.uint64(0)))), strict=True):
+                        part = slice(bounds[r], bounds[r + 1])
+                        for column, value in zip(out, (row, r, g, _planes(np.diff(cells[part], prepend=np.uint64(0))), _bits(count[part] > 1)), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["row", "range", "g", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, k) for c, k in zip(out[1:], (pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=["row", "range", "g", "cells", "twice"])
+        give_back()
 
     def merge(table: pa.Table) -> pa.Table:
         sent = [np.cumsum(_from_planes(x), dtype=np.uint64) for x in table.column("cells").to_pylist()]
-        every = np.sort(np.concatenate(sent))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        told = []
-        for cells in sent:
-            at = np.searchsorted(twice, cells)
-            at[at == len(twice)] = 0
-            told.append(_pack(np.packbits(twice[at] == cells if len(twice) else np.zeros(len(cells), bool)).tobytes()))
+        count = np.concatenate([1 + _from_bits(x, len(c)) for x, c in zip(table.column("twice").to_pylist(), sent, strict=True)])
+        _, of = np.unique(np.concatenate(sent), return_inverse=True)
+        often = np.bincount(of, count)[of] > 1
+        ends = np.cumsum([len(c) for c in sent])
+        told = [_bits(often[b - len(c) : b]) for b, c in zip(ends.tolist(), sent, strict=True)]
         return pa.table({"g": table.column("g"), "row": table.column("row"), "range": table.column("range"), "repeated": pa.array(told, pa.binary())})
 
+    sent_schema = "range long, g long, keys binary, least binary, places binary, of binary"
+    sent_kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
+
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(5)]
+        """A row for each range of keys that the group sends, and one (of range -1) with what it keeps to itself."""
+        out: list[list] = [[] for _ in range(6)]
         if left.num_rows and right.num_rows:
             g, ids = left.column("g")[0].as_py(), left.column("ids")[0].as_py()
             group = _Group(_unpack(left.column("words")[0].as_py()), span)
             told = {(r, k): bits_ for r, k, bits_ in zip(right.column("row").to_pylist(), right.column("range").to_pylist(), right.column("repeated").to_pylist(), strict=True)}
-            often = np.ones(len(group.at), bool)
+            often = np.array([i is not None for i in ids], bool)[group.words.doc[group.at]]
             for row in range(ROWS):
-                cells = group.cells(row, bits)
-                order = np.argsort(cells, kind="stable")
-                bounds = _ranges(cells[order], bits, ranges)
-                flags = np.zeros(len(cells), bool)
-                for r in np.flatnonzero(np.diff(bounds)).tolist():
-                    n = int(bounds[r + 1] - bounds[r])
-                    flags[bounds[r] : bounds[r + 1]] = np.unpackbits(np.frombuffer(_unpack(told[row, r]), np.uint8), count=n)
-                often[order] &= flags
-            own = np.array([i is not None for i in ids])[group.words.doc[group.at]]
-            first = group.at[often & own]
+                _, of, _, bounds = counters(group, row)
+                flags = [_from_bits(told[row, r], int(bounds[r + 1] - bounds[r])) for r in np.flatnonzero(np.diff(bounds)).tolist()]
+                often &= np.concatenate(flags)[of] > 0 if flags else False
+            first = group.at[often]
             starts, ends, buffer = group.words.start[first].tolist(), group.words.end[first + span - 1].tolist(), group.words.bytes
             blake = hashlib.blake2b
-            keys = np.frombuffer(b"".join([blake(buffer[a:b], digest_size=_KEY).digest() for a, b in zip(starts, ends, strict=True)]), np.uint8).reshape(-1, _KEY)
-            id_of = np.array([i or 0 for i in ids], np.int64)[group.words.doc[first]]
-            to = np.ascontiguousarray(keys[:, :4]).view("<u4").reshape(-1).astype(np.uint64) % np.uint64(ranges)
-            order = np.argsort(to, kind="stable")
-            cut = np.flatnonzero(np.diff(to[order])) + 1
-            for part in np.split(order, cut) if len(order) else []:
-                values = (int(to[part[0]]), g, keys[part].tobytes(), _planes(id_of[part].view(np.uint64)), _planes(np.diff(first[part].astype(np.uint64), prepend=np.uint64(0))))
-                for column, value in zip(out, values, strict=True):
+            keys = np.frombuffer(b"".join([blake(buffer[a:b], digest_size=_KEY).digest() for a, b in zip(starts, ends, strict=True)]), f"S{_KEY}")
+            if len(keys):
+                raw = keys.view(np.uint8).reshape(-1, _KEY)
+                to = np.ascontiguousarray(raw[:, :4]).view("<u4").reshape(-1).astype(np.uint64) % np.uint64(ranges)
+                high, low = np.ascontiguousarray(raw[:, :8]).view("<u8").reshape(-1), np.ascontiguousarray(raw[:, 8:]).view("<u4").reshape(-1)
+                order = np.lexsort((low, high, to))
+                new = np.concatenate(([True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))
+                of = np.zeros(len(keys), np.int64)
+                of[order] = np.cumsum(new) - 1
+                each = order[new]
+                least = np.full(len(each), np.iinfo(np.int64).max)
+                np.minimum.at(least, of, np.array([i or 0 for i in ids], np.int64)[group.words.doc[first]])
+                for part in np.split(np.arange(len(each)), np.flatnonzero(np.diff(to[each])) + 1):
+                    values = (int(to[each[part[0]]]), g, raw[each[part]].tobytes(), _planes(least[part].view(np.uint64)), None, None)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+                own = (-1, g, None, None, _planes(np.diff(first.astype(np.uint64), prepend=np.uint64(0))), _planes(of.astype(np.uint64)))
+                for column, value in zip(out, own, strict=True):
                     column.append(value)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["range", "g", "keys", "doc_ids", "places"])
+        return pa.table([pa.array(c, k) for c, k in zip(out, sent_kinds, strict=True)], names=["range", "g", "keys", "least", "places", "of"])
 
     def exact(table: pa.Table) -> pa.Table:
+        """For each key that a group sent, in its order, the smallest document of all groups."""
         keys = [np.frombuffer(k, np.uint8).reshape(-1, _KEY) for k in table.column("keys").to_pylist()]
-        ids = [_from_planes(x).view(np.int64) for x in table.column("doc_ids").to_pylist()]
-        flat, doc = np.concatenate(keys), np.concatenate(ids)
+        doc = np.concatenate([_from_planes(x).view(np.int64) for x in table.column("least").to_pylist()])
+        flat = np.concatenate(keys)
         high, low = np.ascontiguousarray(flat[:, :8]).view("<u8").reshape(-1), np.ascontiguousarray(flat[:, 8:]).view("<u4").reshape(-1)
         order = np.lexsort((doc, low, high))
         new = np.concatenate(([True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))
-        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = np.zeros(len(doc), bool)
-        later[order] = doc[order] > least
-        out, at = [], 0
-        for raw, k in zip(table.column("places").to_pylist(), keys, strict=True):
-            places = np.cumsum(_from_planes(raw), dtype=np.uint64)[later[at : at + len(k)]]
-            out.append(_planes(np.diff(places, prepend=np.uint64(0))) if len(places) else None)
-            at += len(k)
-        made = pa.table({"g": table.column("g"), "removed": pa.array(out, pa.binary())})
-        return made.filter(pc.is_valid(made.column("removed")))
+        least = np.zeros(len(doc), np.int64)
+        least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        ends = np.cumsum([len(k) for k in keys])
+        told = [_planes(least[b - len(k) : b].view(np.uint64)) for b, k in zip(ends.tolist(), keys, strict=True)]
+        return pa.table({"g": table.column("g"), "range": table.column("range"), "least": pa.array(told, pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=list(names))
         group = _Group(_unpack(left.column("words")[0].as_py()), span)
+        ids = left.column("ids")[0].values
         n = len(group.words.start)
         delta = np.zeros(n + span + 1, np.int64)
-        for raw in right.column("removed").to_pylist():
-            places = np.cumsum(_from_planes(raw), dtype=np.uint64).astype(np.int64)
+        if right.num_rows:
+            rows = {r: at for at, r in enumerate(right.column("range").to_pylist())}
+            of_row = lambda name, at: _from_planes(right.column(name)[at].as_py())
+            own = rows.pop(-1)
+            least = np.concatenate([of_row("least", rows[r]) for r in sorted(rows)]).view(np.int64)
+            places, of = np.cumsum(of_row("places", own), dtype=np.uint64).astype(np.int64), of_row("of", own).astype(np.int64)
+            places = places[np.asarray(ids.fill_null(0))[group.words.doc[places]] > least[of]]
             np.add.at(delta, places, 1)
             np.add.at(delta, places + span, -1)
         gone = np.cumsum(delta)[:n] > 0
@@ -218,19 +240,24 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
             if removed[i]:
                 line = b" ".join([w for w, x in zip(line.split(b" "), gone[first[i] : first[i + 1]].tolist(), strict=True) if not x])
             texts.append(line)
-        columns = [left.column("ids")[0].values, pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+        columns = [ids, pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
         if with_text:
             columns.append(pa.array([t.decode() for t in texts], pa.string()))
         return pa.table(columns, names=list(names))
 
     names = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string"} | ({"kept_text": "string"} if with_text else {})
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
-    sketches = words.select("g", "words").mapInArrow(sketch, "row int, range long, g long, cells binary")
-    told = sketches.groupBy("row", "range").applyInArrow(merge, "g long, row int, range long, repeated binary")
-    by_group = lambda df: df.groupBy("g")
-    sent = by_group(words).cogroup(by_group(told)).applyInArrow(candidates, "range long, g long, keys binary, doc_ids binary, places binary")
-    flags = sent.groupBy("range").applyInArrow(exact, "g long, removed binary")
-    done = by_group(words).cogroup(by_group(flags)).applyInArrow(finish, ", ".join(f"{k} {v}" for k, v in names.items()))
-    result, _ = stored(done, "substring-dedup")
-    spark.sql(f"DROP TABLE {name}")
-    return result
+    try:
+        sketches = words.select("g", "words").mapInArrow(sketch, "row int, range long, g long, cells binary, twice binary")
+        told = sketches.groupBy("row", "range").applyInArrow(merge, "g long, row int, range long, repeated binary")
+        by_group = lambda df: df.groupBy("g")
+        sent, sent_path = stored(by_group(words).cogroup(by_group(told)).applyInArrow(candidates, sent_schema), "substring-keys")
+        least = sent.where("range >= 0").select("range", "g", "keys", "least").groupBy("range").applyInArrow(exact, "g long, range long, least binary")
+        own = sent.where("range < 0").select("g", "range", "least", "places", "of")
+        answers = own.unionByName(least, allowMissingColumns=True)
+        done = by_group(words).cogroup(by_group(answers)).applyInArrow(finish, ", ".join(f"{k} {v}" for k, v in names.items()))
+        result, _ = stored(done, "substring-dedup")
+        remove(spark, sent_path)
+        return result
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
