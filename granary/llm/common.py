@@ -74,7 +74,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.gettempdir() + "/granary-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: Folders that this driver named and hasn't removed. Results that read their folder leave it there.
+_MADE: list[str] = []
+
+
+def scratch_mark() -> int:
+    return len(_MADE)
+
+
+def remove_scratch(spark: SparkSession, mark: int, keep: str) -> None:
+    """Delete all folders named since :func:`scratch_mark` but ``keep``; nothing may read them any more."""
+    remove(spark, *[p for p in _MADE[mark:] if p != keep])
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -117,6 +132,8 @@ def remove(spark: SparkSession, *paths: str | None) -> None:
     for path in filter(None, paths):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
 def arrow_map(df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], column: int = 1, most: int = SLICE_BYTES) -> DataFrame:

@@ -398,3 +398,19 @@ def test_pipeline_stages(spark, sf_dir):
     ids_of = {(r["sequence_id"], r["offset"]): r["ids"] for r in final}
     assert all(len(x) > 0 for x in ids_of.values())
     assert packing.TOKENIZER in tokenizer_path(packing.TOKENIZER)
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd_documents, no_documents, sf_dir):
+    """Null values, empty and long texts, repeats, clashing columns, and no rows at all, through every stage."""
+    odd = odd_documents.withColumn("kept", F.lit("x")).withColumn("rep", F.lit(1)).withColumn("class_id", F.lit(2.5)).withColumn("item_id", F.lit(None).cast("long"))
+    for docs in (odd, no_documents.withColumn("n", F.lit(1))):
+        rows = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            found = out.collect()
+            assert len(found) == rows if name == "secret_scans" else len(found) <= rows, name
+            if rows and name != "quality_classifier":
+                assert sum(r["text"] is None for r in found) == 1, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+        check_pieces(packed, [(r["doc_id"], r["text"]) for r in docs.collect()])
