@@ -289,13 +289,15 @@ def posteriors(scored: DataFrame) -> DataFrame:
     sites, _ = stored(both, "quality-sites")
     remove(scored.sparkSession, paths_path, hosts_path)
     path_strength = {c: strength(sites, c, shrunk(F.col(f"host_{c}"), F.col("host_n"), host_strength[c], F.lit(rates[c]))) for c in "qt"}
-    out = scored.join(sites, ["_granary_host", "_granary_path"], "left")
+    # Under names that no column of the documents has.
+    site = {c: f"_granary_site_{c}" for c in ("n", "q", "t", "host_n", "host_q", "host_t")}
+    out = scored.join(sites.withColumnsRenamed(site), ["_granary_host", "_granary_path"], "left")
     logit = lambda p: F.log(p) - F.log(1 - p)
     for c, name in (("q", "quality"), ("t", "toxic")):
         own = F.col(f"_granary_{name}")
         # Host and path without this document, so that its evidence counts once.
-        host = shrunk(F.col(f"host_{c}") - own, F.col("host_n") - 1, host_strength[c], F.lit(rates[c]))
-        path = shrunk(F.col(c) - own, F.col("n") - 1, path_strength[c], host)
+        host = shrunk(F.col(site[f"host_{c}"]) - own, F.col(site["host_n"]) - 1, host_strength[c], F.lit(rates[c]))
+        path = shrunk(F.col(site[c]) - own, F.col(site["n"]) - 1, path_strength[c], host)
         prior = F.least(F.greatest(F.coalesce(path, F.lit(rates[c])), F.lit(_EDGE)), F.lit(1 - _EDGE))
         odds = logit(prior) + logit(own) - F.lit(float(np.log(rates[c]) - np.log(1 - rates[c])))
         out = out.withColumn(f"_granary_posterior_{name}", 1 / (1 + F.exp(-odds))).withColumn(f"_granary_prior_{name}", prior)
