@@ -1,19 +1,26 @@
 """Text of positioned items: lines, word gaps, and two-column pages in reading order.
 
-The items of a page meet in one row (an array sorted in the JVM), and each page is
-laid out by itself in Arrow batches. A page's items are bounded by the page.
+The items of a page meet in one row (an array sorted in the JVM). The pages of an Arrow
+batch are laid out together in whole-array steps; :func:`page_text` is the same rule for one page, and
+serves those whose items begin or end in white space other than spaces. A page's items are bounded by the page.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.workspace import bounded_batches
+
 SAME_LINE = 3.0
+#: Lines times places of a gutter that are held at once; a larger page is held by itself.
+CELLS = 4_000_000
 _LETTERS_AT_END = regex.compile(r"\p{L}+$")
 _LETTERS_AT_FRONT = regex.compile(r"^\p{L}+")
 
@@ -40,16 +47,15 @@ Line = list[Item]
 
 
 def lines_of(items: list[Item]) -> list[Line]:
-    """Items by line: each joins the first line that began within three units of its height."""
-    heads: list[float] = []
+    """Items by line: each joins the line that began within three units of its height; going down, that is the last one."""
     lines: list[Line] = []
+    head = None
     for item in sorted(items, key=lambda i: (i.y, i.x)):
-        at = next((n for n, y in enumerate(heads) if abs(y - item.y) <= SAME_LINE), None)
-        if at is None:
-            heads.append(item.y)
-            lines.append([item])
+        if head is not None and abs(head - item.y) <= SAME_LINE:
+            lines[-1].append(item)
         else:
-            lines[at].append(item)
+            head = item.y
+            lines.append([item])
     return [sorted(line, key=lambda i: i.x) for line in lines]
 
 
@@ -135,20 +141,227 @@ def page_text(items: list[Item], width: float, columns: bool = True, render=line
     return "\n".join(out)
 
 
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ITEM = ("x", "y", "width", "height", "raw")
+_SEPARATORS = pa.array(["", " ", "\t", "\n", "\n\n"], pa.large_string())
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+def _line_numbers(page: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The line of each item, in order of page and height, as :func:`lines_of` has it."""
+    new = np.ones(len(y), bool)
+    new[1:] = (page[1:] != page[:-1]) | ~(np.diff(y) <= SAME_LINE)
+    at = np.flatnonzero(new)
+    ends = np.append(at[1:], len(y))
+    # Items close to the next one are a line, unless together they reach further than a line does.
+    for a, b in zip(*(x[y[ends - 1] - y[at] > SAME_LINE].tolist() for x in (at, ends))):
+        head = y[a]
+        for i in range(a + 1, b):
+            if not y[i] - head <= SAME_LINE:
+                new[i], head = True, y[i]
+    return np.cumsum(new) - 1
+
+
+def _places(width: float) -> np.ndarray:
+    out, x = [], width * 0.3
+    while x <= width * 0.7:
+        out.append(x)
+        x += 2
+    return np.array(out)
+
+
+def _per_line(line: np.ndarray, first: np.ndarray, k: int, lines: int, weight: np.ndarray) -> np.ndarray:
+    """Places by lines: the weights of the line's items from their first place on."""
+    out = np.bincount(first * lines + line, weight, (k + 1) * lines).reshape(k + 1, lines)
+    return np.cumsum(out, axis=0)[:k]
+
+
+def _served(crosses: np.ndarray, left: np.ndarray, left_words: np.ndarray, n: np.ndarray, words: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a table of places by lines: where bands begin (flat), and on how many lines each serves both sides."""
+    new = np.ones(crosses.shape, bool)
+    new[:, 1:] = (page[1:] != page[:-1]) | crosses[:, 1:] | crosses[:, :-1]
+    at = np.flatnonzero(new.ravel())
+    add = lambda values: np.add.reduceat(values.ravel(), at)
+    right = n - left
+    counts = [add((side > 0).astype(np.int64)) for side in (left, right)]
+    sums = [add(side) for side in (left_words, words - left_words)]
+    good = ~crosses.ravel()[at]
+    for count, total in zip(counts, sums):
+        good &= (count >= 4) & (total >= 5 * count)
+    return at, np.where(good, np.minimum(*counts), 0)
+
+
+def _gutters(line: np.ndarray, page: np.ndarray, x: np.ndarray, right: np.ndarray, centre: np.ndarray, words: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The gutter of each page or nan, as :func:`gutter` has it; ``page`` is that of each line, ``widths`` of each page."""
+    out = np.full(len(widths), np.nan)
+    size = np.bincount(page, minlength=len(widths))
+    first_line = np.concatenate(([0], np.cumsum(size)))
+    first_item = np.searchsorted(line, first_line)
+    for width in np.unique(widths[size >= 8]).tolist():
+        xs = _places(width)
+        own = np.flatnonzero((size >= 8) & (widths == width))
+        if not len(xs):
+            continue
+        load = np.cumsum(size[own] * len(xs)) // CELLS
+        for part in np.split(own, np.flatnonzero(np.diff(load)) + 1):
+            items = np.concatenate([np.arange(first_item[p], first_item[p + 1]) for p in part])
+            lines = np.concatenate([np.arange(first_line[p], first_line[p + 1]) for p in part])
+            of, pages = np.searchsorted(lines, line[items]), np.repeat(np.arange(len(part)), size[part])
+            m, one = len(lines), np.ones(len(items))
+            begin, end = np.searchsorted(xs - 1, x[items], "right"), np.searchsorted(xs + 1, right[items], "left")
+            over = begin < end
+            side = np.searchsorted(xs, centre[items], "right")
+            # Nothing changes between two places where no item of these pages begins, ends or has its middle.
+            events = np.unique(np.concatenate(([0], begin[over], end[over], side)))
+            events = events[events < len(xs)]
+            k = len(events)
+            begin, end, side = (np.searchsorted(events, v) for v in (begin, end, side))
+            crosses = _per_line(of[over], begin[over], k, m, one[over]) - _per_line(of[over], end[over], k, m, one[over]) > 0
+            at, served = _served(crosses, _per_line(of, side, k, m, one), _per_line(of, side, k, m, words[items]), np.bincount(of, minlength=m), np.bincount(of, words[items], m), pages)
+            table = np.zeros((k, len(part)))
+            np.maximum.at(table, (at // m, pages[at % m]), served)
+            best, first, last = np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part))
+            rows = np.searchsorted(events, np.arange(len(xs)), "right") - 1
+            for place, now in zip(xs.tolist(), table[rows]):
+                more = now > best
+                same = ~more & (now == best) & (best > 0) & (place - last <= 2)
+                best[more], first[more], last[more | same] = now[more], place, place
+            out[part] = np.where(best > 0, (first + last) / 2, np.nan)
+    return out
+
+
+def _space_at(raw: pa.Array, start: int, stop: int | None) -> np.ndarray:
+    """Whether the character there is white space."""
+    found = pc.dictionary_encode(pc.utf8_slice_codeunits(raw, start, stop))
+    known = np.array([c.isspace() for c in found.dictionary.to_pylist()], bool)
+    return known[found.indices.to_numpy()]
+
+
+def batch_texts(page: np.ndarray, widths: np.ndarray, x: np.ndarray, y: np.ndarray, width: np.ndarray, height: np.ndarray, text: pa.Array, raw: pa.Array, columns: bool) -> pa.Array:
+    """The text of each page (number ``page`` of each item, ascending): :func:`page_text` for all at once. Every page has items."""
+    given = (page, x, y, width, height)
+    order = np.lexsort((x, y, page))
+    line = _line_numbers(page[order], y[order])
+    order = order[np.lexsort((x[order], line))]
+    page, x, y, width, height = (a[order] for a in given)
+    text, raw = text.take(pa.array(order)), raw.take(pa.array(order))
+    right = x + width
+    if columns:
+        centre = x + width / 2
+        words = 1 + pc.count_substring_regex(text, _SPACE + "+").to_numpy().astype(float)
+        line_page = page[np.flatnonzero(_starts(line))]
+        at = _gutters(line, line_page, x, right, centre, words, widths)
+        if not np.isnan(at).all():
+            place, n = at[page], len(line_page)
+            count = lambda mask, weight=None: np.bincount(line[mask], None if weight is None else weight[mask], n)[None, :]
+            on_left, every = centre < place, np.ones(len(line), bool)
+            crosses = count((x < place - 1) & (right > place + 1)) > 0
+            begin, served = _served(crosses, count(on_left), count(on_left, words), count(every), count(every, words), line_page)
+            band = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
+            parted = (served > 0)[band] & ~np.isnan(at[line_page])
+            key = np.where(parted, begin[band], np.arange(n))[line]
+            side = np.where(parted[line] & ~on_left, 1, 0)
+            again = np.lexsort((line, side, key))
+            page, line, x, y, width, height, right, key, side = (a[again] for a in (page, line, x, y, width, height, right, key, side))
+            text, raw = text.take(pa.array(again)), raw.take(pa.array(again))
+            line = np.cumsum(_starts(key, side, line)) - 1
+    first = _starts(line)
+    heads = np.flatnonzero(first)
+    # What stands before each item: of the first of a line the break, else the gap to the one before.
+    separator = np.zeros(len(line), np.int64)
+    gap = np.zeros(len(line))
+    gap[1:] = x[1:] - right[:-1]
+    wide = np.zeros(len(line), bool)
+    wide[1:] = gap[1:] > np.maximum(12.0, 1.5 * height[:-1])
+    separator[:] = np.where(wide, 2, 1)
+    doubtful = np.zeros(len(line), bool)
+    if columns and len(line) > 1:
+        glyph = width / pc.utf8_length(text).to_numpy()
+        size, least = np.maximum(np.maximum(height[1:], height[:-1]), 1.0), np.maximum(np.minimum(glyph[1:], glyph[:-1]), 0.5)
+        encoded = _space_at(raw, -1, None)[:-1] | _space_at(raw, 0, 1)[1:]
+        spaced = wide[1:] | encoded | (gap[1:] > np.minimum(0.1 * size, 0.2 * least)) | (gap[1:] < -0.5 * least)
+        copied = (np.abs(np.diff(x)) <= 2) & pc.equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False)
+        doubtful[1:] = (~spaced | copied) & ~first[1:]
+    apart = np.zeros(len(heads), bool)
+    apart[1:] = y[heads[1:]] - y[heads[:-1]] > np.maximum(20.0, 1.8 * height[heads[:-1]])
+    separator[heads] = np.where(apart, 4, 3)
+    separator[_starts(page)] = 0
+    if doubtful.any():
+        # Lines with items that may be copies or parts of one word depend on the text before: one by one.
+        mask = np.isin(line, np.unique(line[doubtful]))
+        made: list[str] = []
+        at_ = np.flatnonzero(mask)
+        told, was = text.take(pa.array(at_)).to_pylist(), raw.take(pa.array(at_)).to_pylist()
+        items = [Item(*v) for v in zip(x[at_].tolist(), y[at_].tolist(), width[at_].tolist(), height[at_].tolist(), told, was)]
+        bounds = np.flatnonzero(_starts(line[at_])).tolist()
+        for a, b in zip(bounds, [*bounds[1:], len(items)]):
+            made += [line_text(items[a:b]), *[""] * (b - a - 1)]
+        text = pc.replace_with_mask(text, pa.array(mask), pa.array(made, text.type))
+        separator[mask & ~first] = 0
+    pieces = pc.binary_join_element_wise(_SEPARATORS.take(pa.array(separator)), text, pa.scalar("", pa.large_string()))
+    offsets = np.append(np.flatnonzero(_starts(page)), len(page))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), pieces), pa.scalar("", pa.large_string())).cast(pa.string())
+
+
 def layout_pages(items: DataFrame, columns: bool = True) -> DataFrame:
     """``document_id, page, text`` of ``items``: ``document_id, page, item_no, x, y, width, height, raw, page_width``.
 
     Items without visible text don't count. ``columns=False`` is the screening's form.
     """
-    trimmed = items.withColumn("text", F.trim("raw")).where("text <> ''")
-    gathered = trimmed.groupBy("document_id", "page").agg(F.max("page_width").alias("page_width"), F.array_sort(F.collect_list(F.struct("item_no", "x", "y", "width", "height", "text", "raw"))).alias("items"))
+    visible = items.where(F.trim("raw") != "")
+    gathered = visible.groupBy("document_id", "page").agg(F.max("page_width").alias("page_width"), F.array_sort(F.collect_list(F.struct("item_no", *_ITEM))).alias("items"))
+    return layout_gathered(gathered.select("document_id", "page", "page_width", *(F.col("items")[c].alias(c) for c in _ITEM)), columns)
+
+
+def layout_gathered(pages: DataFrame, columns: bool = True) -> DataFrame:
+    """As :func:`layout_pages`, of pages whose items stand in a row already: ``document_id, page, page_width`` and arrays
+    ``x, y, width, height, raw`` of equal length, in the items' order.
+
+    Nothing is shuffled. A page without visible items has no row.
+    """
+    bounded_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for width, row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                texts.append(page_text([Item(i["x"], i["y"], i["width"], i["height"], i["text"], i["raw"]) for i in row], width, columns, line_text if columns else simple_line_text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["document_id", "page", "text"])
-
-    kinds = dict(items.dtypes)
-    return gathered.select("document_id", "page", "page_width", "items").mapInArrow(run, f"document_id {kinds['document_id']}, page {kinds['page']}, text string")
+            yield _laid_out(batch, columns)
+
+    kinds = dict(pages.dtypes)
+    given = pages.select("document_id", "page", F.col("page_width").cast("double").alias("page_width"), *(F.col(c).cast("array<double>").alias(c) for c in _ITEM[:4]), "raw")
+    return given.mapInArrow(run, f"document_id {kinds['document_id']}, page {kinds['page']}, text string")
+
+
+def _laid_out(batch: pa.RecordBatch, columns: bool) -> pa.RecordBatch:
+    page = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(batch.column(7)), 0).to_numpy())
+    raw = batch.column(7).flatten().cast(pa.large_string())
+    text = pc.utf8_trim(raw, " ")
+    seen = pc.fill_null(pc.not_equal(text, pa.scalar("", pa.large_string())), False)
+    raw, text, page = raw.filter(seen), text.filter(seen), page[seen.to_numpy(zero_copy_only=False)]
+    x, y, width, height = (batch.column(i).flatten().filter(seen).to_numpy(zero_copy_only=False) for i in range(3, 7))
+    there, page = np.unique(page, return_inverse=True)
+    widths = batch.column(2).to_numpy(zero_copy_only=False)[there]
+    odd = np.zeros(len(there), bool)
+    if columns and len(page):
+        # Such items share a run of white space with what stands beside them: words aren't a sum over items there.
+        odd[page[_space_at(text, 0, 1) | _space_at(text, -1, None)]] = True
+    texts: list[str | None] | pa.Array = pa.array([], pa.string())
+    plain = ~odd[page]
+    if plain.any():
+        own = pa.array(np.flatnonzero(plain))
+        texts = batch_texts(np.unique(page[plain], return_inverse=True)[1], widths[~odd], x[plain], y[plain], width[plain], height[plain], text.take(own), raw.take(own), columns)
+    if odd.any():
+        made: list[str | None] = [None] * len(there)
+        for p, t in zip(np.flatnonzero(~odd).tolist(), texts.to_pylist()):
+            made[p] = t
+        for p in np.flatnonzero(odd).tolist():
+            a, b = np.searchsorted(page, [p, p + 1]).tolist()
+            values = zip(*(v[a:b].tolist() for v in (x, y, width, height)), text.slice(a, b - a).to_pylist(), raw.slice(a, b - a).to_pylist())
+            made[p] = page_text([Item(*v) for v in values], float(widths[p]), columns)
+        texts = pa.array(made, pa.string())
+    kept = pa.array(there)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), texts], names=["document_id", "page", "text"])

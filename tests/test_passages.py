@@ -129,3 +129,23 @@ def test_resume(spark):
             continue
         raise AssertionError
     assert calibration.signature({"a": 1}, b"x", [("p", 1, 2)]) != calibration.signature({"a": 1}, b"x", [("p", 1, 3)])
+
+
+def test_layout_of_many_pages_is_that_of_each(spark):
+    """Pages laid out together against the rule for one page: two columns, crossing lines, copies, parts of words, odd white space; one page of many lines."""
+    dice = random.Random(3)
+    rows = []
+    for doc in range(40):
+        for i in range(12 * dice.randint(1, 15)):
+            x = (20.0 if i % 12 < 6 else 420.0) + i % 6 * 50.0 + dice.random()
+            wide = dice.random() < 0.004
+            word = dice.choice(["ab", "cd", "é f", "ghij", "ab"] + ["\tq"] * (doc % 9 == 0))
+            rows.append((doc, 1, i, 350.0 if wide else x, i // 12 * 14.0 + (dice.random() < 0.03) * 1.5, 100.0 if wide else dice.choice([30.0, 49.9, 54.0]), 10.0, dice.choice(["", "", " "]) + word + dice.choice(["", " "]), 760.0))
+    rows += [(99, 1, i, i % 8 * 60.0, i // 8 * 14.0, 40.0, 10.0, "word", 480.0) for i in range(40_000)]
+    items = spark.createDataFrame(rows, "document_id long, page int, item_no int, x double, y double, width double, height double, raw string, page_width double")
+    for columns in (True, False):
+        got = {r["document_id"]: r["text"] for r in layout.layout_pages(items, columns).collect()}
+        for doc in range(40):
+            own = [layout.Item(*r[3:7], r[7].strip(" "), r[7]) for r in rows if r[0] == doc]
+            assert got[doc] == layout.page_text(own, 760.0, columns, layout.line_text if columns else layout.simple_line_text)
+        assert got[99] == "\n".join(["\t".join(["word"] * 8)] * 5000)
