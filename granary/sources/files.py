@@ -110,4 +110,7 @@ def read_checked_csv(spark: SparkSession, path: str, columns: list[str]) -> Data
     found = spark.read.option("header", True).csv(path).columns
     if found != columns:
         raise ValueError(f"Unexpected columns: {found}")
-    return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    fields = ", ".join(f"`{c}` string" for c in columns)
+    # The line's end is stated: found by the reader, it is the first of whatever a part of the file holds.
+    read = spark.read.schema(fields).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').option("charToEscapeQuoteEscaping", '"').option("lineSep", "\n").option("maxCharsPerColumn", -1)
+    return read.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path).select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns))

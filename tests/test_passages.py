@@ -9,6 +9,7 @@ from granary.config import ChunkConfiguration
 from granary.operators import blocks, layout, passages, retrieval
 from granary.operators.passages import Piece, Run, first_of_each, packed, pieces_of, runs_of, table_groups
 from granary.plans import calibration
+from granary.sources import files, store
 from granary.operators.repeats import numbered
 
 
@@ -149,3 +150,13 @@ def test_layout_of_many_pages_is_that_of_each(spark):
             own = [layout.Item(*r[3:7], r[7].strip(" "), r[7]) for r in rows if r[0] == doc]
             assert got[doc] == layout.page_text(own, 760.0, columns, layout.line_text if columns else layout.simple_line_text)
         assert got[99] == "\n".join(["\t".join(["word"] * 8)] * 5000)
+
+
+def test_csv_keeps_every_character(spark, tmp_path):
+    """White space at the ends, empty texts, all line ends, quotes beside NUL and backslashes come back as they were."""
+    texts = ["", " lead", "trail ", "\tx\t", "a\rb", "a\r\nb", "\r", "\n", "a\n", '"', '"a"', 'x"\0', "\0", '"\0"', "\\", '\\"', ",", '",\n"', "#c", "\x01", 'q"\r\n"q', "null", "y" * 1_100_000 + '\r\n"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("lpad(cast(id as string), 4, '0') as id", "text")
+    for name, write in (("plain", store.plain_csv), ("ordered", lambda r, p: store.write_csv(r, p, ["id"], 3))):
+        write(rows, f"{tmp_path}/{name}")
+        got = files.read_checked_csv(spark, f"{tmp_path}/{name}", ["id", "text"])
+        assert [r["text"] for r in sorted(got.collect())] == texts
