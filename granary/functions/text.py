@@ -36,7 +36,7 @@ def clean_text(text: Column) -> Column:
     """NUL and inline LaTeX as a space, words joined over a hyphenated line end, white space squeezed."""
     out = F.replace(text, F.lit("\0"), F.lit(" "))
     out = F.regexp_replace(out, r"(?is)<latexit\b.*?</latexit>", " ")
-    return squeeze(F.regexp_replace(out, r"(?<=\w)-\r?\n(?=\w)", ""))
+    return squeeze(F.regexp_replace(out, r"-(?<=\w-)\r?\n(?=\w)", ""))
 
 
 def words(text: Column) -> Column:
@@ -91,8 +91,9 @@ def is_heading(line: Column) -> Column:
     """Numbered, named or all-capital lines; debris, letter-spaced and joined words are none."""
     sound = line.rlike(r"\p{L}{3,}") & (letter_ratio(line) >= 0.6) & ~line.rlike(_LETTER_SPACED) & ~line.rlike(r"\p{L}{20,}") & ~F.contains(line, F.lit("_"))
     numbered = line.rlike(r"^\d+(?:\.\d+)*\.?\s+\p{Lu}[^.!?]{2,100}$") & (F.regexp_count(line, F.lit(r"\p{L}{2,}")) <= 10) & ~line.rlike(r"[,;]$")
-    capitals = F.length(line).between(4, 100) & line.rlike(r"\p{Lu}") & (line == F.upper(line)) & ~line.rlike(r"[.!?]$")
-    return sound & (is_reference_heading(line) | F.when(line.rlike(r"^\d+(?:\.\d+)*\.?\s+"), numbered).otherwise(line.rlike(_NAMED) | capitals))
+    capitals = F.length(line).between(4, 100) & (line == F.upper(line)) & line.rlike(r"\p{Lu}") & ~line.rlike(r"[.!?]$")
+    # Few lines have the form, which costs little to see; only those are looked at as a whole.
+    return (is_reference_heading(line) | F.when(line.rlike(r"^\d+(?:\.\d+)*\.?\s+"), numbered).otherwise(line.rlike(_NAMED) | capitals)) & sound
 
 
 def is_boilerplate_heading(text: Column) -> Column:
@@ -101,7 +102,8 @@ def is_boilerplate_heading(text: Column) -> Column:
 
 def joined_lines(lines: Column) -> Column:
     """A paragraph of its lines: a word hyphenated over a line end is one again."""
-    rejoin = lambda text, line: F.when(text.rlike(r"\p{Ll}\s?-$") & line.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(text, r"\s?-$", ""), line)).otherwise(F.concat(text, F.lit(" "), line))
+    # Only the end of what is joined so far is looked at.
+    rejoin = lambda text, line: F.when(F.substring(text, -6, 6).rlike(r"\p{Ll}\s?-$") & line.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(text, r"\s?-$", ""), line)).otherwise(F.concat(text, F.lit(" "), line))
     return clean_text(F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.get(lines, F.lit(0)), rejoin))
 
 

@@ -35,17 +35,18 @@ def repeated_edges(lines: DataFrame) -> DataFrame:
 def classified_lines(pages: DataFrame) -> DataFrame:
     """The lines with ``kind`` (blank, header, footer, caption, heading, row, text), ``cells`` and ``is_row``.
 
+    ``cells`` are those of lines with a tab or three spaces, null for others, which are no rows.
     Pages are dealt by document once; all that follows works on that dealing.
     """
     lines = page_lines(pages.repartition("document_id"))
     line = F.col("line")
     first, last = (F.col("line_no") == 0) & (line != ""), (F.col("line_no") == F.col("last")) & (line != "")
-    keyed = lines.withColumn("first_key", F.when(first, edge_key(line))).withColumn("last_key", F.when(last, edge_key(line))).withColumn("cells", row_cells(line))
+    keyed = lines.withColumn("first_key", F.when(first, edge_key(line))).withColumn("last_key", F.when(last, edge_key(line))).withColumn("cells", F.when(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("   ")), row_cells(line)))
     keyed = keyed.withColumn("caption", is_caption(line)).withColumn("heading", is_heading(line))
     short = F.when(F.length("line") <= 120, 1).otherwise(0)
     shared = lambda key: F.when(F.col(key).isNotNull(), F.sum(short).over(Window.partitionBy("document_id", key)) >= 2)
     found = keyed.withColumn("header", shared("first_key")).withColumn("footer", shared("last_key"))
-    found = found.withColumn("is_row", (F.size("cells") >= 3) | ((F.size("cells") >= 2) & F.contains(line, F.lit("\t"))))
+    found = found.withColumn("is_row", F.coalesce((F.size("cells") >= 3) | ((F.size("cells") >= 2) & F.contains(line, F.lit("\t"))), F.lit(False)))
     kind = (
         F.when(line == "", "blank").when(F.col("header"), "header").when(F.col("footer") | (last & line.rlike(r"^\d+$")), "footer")
         .when(F.col("caption"), "caption").when(F.col("heading"), "heading").when(F.col("is_row"), "row").otherwise("text")
@@ -84,8 +85,11 @@ def structure_blocks(pages: DataFrame) -> DataFrame:
     reference = F.coalesce(is_reference_heading(F.col("until.section")), F.lit(False))
     text = F.when(F.col("of") == "own", clean_text(F.get("lines", F.lit(0)))).when(F.col("of") == "paragraph", joined_lines(F.col("lines"))).otherwise(F.array_join("rows", "\n"))
     kind = F.when(F.col("of") == "own", F.col("kind")).when(F.col("of") == "paragraph", F.when(reference, "reference").otherwise("paragraph")).otherwise("table")
-    every = made.select("document_id", "page", F.col("until.line_no").alias("at"), (F.col("of") != "own").cast("int").alias("after"), kind.alias("type"), text.alias("text"), F.col("until.section").alias("section")).where("text <> ''")
-    return every.select("document_id", "page", F.row_number().over(Window.partitionBy("document_id", "page").orderBy("at", "after")).alias("block_no"), "type", "text", "section")
+    every = made.select("document_id", "page", F.col("until.line_no").alias("at"), (F.col("of") != "own").cast("int").alias("after"), kind.alias("type"), text.alias("text"), F.col("until.section").alias("section"))
+    # Empty blocks have no number. They go after the numbering, so that a filter doesn't make every text twice.
+    so_many = Window.partitionBy("document_id", "page").orderBy("at", "after").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.sum(F.when(F.col("text") != "", 1).otherwise(0)).over(so_many).cast("int")
+    return every.select("document_id", "page", number.alias("block_no"), "type", "text", "section").where("text <> ''")
 
 
 def rebuilt_text(blocks: DataFrame) -> DataFrame:

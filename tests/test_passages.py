@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary import queries
 from granary.config import ChunkConfiguration
 from granary.operators import blocks, layout, passages, retrieval
+from granary.operators import pages as quality
 from granary.operators.passages import Piece, Run, first_of_each, packed, pieces_of, runs_of, table_groups
 from granary.plans import calibration
 from granary.sources import files, store
@@ -160,3 +161,32 @@ def test_csv_keeps_every_character(spark, tmp_path):
         write(rows, f"{tmp_path}/{name}")
         got = files.read_checked_csv(spark, f"{tmp_path}/{name}", ["id", "text"])
         assert [r["text"] for r in sorted(got.collect())] == texts
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numbered_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).selectExpr("'g' as g", "id").mapInArrow(run, "g string, id long")
+    assert sorted((r["id"], r["number"]) for r in numbered(rows, ["g"], ["id"]).collect()) == [(i, i + 1) for i in range(100)]
+    assert made.value == 100
+
+
+def test_nothing_is_made_twice(spark):
+    """Kept passages come without a join to all passages, pages without a recogniser without a join or a second pass; plain lines have no cells."""
+    pages_ = spark.createDataFrame([(1, 1, "REFERENCES\n\nA plain line.\na  b\tc   d\n\n\x00\nEnd."), (1, 2, "A plain line.")], "document_id long, page int, text string")
+    groups = passages.packed_groups(blocks.structure_blocks(pages_))
+    assert "Join" not in _plan(passages.without_repeats(groups))
+    checked = _plan(quality.recognised(pages_.withColumn("blank", F.lit(False))))
+    assert "Join" not in checked and "Union" not in checked
+    cells = {r["line"]: r["cells"] for r in blocks.classified_lines(pages_).collect()}
+    assert cells["A plain line."] is None and cells["a  b\tc   d"] == ["a b", "c", "d"]
+    assert [(r["block_no"], r["text"]) for r in blocks.structure_blocks(pages_).where("page = 1").orderBy("block_no").collect()] == [(1, "REFERENCES"), (2, "A plain line."), (3, "a b | c | d"), (4, "End.")]
