@@ -14,10 +14,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.config import ChunkConfiguration
 from granary.functions import identity
 from granary.functions.text import dedup_form, is_boilerplate_heading, prose_of_table, section_label, topic_of_source, word_count, words
+from granary.workspace import bounded_batches
 
 _LETTER = regex.compile(r"\p{L}")
 _SENTENCE = regex.compile(r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}\"“(])")
@@ -190,10 +192,13 @@ def _prepared(blocks: DataFrame) -> DataFrame:
 def packed_groups(blocks: DataFrame, config: ChunkConfiguration = ChunkConfiguration()) -> DataFrame:
     """``document_id, ordinal, family, section, body, page, page_end, word_start, pages``: every packed group of ``blocks``."""
 
+    bounded_batches(blocks.sparkSession)
+
     def run(batches):
         for batch in batches:
             out = []
-            for row in batch.column(1).to_pylist():
+            for cell in batch.column(1):  # one document at a time becomes Python values
+                row = cell.as_py()
                 groups = [(r, g) for r in runs_of(row, config) for g in packed(r, config)]
                 out.append([{"ordinal": i, "family": main_family(g), "section": r.section, "body": joined(g), "page": g[0].page, "page_end": g[-1].page, "word_start": g[0].start, "pages": sorted({p.page for p in g})} for i, (r, g) in enumerate(groups, 1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _GROUPS_ARROW)], names=["document_id", "groups"])
@@ -223,16 +228,19 @@ def first_of_each(texts: list[str], least: int = NEAR_DUPLICATE_WORDS, threshold
 
 def without_repeats(groups: DataFrame) -> DataFrame:
     """The groups whose body isn't a near-duplicate of an earlier one of their document, by ordinal and greedily."""
-    gathered = groups.select("document_id", "ordinal", dedup_form(F.col("body")).alias("form")).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "form"))).alias("forms"))
+    rest = [c for c in groups.columns if c not in ("document_id", "ordinal")]
+    every = F.struct("ordinal", *rest)
+    gathered = groups.groupBy("document_id").agg(F.array_sort(F.collect_list(every)).alias("groups")).withColumn("forms", F.transform("groups", lambda g: dedup_form(g["body"])))
+    bounded_batches(groups.sparkSession)
 
     def run(batches):
         for batch in batches:
-            kept = [[row[i]["ordinal"] for i in first_of_each([x["form"] for x in row])] for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32()))], names=["document_id", "kept"])
+            kept = [first_of_each(row) for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.int32()))], names=["document_id", "groups", "kept"])
 
-    kind = dict(groups.dtypes)["document_id"]
-    kept = gathered.mapInArrow(run, f"document_id {kind}, kept array<int>").select("document_id", F.explode("kept").alias("ordinal"))
-    return groups.join(kept, ["document_id", "ordinal"])
+    # The groups go along with their forms: joined to what is kept, they would all be made a second time.
+    kept = gathered.mapInArrow(run, T.StructType([*gathered.schema.fields[:2], T.StructField("kept", T.ArrayType(T.IntegerType()))]))
+    return kept.select("document_id", F.inline(F.transform("kept", lambda i: F.get("groups", i)))).select(*groups.columns)
 
 
 def describe_documents(pages: DataFrame, blocks: DataFrame, documents: DataFrame) -> DataFrame:
