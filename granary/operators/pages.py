@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import WS, clean_text, let, squeeze, words
+from granary.functions.text import clean_text, let, squeeze, words
+from granary.workspace import shared_dir
 
 MINIMUM_WORDS = 50
 
 
 def _reason(cleaned: Column) -> Column:
-    def of(text: Column, tokens: Column) -> Column:
-        joined = F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}{36,}")))
-        count = F.size(tokens)
+    def of(text: Column, count: Column) -> Column:
+        # Cleaned text has one space between tokens: they are counted without being made.
+        joined = F.regexp_count(text, F.lit(r"(?<!\p{L})\p{L}{36,}+[^ ]*+"))
         return (
             F.when(text == "", "no extractable text")
             .when(text.rlike(r"(?i)^(?:#(?:NAME|REF|VALUE|DIV/0|N/A)[!?]?\s*)+$"), "spreadsheet error in place of page text")
@@ -24,7 +25,7 @@ def _reason(cleaned: Column) -> Column:
             .when((F.length(text) >= 100) & (count < 8), "too few word boundaries")
         )
 
-    return let(cleaned, lambda text: let(F.split(text, f"{WS}+"), lambda tokens: of(text, tokens)))
+    return let(cleaned, lambda text: let(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1, lambda count: of(text, count)))
 
 
 def quality_reason(text: Column) -> Column:
@@ -64,8 +65,17 @@ def recognised(pages: DataFrame, ocr: Callable[[DataFrame], DataFrame] | None =
     checked = pages.select("document_id", "page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("blank", F.lit(False)).alias("blank"))
     checked = checked.withColumn("extraction", F.when(~F.col("blank"), quality_reason(F.col("text"))))
     fine = checked.where("extraction is null").select("document_id", "page", F.when(F.col("blank"), "").otherwise(F.col("text")).alias("text"), F.lit("extracted").alias("quality"), F.lit(None).cast("string").alias("quality_reason"))
-    failed = checked.where("extraction is not null").select("document_id", "page", "extraction", "text")
-    read = ocr(failed.select("document_id", "page")).select("document_id", "page", F.col("text").alias("read")) if ocr else failed.select("document_id", "page", F.lit("").alias("read"))
+    if ocr is None:
+        # Nothing is read again: one pass over the pages, and no join.
+        fails = F.concat(F.lit("Extraction: "), F.col("extraction"), F.lit("; OCR: no extractable text"))
+        bad = F.col("extraction").isNotNull()
+        return checked.select("document_id", "page", F.when(bad | F.col("blank"), "").otherwise(F.col("text")).alias("text"), F.when(bad, "quarantined").otherwise("extracted").alias("quality"), fails.alias("quality_reason"))
+    # Which pages failed is written: the recogniser's branch doesn't judge all pages again.
+    path = shared_dir(pages.sparkSession, "failed-pages")
+    failed = checked.where("extraction is not null").select("document_id", "page", "extraction")
+    failed.write.parquet(path)
+    failed = pages.sparkSession.read.schema(failed.schema).parquet(path)
+    read = ocr(failed.select("document_id", "page")).select("document_id", "page", F.col("text").alias("read"))
     again = failed.join(read, ["document_id", "page"], "left").withColumn("read", F.coalesce("read", F.lit(""))).withColumn("still", quality_reason(F.col("read")))
     mended = again.select(
         "document_id", "page", F.when(F.col("still").isNull(), F.col("read")).otherwise("").alias("text"), F.when(F.col("still").isNull(), "ocr").otherwise("quarantined").alias("quality"),
