@@ -30,9 +30,12 @@ def numbered(rows: DataFrame, groups: list[str], order: list[str], name: str = "
     """
     spark = rows.sparkSession
     path = shared_dir(spark, "numbered")
+    # Dealing by ranges reads its rows twice, so what they are made of is worked out before that.
+    rows.write.parquet(f"{path}/rows")
+    made = spark.read.schema(rows.schema).parquet(f"{path}/rows")
     # Written once: a range that were dealt again might hold other rows.
-    rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *groups, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+    made.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *groups, *order).withColumn("_range", F.spark_partition_id()).write.parquet(f"{path}/dealt")
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(f"{path}/dealt")
     local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range", *groups).orderBy(*order)))
     counts = dealt.groupBy("_range", *groups).agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
