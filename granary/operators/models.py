@@ -6,6 +6,7 @@ serves alike. The stand-ins need no files and give the same values everywhere.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Protocol
 
@@ -16,9 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.config import QUERY_PREFIX
-from granary.functions.text import sentences, tokens
+from granary.functions.text import sentences
+from granary.functions.words import terms_of
 from granary.workspace import bounded_batches
 
+#: Hashes of terms that a task remembers, before it begins anew.
+KNOWN_TERMS = 500_000
+
 
 class Embedder(Protocol):
     def embed(self, texts: DataFrame) -> DataFrame:
@@ -44,23 +49,29 @@ class HashingEmbedder:
         self.size, self.prefix = size, prefix
 
     def embed(self, texts: DataFrame) -> DataFrame:
-        size = self.size
+        size, at = self.size, texts.columns.index("text")
         bounded_batches(texts.sparkSession)
-        # The first 32 bits of a token's MD5: the lowest digits choose the place, the highest bit the sign.
-        hashed = texts.withColumn("_hashes", F.transform(tokens(F.coalesce("text", F.lit(""))), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long")))
-        schema = hashed.drop("_hashes").schema.add("dense", T.ArrayType(T.FloatType()))
+        schema = T.StructType([*texts.schema.fields, T.StructField("dense", T.ArrayType(T.FloatType()))])
 
         def run(batches):
+            known: dict[str, int] = {}
             for batch in batches:
-                column = batch.column(batch.num_columns - 1)
-                h, counts = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
-                row = np.repeat(np.arange(batch.num_rows), counts)
+                found, ends = terms_of([t or "" for t in batch.column(at).to_pylist()])
+                coded = found.dictionary_encode()
+                different = coded.dictionary.to_pylist()
+                if len(known) > KNOWN_TERMS:
+                    known.clear()
+                # The first 32 bits of a term's MD5: the lowest digits choose the place, the highest bit the sign.
+                new = [t for t in different if t not in known]
+                known.update(zip(new, (int.from_bytes(hashlib.md5(t.encode(), usedforsecurity=False).digest()[:4], "big") for t in new)))
+                h = np.array([known[t] for t in different], np.int64)[coded.indices.to_numpy()]
+                row = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
                 v = np.bincount(row * size + h % size, np.where(h >> 31, -1, 1), batch.num_rows * size).reshape(-1, size).astype(np.float32)
                 norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
                 v = v / np.where(norm, norm, np.float32(1))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(v), pa.list_(pa.float32()))], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * size, pa.int32()), pa.array(v.reshape(-1)))], names=schema.fieldNames())
 
-        return hashed.mapInArrow(run, schema)
+        return texts.mapInArrow(run, schema)
 
     def embed_queries(self, queries: DataFrame) -> DataFrame:
         prefixed = queries.withColumn("text", F.concat(F.lit(self.prefix), "text"))

@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from granary.functions.text import sigmoid, tokens
+from granary.functions.words import terms_of
 from granary.operators.models import BatchScorer
-from granary.workspace import bounded_batches, shared_dir
+from granary.workspace import bounded_batches, shared_dir, written
 
 #: Query vectors in one block: 4,096 of 1,024 doubles are 32 MB.
 QUERY_BLOCK = 4096
@@ -148,26 +149,6 @@ def terms(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return F.filter(tokens(text), lambda t: ~t.isin(*stop_words)) if stop_words else tokens(text)
 
 
-_TERM_BYTE = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
-
-
-def _terms_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-    """All terms of the texts, as :func:`tokens` has them, and where those of each text end; no Python loop over terms."""
-    raw = [t.lower().encode() for t in texts]
-    joined = b" ".join(raw) + b" "
-    bounds = np.cumsum([len(r) + 1 for r in raw])
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], _TERM_BYTE[np.frombuffer(joined, np.uint8)])).view(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    # Every second stretch between edges is a term.
-    cut = np.concatenate(([0], edge)).astype(np.int64)
-    every = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(joined.translate(_ASCII)))
-    return every.take(pa.array(np.arange(1, len(cut) - 1, 2))), np.searchsorted(start, bounds)
-
-
-#: Bytes of other characters stand for a space, so that what lies between terms is valid text too.
-_ASCII = bytes(b if b < 128 else 32 for b in range(256))
-
-
 def term_counts(chunks: DataFrame, wanted: list[str], carry: list[str] = [], stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """``chunk_id, dl, terms, tfs`` and the carried columns: counts of the ``wanted`` terms (by place) in each chunk.
 
@@ -182,7 +163,7 @@ def term_counts(chunks: DataFrame, wanted: list[str], carry: list[str] = [], sto
         value_set = pa.array([*sent.value[0], *sent.value[1]], pa.large_string())
         n_wanted = len(sent.value[0])
         for batch in batches:
-            found, ends = _terms_of([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+            found, ends = terms_of([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
             code = pc.fill_null(pc.index_in(found, value_set=value_set), -1).to_numpy()
             doc = np.searchsorted(ends, np.arange(len(code)), "right")
             length = np.bincount(doc[code < n_wanted], minlength=batch.num_rows)
@@ -275,10 +256,7 @@ def sparse_search(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2
         one = weighted.mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
     # At most k rows a query: written, so that what is joined to them knows how few they are.
-    path = shared_dir(spark, "search")
-    ranked = best(found, k)
-    ranked.write.parquet(path)
-    return spark.read.schema(ranked.schema).parquet(path)
+    return written(best(found, k), "search")
 
 
 def fuse(legs: list[DataFrame], k: int, rrf_k: int = 60, rank_base: int = 1, digits: int = 9) -> DataFrame:

@@ -1,12 +1,14 @@
 """Blocks, layout, passages and plans on small fixtures."""
 
+import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from granary import queries
 from granary.config import ChunkConfiguration
-from granary.operators import blocks, layout, passages, retrieval
+from granary.operators import blocks, layout, models, passages, retrieval
 from granary.operators import pages as quality
 from granary.operators.passages import Piece, Run, first_of_each, packed, pieces_of, runs_of, table_groups
 from granary.plans import calibration
@@ -190,3 +192,36 @@ def test_nothing_is_made_twice(spark):
     cells = {r["line"]: r["cells"] for r in blocks.classified_lines(pages_).collect()}
     assert cells["A plain line."] is None and cells["a  b\tc   d"] == ["a b", "c", "d"]
     assert [(r["block_no"], r["text"]) for r in blocks.structure_blocks(pages_).where("page = 1").orderBy("block_no").collect()] == [(1, "REFERENCES"), (2, "A plain line."), (3, "a b | c | d"), (4, "End.")]
+
+
+def embedded_chunks(spark, monkeypatch):
+    """An accumulator of the chunks that the stand-in embedder gets."""
+    seen, embed = spark.sparkContext.accumulator(0), models.HashingEmbedder.embed
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(models.HashingEmbedder, "embed", lambda self, texts: embed(self, texts.mapInArrow(run, texts.schema) if "chunk_id" in texts.columns else texts))
+    return seen
+
+
+def test_answers_embed_each_chunk_once(spark, sf_dir, monkeypatch):
+    seen = embedded_chunks(spark, monkeypatch)
+    asked = queries.table(spark, sf_dir, "benchmark").count()
+    assert len(queries.k05_answers(spark, sf_dir).collect()) == asked
+    assert seen.value == queries.table(spark, sf_dir, "documents").count()
+
+
+def test_hashed_vectors(spark):
+    texts = ["one two One", None, "", "...", "caf\u00e9 \u212a9 \u0130x", "x" * 70000 + " y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    got = {r["n"]: r["dense"] for r in models.HashingEmbedder(8).embed(rows).collect()}
+    for n, t in enumerate(texts):
+        v = [0.0] * 8
+        for term in re.findall("[a-z0-9]+", (t or "").lower()):
+            h = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+            v[h % 8] += -1 if h >> 31 else 1
+        norm = sum(x * x for x in v) ** 0.5 or 1
+        assert all(abs(x / norm - y) < 1e-6 for x, y in zip(v, got[n], strict=True))
