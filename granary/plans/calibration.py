@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.operators import retrieval
 from granary.operators.repeats import numbered
 from granary.sources.candidates import TRIES, with_retries
 from granary.sources.store import JsonFile
+from granary.workspace import bounded_batches
 
 BATCH = 10
 # The columns of the pairs and, below, the keys of the state file.
@@ -34,27 +40,84 @@ def jobs(batches: DataFrame, questions: DataFrame) -> DataFrame:
     return made.select("dimension_id", checked.alias("batch_number"), "documents", "questions")
 
 
-def batch_pairs(chunks: DataFrame, batches: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
+#: Pairs of a chunk and a question that are scored at once.
+PAIRS_AT_ONCE = 1 << 18
+
+
+def scored_chunks(weighted: DataFrame, asked: list[tuple[str, list[int]]]) -> DataFrame:
+    """``weighted`` (``dimension_id`` and, last, ``terms, weights``) with ``found``, the places in ``asked`` of the questions met, and their ``scores``, in place of these two.
+
+    ``asked``: dimension and different terms of each question; a question meets the chunks of its own dimension only.
+    """
+    spark = weighted.sparkSession
+    bounded_batches(spark)
+    dimensions = sorted({d for d, _ in asked if d is not None})
+    code = {d: i for i, d in enumerate(dimensions)}
+    width = 1 + max((t for _, terms in asked for t in terms), default=0)
+    pairs = np.array(sorted((code[d] * width + t, q) for q, (d, terms) in enumerate(asked) if d is not None for t in terms), np.int64).reshape(-1, 2)
+    most = max(Counter(d for d, _ in asked).values(), default=1)
+    sent = spark.sparkContext.broadcast((dimensions, pairs))
+    at = weighted.columns.index("dimension_id")
+    names = [*weighted.columns[:-2], "found", "scores"]
+
+    def run(batches):
+        known, (place, question) = sent.value[0], sent.value[1].T
+        step = max(1, PAIRS_AT_ONCE // most)
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                lists, weight = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).flatten().to_numpy()
+                own = pc.fill_null(pc.index_in(batch.column(at), value_set=pa.array(known, batch.column(at).type)), -1).to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                # Chunks of a dimension without questions have places below all others.
+                wanted = own[row] * width + np.where(own[row] < 0, 0, lists.flatten().to_numpy())
+                wanted[own[row] < 0] = -1
+                first = np.searchsorted(place, wanted)
+                times = np.searchsorted(place, wanted, "right") - first
+                to = np.cumsum(times)
+                which = question[np.repeat(first - (to - times), times) + np.arange(to[-1] if len(to) else 0)]
+                every, of = np.unique(np.repeat(row, times) * len(asked) + which, return_inverse=True)
+                score = np.bincount(of, np.repeat(weight, times), len(every))
+                ends = pa.array(np.searchsorted(every, np.arange(batch.num_rows + 1) * len(asked)), pa.int32())
+                lists_of = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(values, kind))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists_of(every % len(asked), pa.int32()), lists_of(score, pa.float64())], names=names)
+
+    schema = T.StructType([*weighted.schema.fields[:-2], T.StructField("found", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    return weighted.mapInArrow(run, schema)
+
+
+def batch_pairs(chunks: DataFrame, batches: DataFrame, questions: DataFrame, k: int = 20, texts: bool = True) -> DataFrame:
     """``PAIR_COLUMNS`` of sparse retrieval: each question against each batch of its dimension, the ``k`` best of each.
 
     ``chunks``: ``document_id, chunk_id, text, source, page, number``. A batch is a scope, so
-    the rank is within batch and question; document frequencies are the collection's.
+    the rank is within batch and question; document frequencies are the collection's. Pairs
+    are scored by chunk before anything is shuffled, and dealt by dimension and batch. ``texts=False``
+    leaves out ``chunk_text``, which a pair repeats for each question: :func:`batch_texts` has each once.
     """
-    asked = questions.select(F.col("question_id").alias("query_id"), "dimension_id", "category_id", F.col("question_no").alias("question_number"), "question")
-    weighted, terms = retrieval.weighted_terms(chunks, asked.select("query_id", F.col("question").alias("text")), ["document_id"])
-    known = chunks.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "word string, term int")
-    wanted = asked.select("query_id", "dimension_id", F.explode(F.array_distinct(retrieval.terms(F.col("question")))).alias("word")).join(known, "word").drop("word")
+    spark = chunks.sparkSession
+    asked = questions.select("dimension_id", "category_id", F.col("question_no").alias("question_number"), "question")
+    weighted, terms = retrieval.weighted_terms(chunks, questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("text")), ["document_id", "source", "page", "number"])
+    place = {t: i for i, t in enumerate(terms)}
+    # The questions are a stated set, whose terms the driver holds already.
+    rows = asked.withColumn("_terms", F.array_distinct(retrieval.terms(F.col("question")))).collect()
+    named = spark.createDataFrame([(i, *r[1:-1]) for i, r in enumerate(rows)], T.StructType([T.StructField("_asked", T.IntegerType()), *asked.schema.fields[1:]]))
     placed = weighted.join(batches.select("document_id", "dimension_id", "batch_number"), "document_id")
-    # A question meets the chunks of its own dimension only.
-    each = placed.select("chunk_id", "dimension_id", "batch_number", F.inline(F.arrays_zip("terms", "weights"))).withColumnsRenamed({"terms": "term", "weights": "weight"})
-    scored = each.join(wanted, ["dimension_id", "term"]).groupBy("query_id", "chunk_id", "batch_number").agg(F.round(F.sum("weight"), retrieval.DIGITS).alias("score"))
-    order = Window.partitionBy("query_id", "batch_number").orderBy(F.col("score").desc(), "chunk_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    best = ranked.join(asked, "query_id").join(chunks, "chunk_id")
-    return best.select(
+    small = ["dimension_id", "batch_number", "chunk_id", "document_id", "source", "page", "number"]
+    scored = scored_chunks(placed.select(*small, "terms", "weights"), [(r["dimension_id"], [place[t] for t in r["_terms"] or ()]) for r in rows]).where("size(found) > 0")
+    each = scored.repartition("dimension_id", "batch_number").select(*small, F.inline(F.arrays_zip(F.col("found").alias("_asked"), F.col("scores").alias("score")))).withColumn("score", F.round("score", retrieval.DIGITS))
+    order = Window.partitionBy("dimension_id", "batch_number", "_asked").orderBy(F.col("score").desc(), "chunk_id")
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = ranked.join(F.broadcast(named), "_asked")
+    out = best.select(
         "dimension_id", "category_id", "batch_number", "question_number", "question", "rank", F.col("source").alias("document"), "document_id", "chunk_id", "page", F.col("number").alias("chunk_number"),
-        F.col("score").alias("retrieval_score"), F.col("text").alias("chunk_text"), F.lit("").alias("related"),
+        F.col("score").alias("retrieval_score"), F.lit("").alias("related"),
     )
+    return out.join(chunks.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id").select(*PAIR_COLUMNS) if texts else out
+
+
+def batch_texts(chunks: DataFrame, batches: DataFrame) -> DataFrame:
+    """``dimension_id, batch_number, chunk_id, text``: the texts of each batch, once."""
+    return chunks.select("document_id", "chunk_id", "text").join(batches.select("document_id", "dimension_id", "batch_number"), "document_id").drop("document_id")
 
 
 def signature(configuration: dict, ontology: bytes, files: list[tuple[str, int, int]]) -> str:

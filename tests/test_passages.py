@@ -1,6 +1,7 @@
 """Blocks, layout, passages and plans on small fixtures."""
 
 import hashlib
+import json
 import random
 import re
 
@@ -231,3 +232,37 @@ def test_hashed_vectors(spark):
             v[h % 8] += -1 if h >> 31 else 1
         norm = sum(x * x for x in v) ** 0.5 or 1
         assert all(abs(x / norm - y) < 1e-6 for x, y in zip(v, got[n], strict=True))
+
+
+def test_calibration_texts_are_moved_once(spark, monkeypatch):
+    monkeypatch.setattr(calibration, "PAIRS_AT_ONCE", 4)
+    words = ["red fox", "red red hen", "blue fox", "", "green hen fox", "red"]
+    rows = [(str(i), i, words[i % 6], f"s{i % 2}", 1, 1) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_id long, text string, source string, page int, number int").coalesce(2)
+    # Of 40 documents 38 are in batches; those of dimension "c" have no question.
+    placed = [(str(i), "abc"[i // 2 % 3], i // 12 + 1) for i in range(38)]
+    batches = spark.createDataFrame(placed, "document_id string, dimension_id string, batch_number long")
+    asked = [(1, "a", "k", 1, "red fox?"), (2, "a", "k", 2, "The hen"), (3, "b", "j", 1, "fox fox green"), (4, None, "j", 2, "red"), (5, "b", "k", 1, "none such"), (6, "b", "j", 3, None)]
+    questions = spark.createDataFrame(asked, "question_id int, dimension_id string, category_id string, question_no int, question string")
+    pairs = calibration.batch_pairs(chunks, batches, questions, 3, texts=False)
+    assert set(pairs.columns) == set(calibration.PAIR_COLUMNS) - {"chunk_text"}
+
+    scores = {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieval.sparse_search(chunks, questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("text")), 100).collect()}
+    wanted = {}
+    for q, dimension, category, no, _ in asked:
+        for batch in range(1, 5):
+            found = sorted((-scores[q, int(d)], int(d)) for d, x, b in placed if x == dimension and b == batch and (q, int(d)) in scores)[:3]
+            wanted |= {(dimension, batch, category, no, rank): (c, -score) for rank, (score, c) in enumerate(found, 1)}
+    got = {(r["dimension_id"], r["batch_number"], r["category_id"], r["question_number"], r["rank"]): (r["chunk_id"], r["retrieval_score"]) for r in pairs.collect()}
+    assert got == wanted and len(wanted) > 10
+    whole = calibration.batch_pairs(chunks, batches, questions, 3)
+    assert whole.columns == list(calibration.PAIR_COLUMNS) and {(r["chunk_id"], r["chunk_text"]) for r in whole.collect()} == {(c, words[c % 6]) for c, _ in wanted.values()}
+
+    told = store.calibration_response(pairs, calibration.batch_texts(chunks, batches)).collect()
+    assert {(r["dimension_id"], r["batch_number"]) for r in told} == {key[:2] for key in wanted} and len(told) == len({key[:2] for key in wanted})
+    for r in told:
+        answer = json.loads(r["response"])
+        own = [(no, rank, *v) for (d, b, c, no, rank), v in sorted(wanted.items(), key=lambda x: str(x[0])) if (d, b) == (r["dimension_id"], r["batch_number"])]
+        matches = [m for x in answer["results"] for m in x["matches"]]
+        assert answer["ok"] and [(m["rank"], m["chunkId"], m["score"]) for m in matches] == [x[1:] for x in own]
+        assert all(list(m) == ["rank", "source", "documentId", "chunkId", "page", "chunk", "score", "text"] and m["text"] == words[m["chunkId"] % 6] for m in matches)
